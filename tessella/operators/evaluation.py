@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.boxes import BOX, Box, enclosing, ioa, iou
+from ..runtime import stage
 from . import ordering
 from .overlap import _pad, box_pairs
 
@@ -314,7 +315,7 @@ def eval_relations(det: DataFrame, gt: DataFrame, threshold: float = 0.5, phrase
     """
     labels = ["subject_label", "object_label", "relation"]
     keys = ["image_id", *labels]
-    scored = score_relations(det, gt, threshold, phrases, **grid)
+    scored = stage(score_relations(det, gt, threshold, phrases, **grid), "scored")
     counts = gt.groupBy("relation").agg(F.count("*").cast("double").alias("n_gt"))
     total = gt.agg(F.count("*").alias("n")).scalar()
     per_relation = average_precision(scored, counts, ("relation",))

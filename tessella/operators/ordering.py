@@ -17,8 +17,12 @@ BUCKET = "_range"
 
 
 def range_bucketed(df: DataFrame, keys, order) -> DataFrame:
-    """Stage ``df`` with a ``_range`` number that follows (keys, order)."""
-    spread = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    """Stage ``df`` with a ``_range`` number that follows (keys, order).
+
+    The input is written first: finding the range bounds reads it once more, and
+    that second read should be a narrow file scan, not the plan that made the rows.
+    """
+    spread = stage(df, "rows").repartitionByRange(*[F.col(k) for k in keys], *order)
     return stage(spread.withColumn(BUCKET, F.spark_partition_id()), "ranges")
 
 

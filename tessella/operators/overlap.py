@@ -44,30 +44,34 @@ def _box(side: str) -> Box:
     return Box(*(F.col(f"_{side}_{c}") for c in BOX))
 
 
-def _emit(df: DataFrame, on, side: str, cell: float, top: Column) -> DataFrame:
+def _emit(df: DataFrame, on, side: str, cell: float, top: Column | None) -> DataFrame:
+    """One row per grid cell the box takes part in; ``top`` None means one level."""
     box = _box(side)
-    own, other = (_HOME_VISITOR, _VISITOR_HOME) if side == "a" else (_VISITOR_HOME, _HOME_VISITOR)
-    home = F.when(F.col("_own") > 0, F.array(F.lit(_HOME_HOME), F.lit(own))).otherwise(
-        F.array(F.lit(_HOME_HOME))
-    )
-    size = F.pow(F.lit(STEP), F.col("_level")) * cell
+    flat = _flat(_valid(df), on, side)
+    if top is None:
+        size = F.lit(cell)
+        level = flat.withColumns({"_level": F.lit(0), "_kind": F.lit(_HOME_HOME)})
+    else:
+        own, other = (_HOME_VISITOR, _VISITOR_HOME) if side == "a" else (_VISITOR_HOME, _HOME_VISITOR)
+        home = F.when(F.col("_own") > 0, F.array(F.lit(_HOME_HOME), F.lit(own))).otherwise(
+            F.array(F.lit(_HOME_HOME))
+        )
+        size = F.pow(F.lit(STEP), F.col("_level")) * cell
+        level = (
+            flat.withColumn("_own", _level(box, cell))
+            .withColumn("_top", F.greatest(F.col("_own"), top))
+            .withColumn("_level", F.explode(F.sequence("_own", "_top")))
+            .withColumn(
+                "_kind",
+                F.explode(F.when(F.col("_level") == F.col("_own"), home).otherwise(F.array(F.lit(other)))),
+            )
+            .drop("_own", "_top")
+        )
 
     def cells(lo, hi):
         return F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
 
-    return (
-        _flat(_valid(df), on, side)
-        .withColumn("_own", _level(box, cell))
-        .withColumn("_top", F.greatest(F.col("_own"), top))
-        .withColumn("_level", F.explode(F.sequence("_own", "_top")))
-        .withColumn(
-            "_kind",
-            F.explode(F.when(F.col("_level") == F.col("_own"), home).otherwise(F.array(F.lit(other)))),
-        )
-        .withColumn("_cx", cells(box.xmin, box.xmax))
-        .withColumn("_cy", cells(box.ymin, box.ymax))
-        .drop("_own", "_top")
-    )
+    return level.withColumn("_cx", cells(box.xmin, box.xmax)).withColumn("_cy", cells(box.ymin, box.ymax))
 
 
 def box_pairs(
@@ -89,8 +93,10 @@ def box_pairs(
             _valid(df).agg(F.max(_level(Box.of(), cell)).alias("top")) for df in (left, right)
         ]
         top = F.coalesce(F.greatest(tops[0].scalar(), tops[1].scalar()), F.lit(0))
+    elif max_side <= cell:
+        top = None
     else:
-        level = 0
+        level = 1
         while cell * STEP**level < max_side:
             level += 1
         top = F.lit(level)

@@ -1,6 +1,6 @@
 """Queries over the test tables."""
 
-MODULES = ("evaluation",)
+MODULES = ("evaluation", "boxes")
 
 
 def load():

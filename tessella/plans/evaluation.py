@@ -66,6 +66,7 @@ LEFT JOIN (SELECT class_id, SUM(tp * envelope / n_gt) AS ap FROM env GROUP BY cl
 
 SIMPLE = f"WITH {sql_best()}, {CLAIMED}, {SCORED_SIMPLE}, {GT_SIMPLE}, {sql_curve()} "
 GT_DET = ["gt", "det"]
+SMALL = {"cell": 64.0, "max_side": 64.0}  # boxes of these views are at most 41 px wide
 
 
 def _plain(gt):
@@ -75,7 +76,7 @@ def _plain(gt):
 
 def _simple(t):
     gt = _plain(t.gt)
-    return ev.score_detections(ev.best_boxes(t.det, gt), 0.5), ev.gt_counts(gt)
+    return ev.score_detections(ev.best_boxes(t.det, gt, **SMALL), 0.5), ev.gt_counts(gt)
 
 
 # ---------------------------------------------------------------------- joins
@@ -89,7 +90,7 @@ FROM det d JOIN gt g ON d.image_id = g.image_id WHERE {sql_inter('d', 'g')} > 0"
     GT_DET,
 )
 def _(t):
-    return overlap.box_overlap(t.det, t.gt, ["image_id"]).select(
+    return overlap.box_overlap(t.det, t.gt, ["image_id"], **SMALL).select(
         F.col("a.det_id").alias("det_id"), F.col("b.gt_id").alias("gt_id"),
         F.round("intersection", 6).alias("intersection"), F.round("iou", 6).alias("iou"), F.round("ioa", 6).alias("ioa"),
     )
@@ -101,7 +102,7 @@ def _(t):
     GT_DET,
 )
 def _(t):
-    return overlap.best_match(t.det, t.gt, "gt_id", ["image_id", "class_id"]).select(
+    return overlap.best_match(t.det, t.gt, "gt_id", ["image_id", "class_id"], **SMALL).select(
         "det_id", "gt_id", F.round(F.coalesce("overlap", F.lit(0.0)), 6).alias("iou")
     )
 
@@ -156,7 +157,7 @@ def _(t):
     keys = ["image_id", "subject_label", "object_label", "relation"]
     names = ("xmin", "ymin", "xmax", "ymax")
     flat = lambda df, key: df.select(*keys, key, "subject.*", *(F.col(f"object.{n}").alias(f"o_{n}") for n in names))
-    pairs = overlap.box_pairs(flat(t.relation_det, "det_id"), flat(t.relations, "gt_id"), keys)
+    pairs = overlap.box_pairs(flat(t.relation_det, "det_id"), flat(t.relations, "gt_id"), keys, **SMALL)
     other = lambda side: Box(*(F.col(f"{side}.o_{n}") for n in names))
     value = ev.min_iou(Box.of("a"), other("a"), Box.of("b"), other("b"))
     return pairs.select(
@@ -173,7 +174,7 @@ def _(t):
     GT_DET,
 )
 def _(t):
-    return ev.claims(ev.best_boxes(t.det, _plain(t.gt)), 0.5).select("det_id", "matched", "tp")
+    return ev.claims(ev.best_boxes(t.det, _plain(t.gt), **SMALL), 0.5).select("det_id", "matched", "tp")
 
 
 @query(
@@ -233,7 +234,7 @@ cl AS (SELECT i.class_id, i.n_images, CAST(COUNT(t.det_id) AS DOUBLE) / i.n_imag
 
 @query("agg_corloc", f"WITH {sql_best()}, {TOP_HIT} SELECT class_id, n_images, ROUND(corloc, 6) AS corloc FROM cl", GT_DET)
 def _(t):
-    return ev.corloc(ev.best_boxes(t.det, _plain(t.gt)), t.gt).withColumn("corloc", F.round("corloc", 6))
+    return ev.corloc(ev.best_boxes(t.det, _plain(t.gt), **SMALL), t.gt).withColumn("corloc", F.round("corloc", 6))
 
 
 @query(
@@ -288,7 +289,7 @@ scored AS (SELECT image_id, class_id, det_id AS rank_id, score, CASE WHEN tp THE
     GT_DET,
 )
 def _(t):
-    return ev.eval_voc(t.det, t.gt).withColumn("ap", F.round("ap", 6))
+    return ev.eval_voc(t.det, t.gt, **SMALL).withColumn("ap", F.round("ap", 6))
 
 
 FLAGGED = f"""p_plain AS (SELECT d.det_id, g.gt_id, g.difficult, {sql_iou('d', 'g')} AS iou FROM det d JOIN gt g
@@ -314,7 +315,7 @@ counts AS (SELECT class_id, CAST(COUNT(*) FILTER (WHERE NOT difficult AND NOT gr
     GT_DET,
 )
 def _(t):
-    return ev.eval_detection(t.det, t.gt).withColumns({"ap": F.round("ap", 6), "corloc": F.round("corloc", 6)})
+    return ev.eval_detection(t.det, t.gt, **SMALL).withColumns({"ap": F.round("ap", 6), "corloc": F.round("corloc", 6)})
 
 
 @query(
@@ -326,7 +327,7 @@ OR EXISTS (SELECT 1 FROM verified v WHERE v.image_id = d.image_id AND v.class_id
     GT_DET,
 )
 def _(t):
-    return ev.eval_open_images(t.det, t.gt, _verified(t)).withColumn("ap", F.round("ap", 6))
+    return ev.eval_open_images(t.det, t.gt, _verified(t), **SMALL).withColumn("ap", F.round("ap", 6))
 
 
 @query(
@@ -335,7 +336,7 @@ def _(t):
     GT_DET,
 )
 def _(t):
-    return ev.eval_weighted(t.det, t.gt).select(F.round("ap", 6).alias("ap"))
+    return ev.eval_weighted(t.det, t.gt, **SMALL).select(F.round("ap", 6).alias("ap"))
 
 
 def _pixels(df, key):
@@ -405,9 +406,9 @@ UNION ALL SELECT 'median_rank_at_100', MEDIAN(rn - 1) FROM topk WHERE rn <= 100
 
 @query("eval_relations", _relation_oracle(False), ["relations", "relation_det"])
 def _(t):
-    return ev.eval_relations(t.relation_det, t.relations).withColumn("value", F.round("value", 6))
+    return ev.eval_relations(t.relation_det, t.relations, **SMALL).withColumn("value", F.round("value", 6))
 
 
 @query("eval_phrases", _relation_oracle(True), ["relations", "relation_det"])
 def _(t):
-    return ev.eval_relations(t.relation_det, t.relations, phrases=True).withColumn("value", F.round("value", 6))
+    return ev.eval_relations(t.relation_det, t.relations, phrases=True, max_side=512, cell=512).withColumn("value", F.round("value", 6))
