@@ -1,6 +1,6 @@
 """Queries over the test tables."""
 
-MODULES = ("evaluation", "boxes")
+MODULES = ("evaluation", "boxes", "phenotype")
 
 
 def load():
