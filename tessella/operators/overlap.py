@@ -81,14 +81,18 @@ def box_pairs(
     cell: float = 64.0,
     touching: bool = False,
     max_side: float | None = None,
+    top: Column | str | None = "find",
 ) -> DataFrame:
     """Pairs of intersecting boxes as struct columns ``a`` and ``b``.
 
     ``on`` are equality keys such as the image. ``max_side`` bounds the longest
-    box side when the caller knows it; otherwise one aggregate finds it.
+    box side when the caller knows it; otherwise one aggregate finds it. ``top``
+    gives the coarsest level directly (None for a single level).
     """
     on = list(on)
-    if max_side is None:
+    if not isinstance(top, str):
+        pass
+    elif max_side is None:
         tops = [
             _valid(df).agg(F.max(_level(Box.of(), cell)).alias("top")) for df in (left, right)
         ]

@@ -193,15 +193,22 @@ def region_pixels(regions: DataFrame) -> DataFrame:
     return rows.select("region", "list_order", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
 
 
-def point_in_region(points: DataFrame, pixels: DataFrame, id_col: str = "ID", x: str = "centroid_x", y: str = "centroid_y") -> DataFrame:
+def point_in_region(points: DataFrame, pixels: DataFrame, x: str = "centroid_x", y: str = "centroid_y") -> DataFrame:
     """Region of the pixel under each point; the region listed last wins.
 
-    The winner per pixel is found first, so overlapping regions never multiply
-    the points.
+    Region pixels are reduced to those under a point before anything else and the
+    winner per pixel is an aggregate, so neither overlapping regions nor piles of
+    points multiply rows.
     """
-    owner = pixels.groupBy("y", "x").agg(F.max_by("region", "list_order").alias("region"))
+    spots = points.select(F.col(y).alias("y"), F.col(x).alias("x")).distinct()
+    named = (
+        pixels.join(spots, ["y", "x"], "left_semi")
+        .groupBy("y", "x")
+        .agg(F.max(F.struct("list_order", "region")).alias("_w"))
+        .select("y", "x", F.col("_w.region").alias("region"))
+    )
     p = points.withColumns({"y": F.col(y), "x": F.col(x)})
-    return p.join(owner, ["y", "x"], "left").drop("y", "x")
+    return p.join(named, ["y", "x"], "left").drop("y", "x")
 
 
 def region_counts(df: DataFrame, markers) -> DataFrame:

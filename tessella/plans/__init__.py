@@ -1,6 +1,6 @@
 """Queries over the test tables."""
 
-MODULES = ("evaluation", "boxes", "phenotype")
+MODULES = ("evaluation", "boxes", "phenotype", "detection")
 
 
 def load():

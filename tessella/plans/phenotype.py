@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import boxes as ob, nearest as nn, overlap as ov, phenotype as ph
+from ..runtime import stage
 from .fixtures import MARKERS
 from .registry import query
 from .evaluation import GT_DET, SMALL, sql_area, sql_inter
@@ -192,7 +193,7 @@ SELECT ID, ARG_MIN(region, d2 * 1000000 + lid) AS region, ROUND(SQRT(MIN(d2)), 6
     ["cells", "regions"],
 )
 def _(t):
-    p = located(t).select("ID", "region", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"))
+    p = stage(located(t).select("ID", "region", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y")))
     lab = p.where("region IS NOT NULL AND ID % 3 = 0").withColumnRenamed("ID", "near_id")
     hit = nn.nearest(p.where("region IS NULL"), lab, "ID", "near_id")
     return hit.join(lab.select("near_id", "region"), "near_id").select("ID", "region", F.round("distance", 6).alias("distance"))
