@@ -1,6 +1,6 @@
 """Queries over the test tables."""
 
-MODULES = ("evaluation", "boxes", "phenotype", "detection")
+MODULES = ("evaluation", "boxes", "phenotype", "detection", "raster")
 
 
 def load():
