@@ -1,6 +1,6 @@
 """Queries over the test tables."""
 
-MODULES = ("evaluation", "boxes", "phenotype", "detection", "raster")
+MODULES = ("evaluation", "boxes", "phenotype", "detection", "raster", "datasets")
 
 
 def load():

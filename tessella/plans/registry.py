@@ -10,6 +10,7 @@ from .fixtures import Tables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULE_OF: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None, views=()):
@@ -18,6 +19,7 @@ def query(name: str, oracle: str | None = None, views=()):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
+        MODULE_OF[name] = fn.__module__
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if oracle is not None:
             ORACLES[name] = with_views(oracle, views)

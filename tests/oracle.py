@@ -78,9 +78,11 @@ def compare(spark, con, name, fn, sql, folder):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("-d", default="/root/testdata/sf0.01")
+    ap.add_argument("-m", help="only queries of this plans module")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     import __spark_entry__ as entry
+    from tessella.plans.registry import MODULE_OF
     from tessella.session import session
 
     spark = session(
@@ -89,6 +91,8 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(args.d)
     queries, oracles = entry.queries(), entry.oracle_sql()
+    if args.m:
+        args.names = [n for n in queries if MODULE_OF[n].endswith("." + args.m)]
     failed = 0
     for name in args.names or queries:
         start = time.time()
