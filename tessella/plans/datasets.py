@@ -135,7 +135,7 @@ def _(t):
 
 @query(
     "scan_file_index",
-    "SELECT DISTINCT n_nationkey // 5 + 1 AS round, n_nationkey % 5 + 1 AS channel, (o_orderkey // 100) % 9 * 300 AS corner_x FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey",
+    "SELECT DISTINCT (n_nationkey // 5 + 1)::BIGINT AS round, (n_nationkey % 5 + 1)::BIGINT AS channel, (o_orderkey // 100) % 9 * 300 AS corner_x FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey",
 )
 def _(t):
     p = path(t, "images")
@@ -206,10 +206,11 @@ def coco_rows(t):
 
 @query("scan_coco_json", _COCO_GT, ["gt"])
 def _(t):
-    # one document per image, as the tools export image subsets
+    # one document per thousand images, as the tools export subsets
     p = path(t, "coco")
-    rows = an.nested(coco_rows(t), ["image_id"], {"image_id": F.col("image_id"), **{c: F.col(c) for c in ("category_id", "bbox", "area", "iscrowd")}}, "id", "annotations")
-    rows.select(F.to_json(F.struct("annotations")).alias("value")).write.text(p)
+    chunked = coco_rows(t).withColumn("chunk", F.floor(F.col("image_id") / 1000))
+    rows = an.nested(chunked, ["chunk"], {"image_id": F.col("image_id"), **{c: F.col(c) for c in ("category_id", "bbox", "area", "iscrowd")}}, "id", "annotations", max_objects=100000)
+    rows.select("chunk", "part", F.to_json(F.struct("annotations")).alias("value")).write.partitionBy("chunk", "part").text(p)
     return _coco_flat(an.read_coco(t.spark, p)["annotations"])
 
 

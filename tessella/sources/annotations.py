@@ -69,9 +69,21 @@ def label_ids(df: DataFrame, label_map: DataFrame, column: str) -> DataFrame:
 # --------------------------------------------------------------------------- XML
 
 
+def xml_records(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """Elements ``tag`` of XML files, one row each.
+
+    Files are split at the closing tag, so a file of many documents is read by
+    many tasks and needs no common root.
+    """
+    text = spark.read.option("lineSep", f"</{tag}>").text(path)
+    body = F.regexp_extract("value", rf"(?s)(<{tag}[\s>].*)", 1)
+    found = text.select(body.alias("value")).where("value <> ''")
+    return found.select(F.from_xml(F.concat("value", F.lit(f"</{tag}>")), schema).alias("r")).select("r.*")
+
+
 def read_voc_xml(spark: SparkSession, path: str) -> DataFrame:
     """One row per object: ``filename, width, height, class, box`` plus the crop corner."""
-    docs = spark.read.format("xml").option("rowTag", "annotation").schema(XML_SCHEMA).load(path)
+    docs = xml_records(spark, path, "annotation", XML_SCHEMA)
     o = docs.select("filename", "source.corner", "size.width", "size.height", F.explode("object").alias("o"))
     return o.select(
         "filename", "corner", "width", "height", F.col("o.name").alias("class"), F.col("o.truncated").alias("truncated"), "o.bndbox.*"
@@ -107,7 +119,7 @@ def write_voc_xml(objects: DataFrame, path: str, **options) -> None:
 
 def read_dataset_xml(spark: SparkSession, path: str) -> DataFrame:
     """Data set definition: one row per ``Image`` with its marker, file and attributes."""
-    docs = spark.read.format("xml").option("rowTag", "Image").schema("_biomarker string, FileName string, _ImgColor string, _SeedColor string").load(path)
+    docs = xml_records(spark, path, "Image", "_biomarker string, FileName string, _ImgColor string, _SeedColor string")
     return docs.select(F.col("_biomarker").alias("biomarker"), "FileName", F.col("_ImgColor").alias("ImgColor"), F.col("_SeedColor").alias("SeedColor"))
 
 
