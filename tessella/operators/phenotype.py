@@ -63,6 +63,26 @@ def gate(long: DataFrame, thresholds: DataFrame, strict: bool = False) -> DataFr
     return long.join(dim, "biomarker").withColumn("value", hit.cast("int")).drop("_t")
 
 
+def gate_wide(df: DataFrame, thresholds: DataFrame, markers, strict: bool = False, max_rows: int = 10000) -> DataFrame:
+    """Gate wide marker columns from a threshold table without moving a cell.
+
+    The table is read as one map (at most ``max_rows`` markers, else an error), so
+    there is no unpivot, join or pivot. A marker without a threshold becomes null.
+    """
+    rows = thresholds.where("Threshold IS NOT NULL").agg(
+        F.collect_list(F.struct("Biomarker", "Threshold")).alias("t"), F.count("*").alias("n")
+    )
+    fits = F.when(F.col("n") <= max_rows, F.map_from_entries("t")).otherwise(F.raise_error(F.lit("too many thresholds")))
+    limits = rows.select(fits.alias("m")).scalar()
+    out = df.withColumn("_limits", limits)
+
+    def hit(m):
+        t = F.col("_limits")[m]
+        return (F.col(m) > t if strict else F.col(m) >= t).cast("int")
+
+    return out.withColumns({m: hit(m) for m in markers}).drop("_limits")
+
+
 def gate_with(df: DataFrame, thresholds: dict[str, float], strict: bool = False) -> DataFrame:
     """Gate wide marker columns with fixed thresholds, in place."""
     def hit(m, t):
@@ -105,9 +125,18 @@ def assign_types(long: DataFrame, rules: DataFrame, ids=("ID",)) -> DataFrame:
     return long.select(*ids).distinct().join(hits, ids, "left")
 
 
-def assign_types_wide(df: DataFrame, rules: DataFrame, id_col: str = "ID") -> DataFrame:
-    """Same as :func:`assign_types` for a wide 0/1 table."""
-    return assign_types(to_long(df, [id_col]), rules, [id_col])
+def assign_types_wide(df: DataFrame, rules: DataFrame, id_col: str = "ID", markers=None) -> DataFrame:
+    """Same as :func:`assign_types` for a wide 0/1 table.
+
+    Cells with the same marker pattern have the same type, so the rules are
+    matched once per distinct pattern (found with map-side combine) and the
+    answer is joined back.
+    """
+    markers = list(markers or [c for c in marker_columns(df) if c != id_col])
+    keyed = df.withColumn("_pattern", F.concat_ws(",", *(F.coalesce(F.col(m).cast("string"), F.lit("?")) for m in markers)))
+    patterns = keyed.select("_pattern", *markers).distinct()
+    types = assign_types(to_long(patterns, ["_pattern"], markers), rules, ["_pattern"])
+    return keyed.select(id_col, "_pattern").join(types, "_pattern", "left").select(id_col, "cell_type")
 
 
 def major_function(df: DataFrame, rules: DataFrame, major: dict[str, str], id_col: str = "ID") -> DataFrame:
@@ -154,6 +183,16 @@ def argmax_class(long: DataFrame, ids=("ID",), ties: str = "first") -> DataFrame
     return top.groupBy(*ids).agg(F.min("biomarker").alias("biomarker"), F.first("value").alias("value"))
 
 
+def argmax_wide(df: DataFrame, markers, name: str = "biomarker") -> DataFrame:
+    """Marker of the largest value, first in the given order on ties, and all tied markers.
+
+    Works on the row alone; adds ``name`` and ``tied``.
+    """
+    best = F.greatest(*(F.col(m) for m in markers))
+    tied = F.filter(F.array(*(F.when(F.col(m) == best, F.lit(m)) for m in markers)), lambda v: v.isNotNull())
+    return df.withColumn("tied", tied).withColumn(name, F.get("tied", F.lit(0)))
+
+
 def gate_probabilities(df: DataFrame, classes, threshold: float) -> DataFrame:
     """One-hot argmax over the class columns; all zeros when every class is below the threshold.
 

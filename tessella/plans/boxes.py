@@ -317,7 +317,9 @@ def _(t):
 
 # --------------------------------------------------------------------- filters
 
-WIN = window(500, 400, 3000, 2400)
+def win():
+    return window(500, 400, 3000, 2400)
+
 ID_ONLY = "SELECT ID FROM cells WHERE "
 
 
@@ -328,8 +330,8 @@ ID_ONLY = "SELECT ID FROM cells WHERE "
     ["cells"],
 )
 def _(t):
-    wide = ob.center_in(t.cells, WIN, closed_low=True)
-    opened = ob.center_in(t.cells, WIN, closed_low=False).select("ID", F.lit(True).alias("open"))
+    wide = ob.center_in(t.cells, win(), closed_low=True)
+    opened = ob.center_in(t.cells, win(), closed_low=False).select("ID", F.lit(True).alias("open"))
     return wide.join(opened, "ID", "left").select("ID", F.coalesce("open", F.lit(False)).alias("open"))
 
 
@@ -339,13 +341,13 @@ def _(t):
     ["cells"],
 )
 def _(t):
-    half = ob.inside(t.cells, WIN, "half_open").select("ID", F.lit(True).alias("half_open"))
-    return ob.inside(t.cells, WIN).join(half, "ID", "left").select("ID", F.coalesce("half_open", F.lit(False)).alias("half_open"))
+    half = ob.inside(t.cells, win(), "half_open").select("ID", F.lit(True).alias("half_open"))
+    return ob.inside(t.cells, win()).join(half, "ID", "left").select("ID", F.coalesce("half_open", F.lit(False)).alias("half_open"))
 
 
 @query("filter_not_outside", ID_ONLY + "NOT (xmin >= 3000 OR ymin >= 2400 OR xmax <= 500 OR ymax <= 400)", ["cells"])
 def _(t):
-    return ob.not_outside(t.cells, WIN).select("ID")
+    return ob.not_outside(t.cells, win()).select("ID")
 
 
 @query(

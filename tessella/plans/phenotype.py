@@ -53,7 +53,7 @@ def _(t):
 )
 def _(t):
     names = [m for m, _ in GATES]
-    wide = ph.to_wide(ph.gate(ph.to_long(t.features), t.channel_info), names)
+    wide = ph.gate_wide(t.features, t.channel_info, names)
     return wide.select("ID", *(F.col(m).cast("long").alias(m) for m in names))
 
 
@@ -96,9 +96,9 @@ SELECT ID, MIN(biomarker) AS biomarker, COUNT(*) AS ties FROM (SELECT ID, biomar
     ["features"],
 )
 def _(t):
-    long = ph.to_long(t.features).withColumn("value", F.floor(F.col("value") * 20))
-    ties = ph.argmax_class(long, ties="all").groupBy("ID").agg(F.count("*").alias("ties"))
-    return ph.argmax_class(long).select("ID", "biomarker").join(ties, "ID")
+    coarse = t.features.withColumns({m: F.floor(F.col(m) * 20) for m in MARKERS})
+    out = ph.argmax_wide(coarse, sorted(MARKERS))
+    return out.select("ID", "biomarker", F.size("tied").cast("long").alias("ties"))
 
 
 @query(

@@ -398,7 +398,9 @@ PAIRS = [("R1C1.tif", "R1C2.tif"), ("R1C1.tif", "R1C3.tif"), ("R1C3.tif", "R1C2.
 _PAIR_SQL = "pr AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + ") v(target, channel))"
 _CLOSED = f"""{CHANNELS}, {_PAIR_SQL}, wt AS (SELECT pr.target, pr.channel, GREATEST(LEAST(SUM(s.value * n.value) / SUM(n.value * n.value), 1), 0) AS weight FROM pr
 JOIN ch s ON s.channel = pr.target JOIN ch n ON n.channel = pr.channel AND n.y = s.y AND n.x = s.x WHERE s.y >= 10 AND s.y < 300 AND s.x >= 4 AND s.x < 60 GROUP BY ALL)"""
-ROI = window(4, 10, 60, 300)
+def roi():
+    return window(4, 10, 60, 300)
+
 
 
 def _weights(t):
@@ -406,7 +408,7 @@ def _weights(t):
         "element_at(array('R1C1.tif', 'R1C1.tif', 'R1C3.tif'), CAST(r_regionkey AS INT) + 1) AS target",
         "element_at(array('R1C2.tif', 'R1C3.tif', 'R1C2.tif'), CAST(r_regionkey AS INT) + 1) AS channel",
     )
-    return um.fit_closed(channels(t), pairs, ROI)
+    return um.fit_closed(channels(t), pairs, roi())
 
 
 @query("fit_unmix_closed", f"WITH {_CLOSED} SELECT target, channel, ROUND(weight, 6) AS weight FROM wt", R)
@@ -417,7 +419,7 @@ def _(t):
 @query("fit_unmix_lasso")
 def _(t):
     names = ["R1C1.tif", "R1C2.tif", "R1C3.tif"]
-    return um.fit_lasso(channels(t), names, ROI, alpha=1e-4, scale=1000.0)
+    return um.fit_lasso(channels(t), names, roi(), alpha=1e-4, scale=1000.0)
 
 
 @query(
