@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.boxes import Box, intersection, iou
+from ..runtime import stage
 from . import ordering
 from .ordering import top_per_key
 from .overlap import box_pairs
@@ -21,7 +22,7 @@ MAX_DETECTIONS = (1, 10, 100)
 THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 BANDS = {"all": (0, 10**10), "small": (0, 32**2), "medium": (32**2, 96**2), "large": (96**2, 10**10)}
 KEYS = ["image_id", "class_id"]
-CELL = ["class_id", "t", "band"]
+CELL = ["class_id", "band"]
 
 
 def _bands(area: Column) -> Column:
@@ -32,27 +33,40 @@ def _bands(area: Column) -> Column:
 
 
 def _match(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy matches of one image and class for every threshold and band."""
-    out = []
+    """Greedy matches of one image and class for every band and threshold.
+
+    The state of a detection is 1 where it takes a counted ground truth, 2 where
+    it takes an ignored one, else 0.
+    """
     pdf = pdf.sort_values(["rank", "iou", "gt_id"], ascending=[True, False, False])
-    rows = [g for _, g in pdf.groupby("det_id", sort=False)]
+    options: dict = {}
+    columns = (pdf[c].tolist() for c in ("det_id", "gt_id", "iou", "is_crowd", "bands"))
+    for d, g, v, crowd, bands in zip(*columns):
+        options.setdefault(d, []).append((g, v, crowd, set(bands)))
+    out = []
     for name in BANDS:
+        listed = {d: [(g, v, crowd, crowd or name not in bands) for g, v, crowd, bands in rows] for d, rows in options.items()}
+        state = {d: [0] * len(THRESHOLDS) for d in options}
         for t, limit in enumerate(THRESHOLDS):
             used = set()
-            for g in rows:
-                found = None
-                for gid, v, crowd, bands in zip(g["gt_id"], g["iou"], g["is_crowd"], g["bands"]):
-                    ignored = crowd or name not in bands
-                    if v < min(limit, 1 - 1e-10) or (gid in used and not crowd):
+            for d, rows in listed.items():
+                spare = None
+                for g, v, crowd, ignored in rows:
+                    if v < limit:
+                        break
+                    if g in used and not crowd:
                         continue
-                    if found is None or (found[1] and not ignored):
-                        found = (gid, ignored)
-                        if not ignored:
-                            break
-                if found:
-                    used.add(found[0])
-                    out.append((g["det_id"].iloc[0], t, name, bool(found[1])))
-    return pd.DataFrame(out, columns=["det_id", "t", "band", "ignored"])
+                    if not ignored:
+                        used.add(g)
+                        state[d][t] = 1
+                        break
+                    if spare is None:
+                        spare = g
+                if state[d][t] == 0 and spare is not None:
+                    used.add(spare)
+                    state[d][t] = 2
+        out += [(d, name, s) for d, s in state.items() if any(s)]
+    return pd.DataFrame(out, columns=["det_id", "band", "state"])
 
 
 def candidates(det: DataFrame, gt: DataFrame, masks=None, **grid) -> DataFrame:
@@ -99,40 +113,62 @@ def coco_cells(det: DataFrame, gt: DataFrame, masks=None, **grid) -> DataFrame:
             gt = gt.withColumn("area", Box.of().area())
     top = top_per_key(det, KEYS, [F.col("score").desc(), F.col("det_id")], MAX_DETECTIONS[-1])
     matched = candidates(top, gt, masks, **grid).groupBy(*KEYS).applyInPandas(
-        _match, "det_id long, t int, band string, ignored boolean"
+        _match, "det_id long, band string, state array<int>"
+    )
+    steps = range(len(THRESHOLDS))
+    rows = top.select(
+        "class_id", F.col("det_id").alias("rank_id"), "score", "rank", _bands(F.col("area")).alias("own"),
+        F.explode(F.array(*(F.lit(b) for b in BANDS))).alias("band"),
     )
-    grid_rows = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(b).alias("band")) for t in range(len(THRESHOLDS)) for b in BANDS)))
-    cells = top.select("class_id", "det_id", "score", "rank", _bands(F.col("area")).alias("own"), grid_rows.alias("c"))
-    cells = cells.select("class_id", "det_id", "score", "rank", "own", "c.t", "c.band")
+    state = lambda t: F.coalesce(F.col("state")[t], F.lit(0))
+    own = F.array_contains("own", F.col("band"))
     scored = (
-        cells.join(matched, ["det_id", "t", "band"], "left")
-        .where("NOT coalesce(ignored, false) AND (ignored IS NOT NULL OR array_contains(own, band))")
-        .select(*CELL, F.col("det_id").alias("rank_id"), "score", "rank", F.col("ignored").isNotNull().cast("long").alias("tp"), F.lit(1).cast("long").alias("one"))
+        rows.join(matched.withColumnRenamed("det_id", "rank_id"), ["rank_id", "band"], "left")
+        .where(own | F.col("state").isNotNull())
+        .select(
+            *CELL, "rank_id", "score", "rank",
+            *((state(t) == 1).cast("int").alias(f"tp_{t}") for t in steps),
+            *(((state(t) == 1) | ((state(t) == 0) & own)).cast("int").alias(f"seen_{t}") for t in steps),
+        )
     )
     counts = (
         gt.where("NOT is_crowd")
         .select("class_id", F.explode(_bands(F.col("area"))).alias("band"))
-        .groupBy("class_id", "band")
+        .groupBy(*CELL)
         .agg(F.count("*").alias("n_gt"))
     )
+    # all ten thresholds share one order, so they are ten columns of one running sum
     order = [F.col("score").desc(), F.col("rank_id").asc()]
     staged = ordering.range_bucketed(scored, CELL, order)
-    curve = ordering.running_sums(staged, CELL, order, {"cum_tp": "tp", "seen": "one"})
-    hits = curve.where("tp > 0").withColumn("precision", F.col("cum_tp") / F.col("seen"))
-    env = ordering.running_max_from_end(hits, CELL, order, "precision", "envelope").join(counts, ["class_id", "band"])
+    sums = {f"cum_{c}": c for t in steps for c in (f"tp_{t}", f"seen_{t}")}
+    curve = ordering.running_sums(staged, CELL, order, sums)
+    point = lambda t: F.when(
+        F.col(f"tp_{t}") == 1,
+        F.struct(F.lit(t).alias("t"), F.col(f"cum_tp_{t}").alias("cum"), (F.col(f"cum_tp_{t}") / F.col(f"cum_seen_{t}")).alias("precision")),
+    )
+    hit = F.greatest(*(F.col(f"tp_{t}") for t in steps)) == 1
+    points = F.filter(F.array(*(point(t) for t in steps)), lambda v: v.isNotNull())
+    hits = stage(
+        curve.where(hit).select(*CELL, ordering.BUCKET, "rank_id", "score", F.inline(points)), "hits"
+    )
+    env = ordering.running_max_from_end(hits, [*CELL, "t"], order, "precision", "envelope").join(counts, CELL)
     # 101 recall points: those in (previous recall, recall], plus point 0 for the first hit
-    points = F.floor(F.col("cum_tp") * 100 / F.col("n_gt")) - F.floor((F.col("cum_tp") - 1) * 100 / F.col("n_gt"))
-    points = points + (F.col("cum_tp") == 1).cast("long")
-    ap = env.groupBy(*CELL).agg((F.sum(points * F.col("envelope")) / 101).alias("ap"))
-    ar = staged.groupBy(*CELL).agg(
-        *(F.sum(F.when(F.col("rank") <= k, F.col("tp")).otherwise(0)).alias(f"hits_{k}") for k in MAX_DETECTIONS)
+    passed = F.floor(F.col("cum") * 100 / F.col("n_gt")) - F.floor((F.col("cum") - 1) * 100 / F.col("n_gt"))
+    passed = passed + (F.col("cum") == 1).cast("long")
+    ap = env.groupBy(*CELL, "t").agg((F.sum(passed * F.col("envelope")) / 101).alias("ap"))
+    per_t = F.array(
+        *(
+            F.struct(F.lit(t).alias("t"), *(F.sum(F.when(F.col("rank") <= k, F.col(f"tp_{t}")).otherwise(0)).alias(f"hits_{k}") for k in MAX_DETECTIONS))
+            for t in steps
+        )
     )
+    ar = staged.groupBy(*CELL).agg(per_t.alias("r")).select(*CELL, F.inline("r"))
     every = counts.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(len(THRESHOLDS) - 1))))
     return (
-        every.join(ap, CELL, "left")
-        .join(ar, CELL, "left")
+        every.join(ap, [*CELL, "t"], "left")
+        .join(ar, [*CELL, "t"], "left")
         .select(
-            *CELL, "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"),
+            *CELL, "t", "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"),
             *((F.coalesce(f"hits_{k}", F.lit(0)) / F.col("n_gt")).alias(f"ar_{k}") for k in MAX_DETECTIONS),
         )
     )

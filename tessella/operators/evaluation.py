@@ -196,9 +196,11 @@ def precision_envelope(curve: DataFrame, keys=("class_id",)) -> DataFrame:
     """Best precision at this recall or a higher one (column ``envelope``).
 
     Only true positives are kept: precision falls at every false positive, so the
-    envelope and the recall steps are decided by true positives alone.
+    envelope and the recall steps are decided by true positives alone. They are
+    staged because the running maximum reads them twice.
     """
-    return ordering.running_max_from_end(curve.where("tp > 0"), list(keys), _order(), "precision", "envelope")
+    hits = stage(curve.where("tp > 0"), "hits")
+    return ordering.running_max_from_end(hits, list(keys), _order(), "precision", "envelope")
 
 
 def average_precision(scored: DataFrame, counts: DataFrame, keys=("class_id",)) -> DataFrame:

@@ -160,6 +160,7 @@ def _(t):
 # ------------------------------------------------------------------------ COCO
 
 # boxes of image i are enlarged by 1 + i % 5 so that all size bands occur
+WIDE = {"cell": 256.0, "max_side": 256.0}  # at most 5 * 41 px
 _SCALED = ", ".join(f"{c} * (1 + image_id % 5) AS {c}" for c in ("xmin", "ymin", "xmax", "ymax"))
 
 
@@ -210,7 +211,7 @@ def _r5(df):
 
 @query("eval_coco", f"WITH {_BOX_COCO} SELECT {_METRICS} FROM cells", GT_DET)
 def _(t):
-    return _r5(coco.eval_coco(_scaled(t.det), _scaled(t.gt)))
+    return _r5(coco.eval_coco(_scaled(t.det), _scaled(t.gt), **WIDE))
 
 
 @query(
@@ -219,7 +220,7 @@ def _(t):
     GT_DET,
 )
 def _(t):
-    return _r5(coco.eval_coco(_scaled(t.det), _scaled(t.gt), by_category=True))
+    return _r5(coco.eval_coco(_scaled(t.det), _scaled(t.gt), by_category=True, **WIDE))
 
 
 @query(
