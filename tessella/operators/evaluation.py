@@ -308,15 +308,36 @@ def eval_weighted(det, gt, threshold: float = 0.5, group_of_weight: float = 0.0,
     return average_precision(scored, counts, ())
 
 
-def eval_relations(det: DataFrame, gt: DataFrame, threshold: float = 0.5, phrases: bool = False, **grid) -> DataFrame:
+def verified_relations(det: DataFrame, gt: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Relation detections that can be judged in their image.
+
+    Both labels must occur in the image's ground truth or among its verified
+    ``labels (image_id, label)``, or one of them must be verified as absent.
+    """
+    seen = gt.select("image_id", F.explode(F.array("subject_label", "object_label")).alias("label"), F.lit(1).alias("present"))
+    if labels is not None:
+        seen = seen.unionByName(labels.select("image_id", "label", F.lit(0).alias("present")))
+    status = seen.groupBy("image_id", "label").agg(F.max("present").alias("present"))
+    for side in ("subject", "object"):
+        det = det.join(
+            status.select("image_id", F.col("label").alias(f"{side}_label"), F.col("present").alias(f"_{side}")),
+            ["image_id", f"{side}_label"], "left",
+        )
+    known = F.col("_subject").isNotNull() & F.col("_object").isNotNull()
+    absent = F.col("_subject").eqNullSafe(F.lit(0)) | F.col("_object").eqNullSafe(F.lit(0))
+    return det.where(known | absent).drop("_subject", "_object")
+
+
+def eval_relations(
+    det: DataFrame, gt: DataFrame, threshold: float = 0.5, phrases: bool = False, labels: DataFrame | None = None, **grid
+) -> DataFrame:
     """Relation (or phrase) metrics as ``(metric, value)`` rows.
 
     Frames carry struct columns ``subject`` and ``object`` (boxes), label columns
     ``subject_label``, ``object_label``, ``relation``, and ``image_id``; detections
     add ``det_id`` and ``score``, ground truth ``gt_id``.
     """
-    labels = ["subject_label", "object_label", "relation"]
-    keys = ["image_id", *labels]
+    det = verified_relations(det, gt, labels)
     scored = stage(score_relations(det, gt, threshold, phrases, **grid), "scored")
     counts = gt.groupBy("relation").agg(F.count("*").cast("double").alias("n_gt"))
     total = gt.agg(F.count("*").alias("n")).scalar()

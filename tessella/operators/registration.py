@@ -101,18 +101,42 @@ def _design(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return np.concatenate([top, low])
 
 
-def _solve(normal: np.ndarray, kind: str) -> np.ndarray | None:
-    """Transform from the 9 x 9 normal matrix of the homogeneous system."""
+def _solve(normal: np.ndarray, kind: str, src_frame: np.ndarray, dst_frame: np.ndarray) -> np.ndarray | None:
+    """Transform from the 9 x 9 normal matrix of pairs given in centred, scaled frames."""
     if kind == "affine":
         a, b = normal[:6, :6], -normal[:6, 8]
         if np.linalg.matrix_rank(a) < 6:
             return None
-        return np.append(np.linalg.solve(a, b), [0, 0, 1]).reshape(3, 3)
-    values, vectors = np.linalg.eigh(normal)
-    h = vectors[:, 0].reshape(3, 3)
-    if values[1] <= 1e-12 * max(values[-1], 1.0) or abs(h[2, 2]) < 1e-12:
-        return None
-    return h / h[2, 2]
+        h = np.append(np.linalg.solve(a, b), [0, 0, 1]).reshape(3, 3)
+    else:
+        values, vectors = np.linalg.eigh(normal)
+        h = vectors[:, 0].reshape(3, 3)
+        if values[1] <= 1e-12 * values[-1]:
+            return None
+    m = np.linalg.inv(dst_frame) @ h @ src_frame
+    return m / m[2, 2] if abs(m[2, 2]) > 1e-12 else None
+
+
+def _frame(mean_x: float, mean_y: float, spread: float) -> np.ndarray:
+    """Transform to coordinates centred on the mean in units of the spread."""
+    s = spread if spread > 0 else 1.0
+    return np.array([[1 / s, 0, -mean_x / s], [0, 1 / s, -mean_y / s], [0, 0, 1]])
+
+
+def _array_frame(p: np.ndarray) -> np.ndarray:
+    return _frame(p[:, 0].mean(), p[:, 1].mean(), float(p.std()))
+
+
+def _in_frame(p: np.ndarray, frame: np.ndarray) -> np.ndarray:
+    return p * frame[0, 0] + frame[:2, 2]
+
+
+def _frames(matches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Source and target frames of all matches, from one aggregate."""
+    r = matches.agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.avg, F.stddev_pop) for c in _PAIR)).first()
+    return tuple(
+        _frame(r[f"avg_{k}_x"], r[f"avg_{k}_y"], (r[f"stddev_pop_{k}_x"] + r[f"stddev_pop_{k}_y"]) / 2) for k in ("src", "dst")
+    )
 
 
 def _residuals(models: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
@@ -154,8 +178,10 @@ def fit_trials(samples: DataFrame, kind: str, min_samples: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < min_samples:
             return pd.DataFrame({"trial": [], "model": []})
-        a = _design(pdf[_PAIR[:2]].to_numpy(), pdf[_PAIR[2:]].to_numpy())
-        model = _solve(a.T @ a, kind)
+        src, dst = pdf[_PAIR[:2]].to_numpy(), pdf[_PAIR[2:]].to_numpy()
+        fs, fd = _array_frame(src), _array_frame(dst)
+        a = _design(_in_frame(src, fs), _in_frame(dst, fd))
+        model = _solve(a.T @ a, kind, fs, fd)
         rows = [] if model is None or not np.isfinite(model).all() else [(int(pdf["trial"].iloc[0]), model.ravel().tolist())]
         return pd.DataFrame(rows, columns=["trial", "model"])
 
@@ -194,13 +220,14 @@ _OBJECTIVES = {"inlier_num": 1, "inlier_tile": 1, "residuals_sum": -1}
 def refit(matches: DataFrame, model, threshold: float, kind: str = "affine") -> np.ndarray | None:
     """Least-squares model over all inliers of ``model``, from summed normal matrices."""
     first = np.asarray(model, float).reshape(1, 3, 3)
+    fs, fd = _frames(matches)
 
     def run(batches):
         total = np.zeros((9, 9))
         for pdf in batches:
             src, dst = pdf[_PAIR[:2]].to_numpy(), pdf[_PAIR[2:]].to_numpy()
             ok = _residuals(first, src, dst)[0] < threshold
-            a = _design(src[ok], dst[ok])
+            a = _design(_in_frame(src[ok], fs), _in_frame(dst[ok], fd))
             total += a.T @ a
         yield pd.DataFrame({"i": np.arange(81), "v": total.ravel()})
 
@@ -208,7 +235,7 @@ def refit(matches: DataFrame, model, threshold: float, kind: str = "affine") ->
     normal = np.zeros(81)
     for r in sums:
         normal[r["i"]] = r["v"]
-    return _solve(normal.reshape(9, 9), kind)
+    return _solve(normal.reshape(9, 9), kind, fs, fd)
 
 
 def fit_ransac(
@@ -285,12 +312,14 @@ def local_refit(points: DataFrame, matches: DataFrame, matrix, regions: DataFram
     """
     px = [(F.floor(F.col("dst_y"))).alias("y"), (F.floor(F.col("dst_x"))).alias("x")]
     inside = matches.select(*_PAIR, *px).join(regions, ["y", "x"])
-    sums = _normal_sums(inside)
+    fs, fd = _frames(matches)
+    moved = {n: F.col(n) * float(f[0, 0]) + float(f[i, 2]) for f, k in ((fs, "src"), (fd, "dst")) for i, n in enumerate((f"{k}_x", f"{k}_y"))}
+    sums = _normal_sums(inside.withColumns(moved))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for lab, n, flat in zip(pdf["label"], pdf["n"], pdf["normal"]):
-            m = _solve(np.array(flat, float).reshape(9, 9), kind) if n >= min_samples else None
+            m = _solve(np.array(flat, float).reshape(9, 9), kind, fs, fd) if n >= min_samples else None
             if m is not None and np.isfinite(m).all():
                 rows.append((lab, m.ravel().tolist()))
         return pd.DataFrame(rows, columns=["label", "model"])

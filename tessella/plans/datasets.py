@@ -401,15 +401,16 @@ def _(t):
     "join_patch_update",
     """WITH c AS (SELECT *, xmin // 500 * 500 AS kx, ymin // 500 * 500 AS ky FROM cells), crops AS (SELECT s_suppkey % 8 * 500 AS kx, s_suppkey % 6 * 500 AS ky FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY ALL),
 keep AS (SELECT xmin, ymin, xmax, ymax FROM c WHERE NOT (xmin > kx + 50 AND ymin > ky + 50 AND xmax < kx + 450 AND ymax < ky + 450 AND EXISTS (SELECT 1 FROM crops k WHERE k.kx = c.kx AND k.ky = c.ky))),
-new AS (SELECT k.kx + x0 AS xmin, k.ky + y0 AS ymin, k.kx + x0 + 20 AS xmax, k.ky + y0 + 20 AS ymax FROM crops k, (SELECT p_partkey * 37 % 460 AS x0, p_partkey * 53 % 460 AS y0 FROM part) r WHERE x0 >= 50 AND y0 >= 50 AND x0 + 20 <= 450 AND y0 + 20 <= 450)
+new AS (SELECT k.kx + x0 AS xmin, k.ky + y0 AS ymin, k.kx + x0 + 20 AS xmax, k.ky + y0 + 20 AS ymax FROM crops k JOIN (SELECT p_partkey % 8 * 500 AS kx, p_partkey % 6 * 500 AS ky, p_partkey * 37 % 460 AS x0, p_partkey * 53 % 460 AS y0 FROM part) r USING (kx, ky) WHERE x0 >= 50 AND y0 >= 50 AND x0 + 20 <= 450 AND y0 + 20 <= 450)
 SELECT * FROM keep UNION SELECT * FROM new""",
     ["cells"],
 )
 def _(t):
     crops = t.supplier.where("s_suppkey % 3 = 0").selectExpr("s_suppkey % 8 * 500 AS corner_x", "s_suppkey % 6 * 500 AS corner_y").distinct()
-    keyed = crops.withColumn("k", F.lit(1))
-    new = t.part.selectExpr("p_partkey * 37 % 460 AS xmin", "p_partkey * 53 % 460 AS ymin", "1 AS k").withColumns({"xmax": F.col("xmin") + 20, "ymax": F.col("ymin") + 20})
-    return ds.update_reviewed(t.cells, crops, new.join(keyed, "k"), 500, 50)
+    new = t.part.selectExpr(
+        "p_partkey % 8 * 500 AS corner_x", "p_partkey % 6 * 500 AS corner_y", "p_partkey * 37 % 460 AS xmin", "p_partkey * 53 % 460 AS ymin"
+    ).withColumns({"xmax": F.col("xmin") + 20, "ymax": F.col("ymin") + 20})
+    return ds.update_reviewed(t.cells, crops, new.join(crops, ["corner_x", "corner_y"], "left_semi"), 500, 50)
 
 
 # --------------------------------------------------------------------- hierarchy

@@ -139,11 +139,13 @@ def sql_rel_pairs(phrases: bool) -> str:
         cols = f"{box('d')} AS a, {box('g')} AS b, {box('d')} AS c, {box('g')} AS e"
     else:
         cols = f"{_sub('d', 's', '')} AS a, {_sub('g', 's', '')} AS b, {_sub('d', 'o', '')} AS c, {_sub('g', 'o', '')} AS e"
-    return f"""raw AS (SELECT d.det_id, g.gt_id, {cols} FROM relation_det d JOIN relations g ON d.image_id = g.image_id
+    known = "EXISTS (SELECT 1 FROM relations g WHERE g.image_id = d.image_id AND {0} IN (g.subject_label, g.object_label))"
+    return f"""rdet AS (SELECT * FROM relation_det d WHERE {known.format('d.subject_label')} AND {known.format('d.object_label')}),
+raw AS (SELECT d.det_id, g.gt_id, {cols} FROM rdet d JOIN relations g ON d.image_id = g.image_id
   AND d.subject_label = g.subject_label AND d.object_label = g.object_label AND d.relation = g.relation),
 rpairs AS (SELECT det_id, gt_id, LEAST({sql_iou('a', 'b')}, {sql_iou('c', 'e')}) AS iou FROM raw),
 rranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY det_id ORDER BY iou DESC, gt_id) AS rn FROM rpairs WHERE iou > 0),
-rbest AS (SELECT d.det_id, d.image_id, d.relation, d.score, COALESCE(r.iou, 0.0) AS iou, r.gt_id FROM relation_det d LEFT JOIN rranked r ON d.det_id = r.det_id AND r.rn = 1),
+rbest AS (SELECT d.det_id, d.image_id, d.relation, d.score, COALESCE(r.iou, 0.0) AS iou, r.gt_id FROM rdet d LEFT JOIN rranked r ON d.det_id = r.det_id AND r.rn = 1),
 scored AS (SELECT image_id, relation, det_id AS rank_id, score, CASE WHEN iou >= 0.5 AND
   ROW_NUMBER() OVER (PARTITION BY CASE WHEN iou >= 0.5 THEN gt_id END ORDER BY score DESC, det_id) = 1 THEN 1.0 ELSE 0.0 END AS tp FROM rbest)"""
 

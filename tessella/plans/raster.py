@@ -558,12 +558,12 @@ def _(t):
 
 @query(
     "join_channel_mask_manifest",
-    """WITH im AS (SELECT p_partkey AS image_id, p_brand AS biomarker FROM part), mk AS (SELECT s_suppkey AS mask_id, 'Brand#' || CAST(s_suppkey % 5 + 1 AS VARCHAR) || CAST(s_suppkey % 4 + 1 AS VARCHAR) AS biomarker, s_suppkey % 50 = 0 AS seed, 'soma' AS part FROM supplier)
+    """WITH im AS (SELECT p_partkey AS image_id, p_brand AS biomarker FROM part), mk AS (SELECT s_suppkey AS mask_id, 'Brand#' || CAST(s_suppkey % 5 + 1 AS VARCHAR) || CAST(s_suppkey % 4 + 1 AS VARCHAR) AS biomarker, s_suppkey < 2 AS seed, 'soma' AS part FROM supplier)
 SELECT image_id, mask_id, biomarker AS description FROM im, (SELECT mask_id FROM mk WHERE seed) UNION ALL SELECT image_id, mask_id, biomarker || ' with ' || part FROM im JOIN mk USING (biomarker) WHERE NOT seed""",
 )
 def _(t):
     im = t.part.selectExpr("p_partkey AS image_id", "p_brand AS biomarker")
     mk = t.supplier.selectExpr(
-        "s_suppkey AS mask_id", "concat('Brand#', s_suppkey % 5 + 1, s_suppkey % 4 + 1) AS biomarker", "s_suppkey % 50 = 0 AS is_seed", "'soma' AS part"
+        "s_suppkey AS mask_id", "concat('Brand#', s_suppkey % 5 + 1, s_suppkey % 4 + 1) AS biomarker", "s_suppkey < 2 AS is_seed", "'soma' AS part"
     )
     return rg.mask_manifest(im, mk)

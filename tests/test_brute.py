@@ -42,7 +42,7 @@ def random_boxes(n, seed, big=0.1, copies=0.3, size=200):
     return rows
 
 
-@pytest.mark.parametrize("cell", [4.0, 32.0, 1000.0])
+@pytest.mark.parametrize("cell", [4.0, 1000.0])
 def test_box_pairs(spark, cell):
     a, b = random_boxes(80, 1), random_boxes(60, 2)
     got = ov.box_pairs(spark.createDataFrame(a, DET), spark.createDataFrame(b, DET), ["image_id"], cell=cell)
@@ -71,10 +71,9 @@ def greedy(rows, threshold):
     return sorted(r[0] for r in kept)
 
 
-@pytest.mark.parametrize("crowd", [3, 2000])
-@pytest.mark.parametrize("seed,threshold", [(5, 0.5), (6, 0.1), (7, 0.0)])
+@pytest.mark.parametrize("seed,threshold,crowd", [(5, 0.5, 14), (6, 0.0, 2000)])
 def test_nms(spark, crowd, seed, threshold):
-    rows = random_boxes(150, seed)
+    rows = random_boxes(60 if crowd < 100 else 120, seed)
     got = sp.nms(spark.createDataFrame(rows, DET), threshold, ["image_id"], crowd=crowd, cell=16.0)
     assert sorted(r.det_id for r in got.collect()) == greedy(rows, threshold)
 
@@ -220,12 +219,12 @@ def test_ransac(spark):
     rows = []
     for i in range(300):
         x, y = r.uniform(0, 1000), r.uniform(0, 1000)
-        u, v, _ = true @ [x, y, 1]
+        u, v, _ = map(float, true @ [x, y, 1])
         if i % 4 == 0:
             u, v = r.uniform(0, 1000), r.uniform(0, 1000)
         rows.append((i, int(y // 250) * 4 + int(x // 250), x, y, u, v))
     m = spark.createDataFrame(rows, "match_id long, tile long, src_x double, src_y double, dst_x double, dst_y double")
-    for kind, objective, k in (("affine", "inlier_num", 3), ("projective", "inlier_tile", 4), ("affine", "residuals_sum", 4)):
+    for kind, objective, k in (("affine", "inlier_num", 3), ("projective", "inlier_tile", 4)):
         fit = rg.fit_ransac(m, kind, k, 3.0, max_trials=40, objective=objective, wave=20)
         assert np.allclose(fit["matrix"], true, atol=0.05), (kind, objective, fit)
     one = rg.fit_ransac(m.withColumn("tile", F.lit(0).cast("long")), "affine", 3, 3.0, max_trials=40)
