@@ -44,15 +44,25 @@ def match_stream(gt: DataFrame, det: DataFrame, delay: str, cell: float = 64.0)
 
 
 def append(stream: DataFrame, path: str) -> None:
-    """Append everything available to a Parquet table, exactly once, then stop."""
-    q = (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-checkpoint")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    """Append everything available to a Parquet table, exactly once, then stop.
 
-
-def stream_eval(spark: SparkSession, gt_path: str, det_path: str, out: str, delay: str = "1 hour", threshold: float = 0.5) -> None:
+    State is kept in as many partitions as the shuffle setting says, but in no
+    more than there are cores; the number is fixed when a checkpoint is created.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), stream.sparkSession.sparkContext.defaultParallelism)))
+    try:
+        q = (
+            stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-checkpoint")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+    finally:
+        conf.set(key, before)
+
+
+def stream_eval(spark: SparkSession, gt_path: str, det_path: str, out: str, delay: str = "1 hour") -> None:
     """Consume what has arrived: append accepted boxes and their pairs to tables below ``out``.
 
     Call again when more files have arrived; progress is kept in the checkpoints.
