@@ -156,7 +156,7 @@ class _Writer:
 def _table(rows: list[list[str]]) -> list[str]:
     """Cells padded to their columns' widths; a cell of several lines is joined by spaces."""
     width: list[int] = []
-    cells = [[" ".join(c.split("\n")) for c in row] for row in rows]
+    cells = [[" ".join(filter(None, c.split("\n"))) for c in row] for row in rows]
     for row in cells:
         width += [0] * (len(row) - len(width))
         for i, c in enumerate(row):

@@ -37,6 +37,8 @@ from .common import text_of
 ORDER_BITS, GROUPS = 18, 64
 #: Rows of a block of a cell, and points of a tree node.
 BLOCK, NODE = 1024, 32
+#: Texts of a cell that is one leaf, and queries that go through a tree at once.
+LEAF, QUERIES = 64, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,19 +161,20 @@ class Tree:
         self.upper = np.maximum.reduceat(self.points, self.starts, axis=0)
         self.least, self.most = np.minimum.reduceat(self.sizes, self.starts), np.maximum.reduceat(self.sizes, self.starts)
 
-    def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Numbers of the points whose bound with ``point`` reaches the threshold."""
-        fits = (self.most * 100 >= size * percent) & (self.least * percent <= size * 100)
-        nodes = np.flatnonzero(fits)
-        bound = np.minimum(self.upper[nodes], point).sum(1)
+    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (number of a query, number of a point of the tree) whose bound reaches the threshold."""
+        fits = (self.most[None] * 100 >= sizes[:, None] * percent) & (self.least[None] * percent <= sizes[:, None] * 100)
+        q, node = np.nonzero(fits)
+        bound = np.minimum(self.upper[node], points[q]).sum(1)
         # a partner of size m needs an overlap of percent / (100 + percent) of both sizes
-        nodes = nodes[(100 + percent) * bound >= percent * (size + np.maximum(self.least[nodes], need(size, percent)))]
-        if not len(nodes):
-            return np.empty(0, np.int64)
-        at = (self.starts[nodes][:, None] + np.arange(NODE)).ravel()
-        at = at[at < len(self.sizes)]
-        both = np.minimum(self.points[at], point).sum(1)
-        return self.order[at[(100 + percent) * both >= percent * (size + self.sizes[at])]]
+        good = (100 + percent) * bound >= percent * (sizes[q] + np.maximum(self.least[node], need(sizes[q], percent)))
+        q, node = q[good], node[good]
+        at = (self.starts[node][:, None] + np.arange(NODE)).ravel()
+        q = np.repeat(q, NODE)
+        q, at = q[at < len(self.sizes)], at[at < len(self.sizes)]
+        both = np.minimum(self.points[at], points[q]).sum(1)
+        good = (100 + percent) * both >= percent * (sizes[q] + self.sizes[at])
+        return q[good], self.order[at[good]]
 
 
 def _crossed(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -181,30 +184,42 @@ def _crossed(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         right = left
     vectors = lambda x: np.frombuffer(b"".join(x["vector"]), "<i4").reshape(-1, GROUPS)
     tree = Tree(vectors(right), right["n"].to_numpy())
-    keys, labels, found = right["key"].to_numpy(), right["label"].to_numpy(), []
-    for key, label, size, point in zip(left["key"].to_numpy(), left["label"].to_numpy(), left["n"].to_numpy(), vectors(left)):
-        at = tree.search(point, size, percent)
-        other = keys[at[labels[at] != label]]
-        found += [(min(key, o), max(key, o)) for o in other]
-    return pd.DataFrame(sorted(set(found)), columns=["u", "v"])
+    found, points, sizes = [], vectors(left), left["n"].to_numpy()
+    # so many queries at once that a step holds a few million numbers
+    for at in range(0, len(left), QUERIES):
+        q, p = tree.search(points[at : at + QUERIES], sizes[at : at + QUERIES], percent)
+        u, v = left.iloc[at + q], right.iloc[p]
+        on = u["label"].to_numpy() != v["label"].to_numpy()
+        u, v = u["key"].to_numpy()[on], v["key"].to_numpy()[on]
+        found.append(pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}))
+    return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"u": [], "v": []}, dtype="int64")
 
 
 def across(cells: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs ``(u, v)`` of texts that share a cell but no component."""
+    """Candidate pairs ``(u, v)`` of texts that share a cell ``(cell, key, n)`` but no component.
+
+    Cells of up to ``LEAF`` texts are single leaves, whose pairs a join forms; larger ones get a tree.
+    """
     rows = cells.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    rows = stage(rows.select("cell", "key", "label"), "labelled")
+    rows = stage(rows.select("cell", "key", "n", "label"), "labelled")
     mixed = rows.groupBy("cell").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m")).where("a < b")
+    rows = stage(rows.join(mixed.select("cell", "m"), "cell"), "mixed")
+    leaf = rows.where(F.col("m") <= LEAF)
+    a = leaf.select("cell", F.col("key").alias("u"), F.col("n").alias("na"), F.col("label").alias("la"))
+    b = leaf.select("cell", F.col("key").alias("v"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    few = a.join(b, "cell").where((F.col("u") < F.col("v")) & (F.col("la") != F.col("lb")) & sized).select("u", "v")
     # blocks by hash, so that no row number over a large cell is needed
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
-    rows = rows.join(mixed.select("cell", blocks.alias("blocks")), "cell")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(points.select("key", "n", "vector"), "key")
+    large = rows.where(F.col("m") > LEAF).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(points.select("key", "vector"), "key")
     # block i meets every block j: as the left side with j >= i, as the right side with j <= i
     pair = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), (F.col("block") > j).cast("int").alias("side")),
     )
-    spread = rows.withColumn("p", F.explode(pair)).select("cell", "p.i", "p.j", "p.side", "key", "label", "n", "vector")
-    return spread.groupBy("cell", "i", "j").applyInPandas(partial(_crossed, percent=percent), "u long, v long").distinct()
+    spread = large.withColumn("p", F.explode(pair)).select("cell", "p.i", "p.j", "p.side", "key", "label", "n", "vector")
+    many = spread.groupBy("cell", "i", "j").applyInPandas(partial(_crossed, percent=percent), "u long, v long")
+    return few.unionByName(many).distinct()
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -220,13 +235,13 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", key
     # the description of each representative (any of equal copies)
     points = full.where("key is not null").join(prints.select("print", F.col("rep").alias("key")), ["print", "key"], "left_semi")
     points = stage(points.dropDuplicates(["print", "key"]), "points")
-    filed = points.select("key", F.explode("head").alias("cell"))
+    filed = points.select("key", "n", F.explode("head").alias("cell"))
     counts = filed.groupBy("cell").agg(F.count("*").alias("m"), F.min("key").alias("first")).where("m > 1")
     cells = stage(filed.join(counts.select("cell", "first"), "cell"), "cells")
     star = cells.where("key <> first").select(F.col("first").alias("u"), F.col("key").alias("v")).distinct()
     links = verified(star, points, docs, n, percent, text, key)
     first = stage(components(links).select(F.col("node").alias("key"), "label"), "components")
-    more = verified(across(cells.select("cell", "key"), first, points, percent), points, docs, n, percent, text, key)
+    more = verified(across(cells.select("cell", "key", "n"), first, points, percent), points, docs, n, percent, text, key)
     # keys of one text join through its representative; rows that share a key through the key
     same = full.where("key is not null").join(prints, "print").where("key <> rep").select(F.col("rep").alias("u"), F.col("key").alias("v"))
     shared = same.join(full.groupBy("key").agg(F.count_distinct("print").alias("d")).where("d > 1").select(F.col("key").alias("v")), "v", "left_semi")
