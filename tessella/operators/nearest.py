@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import stage
 
+#: Ratio of cell sizes between two levels.
+STEP = 4
+
 
 def _cell(v: Column, size) -> Column:
     return F.floor(v / size)
@@ -63,6 +66,33 @@ def radius_self(points: DataFrame, radius: float, on=(), x: str = "centroid_x",
     return pairs.where(before | shared)
 
 
+def _cell_pairs(spots: DataFrame, sites: DataFrame, on, cell: float, top: int, limit: float | None) -> DataFrame:
+    """Pairs ``(on, px, py, qx, qy)`` of finest cells of which the second may hold the nearest site of the first.
+
+    Both grids are refined together, from one cell to sixteen. Of the pairs below a kept pair those stay whose
+    least distance is not above the smallest greatest distance that the spot's cell has with any cell of sites.
+    """
+    at = lambda c, size: F.floor(F.col(c) / size)
+    pairs = None
+    for level in range(top, -1, -1):
+        size = cell * STEP**level
+        p = spots.select(*on, at("ax", size).alias("px"), at("ay", size).alias("py")).distinct()
+        q = sites.select(*on, at("bx", size).alias("qx"), at("by", size).alias("qy")).distinct()
+        up = lambda df, x, y: df.withColumns({f"_{x}": F.floor(F.col(x) / STEP), f"_{y}": F.floor(F.col(y) / STEP)})
+        if pairs is None:  # the coarsest cells are as wide as the data: no more than a few for each key
+            both = p.withColumn("_all", F.lit(0)).join(q.withColumn("_all", F.lit(0)), [*on, "_all"])
+        else:
+            old = pairs.select(*on, *(F.col(c).alias(f"_{c}") for c in ("px", "py", "qx", "qy")))
+            both = old.join(up(p, "px", "py"), [*on, "_px", "_py"]).join(up(q, "qx", "qy"), [*on, "_qx", "_qy"])
+        gap = lambda a, b, k: F.greatest(F.lit(0), F.abs(F.col(a) - F.col(b)) + k) * size
+        low, high = (gap("px", "qx", k) ** 2 + gap("py", "qy", k) ** 2 for k in (-1, 1))
+        both = stage(both.select(*on, "px", "py", "qx", "qy", low.alias("low"), high.alias("high")), "cells")
+        least = both.groupBy(*on, "px", "py").agg(F.min("high").alias("_least"))
+        near = both.join(least, [*on, "px", "py"]).where("low <= _least")
+        pairs = near.select(*on, "px", "py", "qx", "qy") if limit is None else near.where(F.col("low") <= limit * limit).select(*on, "px", "py", "qx", "qy")
+    return pairs
+
+
 def nearest(
     points: DataFrame,
     targets: DataFrame,
@@ -70,16 +100,13 @@ def nearest(
     target_id: str,
     on=(),
     start: float = 8.0,
-    growth: float = 4.0,
     max_distance: float | None = None,
 ) -> DataFrame:
-    """Nearest target of every point by expanding search; ties take the lowest id.
+    """Nearest target of every point; ties take the lowest id.
 
-    ``points`` has ``id_col, x, y`` and ``targets`` has ``target_id, x, y``. Each
-    round looks within a radius through a grid join; points without a target in
-    that radius go to the next, larger round. Dense places are settled while the
-    radius is small, so no round joins a crowd with a crowd. Rounds end when no
-    point is left or the radius has passed the extent of the data.
+    ``points`` has ``id_col, x, y`` and ``targets`` has ``target_id, x, y``. Cells of points are
+    paired with the cells of targets that distance bounds leave, from the extent of the data down to cells
+    of ``start``, and only their members are compared: far crowds meet in the cells that face each other.
 
     Returns ``on, id_col, target_id, distance``; points with no target at all (or
     none within ``max_distance``) are left out.
@@ -87,35 +114,23 @@ def nearest(
     on = list(on)
     sites = targets.groupBy(*on, F.col("x").alias("bx"), F.col("y").alias("by")).agg(F.min(target_id).alias(target_id))
     sites = stage(sites, "targets")
-    spots = points.select(*on, F.col("x").alias("ax"), F.col("y").alias("ay")).distinct()
-    todo = stage(spots.join(sites.select(*on).distinct(), on, "left_semi") if on else spots, "spots")
-    reach = max_distance
-    if reach is None:
-        ends = sites.select(F.col("bx").alias("x"), F.col("by").alias("y")).unionByName(
-            todo.select(F.col("ax").alias("x"), F.col("ay").alias("y"))
-        ).agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in "xy")).first()
-        if ends["max_x"] is None:
-            reach = start
-        else:
-            reach = float(ends["max_x"] - ends["min_x"]) + float(ends["max_y"] - ends["min_y"]) + 1.0
-    solved = []
-    radius = min(start, reach)
-    while True:
-        hits = within_radius(todo, sites, radius, on).groupBy(*on, "ax", "ay").agg(
-            F.min(F.struct("sq_dist", target_id)).alias("_m")
-        )
-        found = stage(hits.select(*on, "ax", "ay", "_m.*"), "nearest")
-        solved.append(found)
-        if radius >= reach:
-            break
-        todo = stage(todo.join(found, [*on, "ax", "ay"], "left_anti"), "unsolved")
-        if todo.isEmpty():
-            break
-        radius = min(radius * growth, reach)
-    best = solved[0]
-    for part in solved[1:]:
-        best = best.unionByName(part)
-    best = best.withColumnsRenamed({"ax": "x", "ay": "y"})
+    spots = stage(points.select(*on, F.col("x").alias("ax"), F.col("y").alias("ay")).distinct(), "spots")
+    ends = sites.select(F.col("bx").alias("x"), F.col("by").alias("y")).unionByName(
+        spots.select(F.col("ax").alias("x"), F.col("ay").alias("y"))
+    ).agg(*(F.max(F.abs(c)).alias(c) for c in "xy")).first()
+    extent = max([float(v) for v in ends if v is not None], default=0.0)
+    top = 0
+    while start * STEP**top <= extent:
+        top += 1
+    pairs = _cell_pairs(spots, sites, on, start, top, max_distance)
+    inside = lambda df, x, y, cx, cy: df.withColumns({cx: F.floor(F.col(x) / start), cy: F.floor(F.col(y) / start)})
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    met = inside(spots, "ax", "ay", "px", "py").join(pairs, [*on, "px", "py"]).join(inside(sites, "bx", "by", "qx", "qy"), [*on, "qx", "qy"])
+    met = met.withColumn("sq_dist", (dx * dx + dy * dy).cast("double"))
+    if max_distance is not None:
+        met = met.where(F.col("sq_dist") <= max_distance * max_distance)
+    best = met.groupBy(*on, F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.min(F.struct("sq_dist", target_id)).alias("_m"))
+    best = best.select(*on, "x", "y", "_m.*")
     return points.join(best, [*on, "x", "y"]).select(*on, id_col, target_id, F.sqrt("sq_dist").alias("distance"))
 
 

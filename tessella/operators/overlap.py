@@ -14,6 +14,8 @@ the strategy from measured sizes and splits hot cells.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.boxes import BOX, Box, intersection, ioa, iou, sq_dist
@@ -44,8 +46,11 @@ def _box(side: str) -> Box:
     return Box(*(F.col(f"_{side}_{c}") for c in BOX))
 
 
-def _emit(df: DataFrame, on, side: str, cell: float, top: Column | None) -> DataFrame:
-    """One row per grid cell the box takes part in; ``top`` None means one level."""
+def _emit(df: DataFrame, on, side: str, cell: float, top: Column | None, span: int | None = None) -> DataFrame:
+    """One row per grid cell the box takes part in; ``top`` None means one level.
+
+    A box visits the levels above its own up to ``top``, but no more than ``span`` of them.
+    """
     box = _box(side)
     flat = _flat(_valid(df), on, side)
     if top is None:
@@ -57,9 +62,11 @@ def _emit(df: DataFrame, on, side: str, cell: float, top: Column | None) -> Data
             F.array(F.lit(_HOME_HOME))
         )
         size = F.pow(F.lit(STEP), F.col("_level")) * cell
+        last = F.greatest(F.col("_own"), top)
+        last = last if span is None else F.least(last, F.col("_own") + span)
         level = (
             flat.withColumn("_own", _level(box, cell))
-            .withColumn("_top", F.greatest(F.col("_own"), top))
+            .withColumn("_top", last)
             .withColumn("_level", F.explode(F.sequence("_own", "_top")))
             .withColumn(
                 "_kind",
@@ -82,12 +89,14 @@ def box_pairs(
     touching: bool = False,
     max_side: float | None = None,
     top: Column | str | None = "find",
+    span: int | None = None,
 ) -> DataFrame:
     """Pairs of intersecting boxes as struct columns ``a`` and ``b``.
 
     ``on`` are equality keys such as the image. ``max_side`` bounds the longest
     box side when the caller knows it; otherwise one aggregate finds it. ``top``
-    gives the coarsest level directly (None for a single level).
+    gives the coarsest level directly (None for a single level). ``span`` bounds the levels
+    between two boxes of a pair, for rules that wide boxes cannot meet with small ones.
     """
     on = list(on)
     if not isinstance(top, str):
@@ -104,7 +113,7 @@ def box_pairs(
         while cell * STEP**level < max_side:
             level += 1
         top = F.lit(level)
-    a, b = _emit(left, on, "a", cell, top), _emit(right, on, "b", cell, top)
+    a, b = _emit(left, on, "a", cell, top, span), _emit(right, on, "b", cell, top, span)
     pairs = a.join(b, [*on, "_level", "_kind", "_cx", "_cy"])
     p, q = _box("a"), _box("b")
     size = F.pow(F.lit(STEP), F.col("_level")) * cell
@@ -115,6 +124,11 @@ def box_pairs(
     return pairs.where(meets & owner).select(*on, _side("a", left.columns), _side("b", right.columns))
 
 
+def iou_span(threshold: float) -> int | None:
+    """Levels between two boxes whose IoU is above ``threshold``: their longer sides differ by less than 1 / threshold."""
+    return None if threshold <= 0 else max(1, math.ceil(math.log(1 / threshold, STEP)))
+
+
 def box_overlap(left: DataFrame, right: DataFrame, on=(), **grid) -> DataFrame:
     """Every intersecting pair with its intersection, IoU and both IoA values."""
     p, q = Box.of("a"), Box.of("b")

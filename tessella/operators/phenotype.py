@@ -63,17 +63,16 @@ def gate(long: DataFrame, thresholds: DataFrame, strict: bool = False) -> DataFr
     return long.join(dim, "biomarker").withColumn("value", hit.cast("int")).drop("_t")
 
 
-def gate_wide(df: DataFrame, thresholds: DataFrame, markers, strict: bool = False, max_rows: int = 10000) -> DataFrame:
+def gate_wide(df: DataFrame, thresholds: DataFrame, markers, strict: bool = False) -> DataFrame:
     """Gate wide marker columns from a threshold table without moving a cell.
 
-    The table is read as one map (at most ``max_rows`` markers, else an error), so
-    there is no unpivot, join or pivot. A marker without a threshold becomes null.
+    Only the rows of ``markers`` are read, one number each, so the schema bounds what is
+    attached to a cell, and there is no unpivot, join or pivot. A marker without a threshold becomes null;
+    of several thresholds the largest counts.
     """
-    rows = thresholds.where("Threshold IS NOT NULL").agg(
-        F.collect_list(F.struct("Biomarker", "Threshold")).alias("t"), F.count("*").alias("n")
-    )
-    fits = F.when(F.col("n") <= max_rows, F.map_from_entries("t")).otherwise(F.raise_error(F.lit("too many thresholds")))
-    limits = rows.select(fits.alias("m")).scalar()
+    of = thresholds.where(F.col("Threshold").isNotNull() & F.col("Biomarker").isin(*markers))
+    best = of.agg(*(F.max(F.when(F.col("Biomarker") == m, F.col("Threshold"))).alias(f"t{i}") for i, m in enumerate(markers)))
+    limits = best.select(F.create_map(*(x for i, m in enumerate(markers) for x in (F.lit(m), F.col(f"t{i}")))).alias("m")).scalar()
     out = df.withColumn("_limits", limits)
 
     def hit(m):
@@ -232,22 +231,23 @@ def region_pixels(regions: DataFrame) -> DataFrame:
     return rows.select("region", "list_order", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
 
 
-def point_in_region(points: DataFrame, pixels: DataFrame, x: str = "centroid_x", y: str = "centroid_y") -> DataFrame:
+def point_in_region(points: DataFrame, pixels: DataFrame, x: str = "centroid_x", y: str = "centroid_y", on=()) -> DataFrame:
     """Region of the pixel under each point; the region listed last wins.
 
     Region pixels are reduced to those under a point before anything else and the
     winner per pixel is an aggregate, so neither overlapping regions nor piles of
     points multiply rows.
     """
-    spots = points.select(F.col(y).alias("y"), F.col(x).alias("x")).distinct()
+    on = list(on)
+    spots = points.select(*on, F.col(y).alias("y"), F.col(x).alias("x")).distinct()
     named = (
-        pixels.join(spots, ["y", "x"], "left_semi")
-        .groupBy("y", "x")
+        pixels.join(spots, [*on, "y", "x"], "left_semi")
+        .groupBy(*on, "y", "x")
         .agg(F.max(F.struct("list_order", "region")).alias("_w"))
-        .select("y", "x", F.col("_w.region").alias("region"))
+        .select(*on, "y", "x", F.col("_w.region").alias("region"))
     )
     p = points.withColumns({"y": F.col(y), "x": F.col(x)})
-    return p.join(named, ["y", "x"], "left").drop("y", "x")
+    return p.join(named, [*on, "y", "x"], "left").drop("y", "x")
 
 
 def region_counts(df: DataFrame, markers) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import stage
 from .ordering import top_fraction, top_per_key
@@ -152,20 +152,18 @@ _PAIR = ["src_x", "src_y", "dst_x", "dst_y"]
 
 
 def sample_trials(matches: DataFrame, trials: int, min_samples: int, seed: int = 0, tile: str = "tile") -> DataFrame:
-    """Tile-stratified samples: per trial ``min_samples`` tiles and one match of each.
+    """Stratified samples: per trial ``min_samples`` cells (tile, hash slot) and one match of each.
 
-    Choices are hash orders of (seed, trial, tile) and (seed, trial, match), so a
-    lost task draws the same sample again. If there are fewer tiles than samples,
-    the draw works on (tile, hash slot) cells instead of tiles.
+    A trial takes one slot of every tile before a second slot of any, so samples spread over
+    tiles, and few tiles are no special case. Choices are hash orders of (seed, trial, cell) and
+    (seed, trial, match), so a lost task draws the same sample again.
     """
     slots = F.pmod(F.xxhash64("match_id", F.lit(seed)), F.lit(min_samples)).cast("int")
-    n_tiles = matches.select(tile).distinct().count()
-    cell = F.struct(F.col(tile), F.lit(0) if n_tiles >= min_samples else slots)
-    m = matches.withColumn("_cell", F.xxhash64(cell))
-    cells = m.select("_cell").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    chosen = top_per_key(
-        cells.withColumn("_h", F.xxhash64(F.lit(seed), "trial", "_cell")), ["trial"], [F.col("_h"), F.col("_cell")], min_samples
-    ).select("trial", "_cell")
+    m = matches.withColumn("_cell", F.xxhash64(F.struct(F.col(tile), slots)))
+    cells = m.select(tile, "_cell").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    cells = cells.withColumn("_h", F.xxhash64(F.lit(seed), "trial", "_cell"))
+    turn = F.row_number().over(Window.partitionBy("trial", tile).orderBy("_h", "_cell"))
+    chosen = top_per_key(cells.withColumn("_turn", turn), ["trial"], [F.col("_turn"), F.col("_h"), F.col("_cell")], min_samples).select("trial", "_cell")
     picked = m.join(chosen, "_cell").groupBy("trial", "_cell").agg(
         F.min(F.struct(F.xxhash64(F.lit(seed + 1), "trial", "match_id").alias("h"), *_PAIR)).alias("p")
     )
@@ -267,7 +265,7 @@ def fit_ransac(
         value = top[objective] * _OBJECTIVES[objective]
         if best is None or value > best["value"]:
             best = {"value": value, "model": models[top["trial"]], **{k: top[k] for k in _OBJECTIVES}}
-        if objective == "inlier_num" and done >= needed_trials(best["inlier_num"], total, min_samples, probability):
+        if objective == "inlier_num" and enough(best["inlier_num"] / total, min_samples, done, probability):
             break
     if best is None:
         return {"matrix": None, "trials": done}
@@ -285,16 +283,9 @@ def search_ransac(matches: DataFrame, kind: str = "affine", samples=range(3, 7),
     ]
 
 
-def needed_trials(inliers: int, total: int, min_samples: int, probability: float) -> float:
-    """Trials after which one outlier-free sample was drawn with the given probability."""
-    if inliers == 0 or probability >= 1:
-        return float("inf")
-    miss = 1 - (inliers / total) ** min_samples
-    if miss <= 0:
-        return 1
-    if miss >= 1:
-        return float("inf")
-    return float(np.ceil(np.log(1 - probability) / np.log(miss)))
+def enough(share: float, min_samples: int, done: int, probability: float) -> bool:
+    """Whether ``done`` samples hold one without outliers with the given probability, at this share of inliers."""
+    return (1 - share**min_samples) ** done <= 1 - probability
 
 
 def with_residual(matches: DataFrame, matrix) -> DataFrame:
@@ -303,15 +294,16 @@ def with_residual(matches: DataFrame, matrix) -> DataFrame:
     return matches.withColumn("residual", F.sqrt(dx * dx + dy * dy))
 
 
-def local_refit(points: DataFrame, matches: DataFrame, matrix, regions: DataFrame, kind: str = "affine", min_samples: int = 3) -> DataFrame:
+def local_refit(points: DataFrame, matches: DataFrame, matrix, regions: DataFrame, kind: str = "affine", min_samples: int = 3, on=()) -> DataFrame:
     """Warp points with a local transform inside flagged regions, the global one elsewhere.
 
-    ``regions`` is a pixel table ``(label, y, x)``; a match belongs to the region
+    ``regions`` is a pixel table ``(on, label, y, x)``, ``on`` naming the image; labels are unique over images. A match belongs to the region
     of its target pixel. Every region needs only its summed normal matrix, so a
     region full of matches is as cheap as any other.
     """
     px = [(F.floor(F.col("dst_y"))).alias("y"), (F.floor(F.col("dst_x"))).alias("x")]
-    inside = matches.select(*_PAIR, *px).join(regions, ["y", "x"])
+    on = list(on)
+    inside = matches.select(*on, *_PAIR, *px).join(regions, [*on, "y", "x"])
     fs, fd = _frames(matches)
     moved = {n: F.col(n) * float(f[0, 0]) + float(f[i, 2]) for f, k in ((fs, "src"), (fd, "dst")) for i, n in enumerate((f"{k}_x", f"{k}_y"))}
     sums = _normal_sums(inside.withColumns(moved))
@@ -327,8 +319,8 @@ def local_refit(points: DataFrame, matches: DataFrame, matrix, regions: DataFram
     models = sums.mapInPandas(lambda it: (solve(p) for p in it), "label long, model array<double>")
     gx, gy = warp(F.col("x"), F.col("y"), matrix)
     p = points.withColumns({"_gx": gx, "_gy": gy})
-    at = regions.select("label", F.col("y").alias("_py"), F.col("x").alias("_px"))
-    p = p.withColumns({"_py": F.floor("_gy"), "_px": F.floor("_gx")}).join(at, ["_py", "_px"], "left").join(models, "label", "left")
+    at = regions.select(*on, "label", F.col("y").alias("_py"), F.col("x").alias("_px"))
+    p = p.withColumns({"_py": F.floor("_gy"), "_px": F.floor("_gx")}).join(at, [*on, "_py", "_px"], "left").join(models, "label", "left")
     m = F.col("model")
     w = F.col("x") * m[6] + F.col("y") * m[7] + m[8]
     lx = (F.col("x") * m[0] + F.col("y") * m[1] + m[2]) / w
@@ -351,18 +343,21 @@ def _normal_sums(matches: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- quality
 
 
-def flag_misaligned(tile_means: DataFrame, tile_errors: DataFrame, inlier_rates: DataFrame, tile: int, on=("tile_y", "tile_x")) -> DataFrame:
+def flag_misaligned(
+    tile_means: DataFrame, tile_errors: DataFrame, inlier_rates: DataFrame, tile: int, on=("tile_y", "tile_x"),
+    bright: float = 0.25, max_error: float = 1.2, min_inliers: float = 0.4, max_area: float = 1 / 64,
+) -> DataFrame:
     """Tiles to be registered again.
 
-    Bright (mean above a quarter of the global mean), error above 1.2 percent,
-    inlier rate below 0.4 and a differing area above 1/64 of the tile.
+    Those brighter than ``bright`` of the global mean, of an error above ``max_error`` percent, an inlier
+    rate below ``min_inliers`` and a differing area above ``max_area`` of the tile. The defaults are fixed values.
     """
     on = list(on)
     overall = tile_means.agg((F.sum("total") / F.sum("pixels")).alias("m")).scalar()
     joined = tile_means.join(tile_errors, on).join(inlier_rates, on)
     return joined.where(
-        (F.col("total") / F.col("pixels") > overall / 4) & (F.col("error") > 1.2)
-        & (F.col("inlier_rate") < 0.4) & (F.col("diff_area") > tile * tile / 64)
+        (F.col("total") / F.col("pixels") > overall * bright) & (F.col("error") > max_error)
+        & (F.col("inlier_rate") < min_inliers) & (F.col("diff_area") > tile * tile * max_area)
     )
 
 
@@ -402,21 +397,15 @@ def make_channel_script(files: DataFrame, crop, brightfield: int | None = None,
     )
 
 
-def mask_manifest(images: DataFrame, masks: DataFrame) -> DataFrame:
-    """Image and mask pairs: every seed mask with every image, other masks by marker.
+def mask_manifest(images: DataFrame, masks: DataFrame, on=("data_set",)) -> DataFrame:
+    """Image and mask pairs of a data set: its seed masks with every image, other masks by marker.
 
-    ``images`` has ``image_id, biomarker``; ``masks`` has ``mask_id, biomarker,
-    is_seed, part``. Seed masks are the few nuclear masks of a data set; they are
-    attached to the images as one array of checked size instead of a cross join.
+    ``images`` has ``data_set, image_id, biomarker``; ``masks`` has ``data_set, mask_id, biomarker,
+    is_seed, part``.
     """
-    seeds = masks.where("is_seed").agg(F.sort_array(F.collect_list(F.struct("mask_id", "part"))).alias("s"))
-    n = masks.where("is_seed").count()
-    if n > 1000:
-        raise ValueError(f"{n} seed masks; at most 1000 are attached to every image")
-    every = images.select("image_id", "biomarker", F.explode(seeds.scalar()).alias("m")).select(
-        "image_id", F.col("m.mask_id").alias("mask_id"), F.col("biomarker").alias("description")
-    )
-    own = images.join(masks.where("NOT is_seed"), "biomarker").select(
+    on = list(on)
+    every = images.join(masks.where("is_seed").drop("biomarker"), on).select("image_id", "mask_id", F.col("biomarker").alias("description"))
+    own = images.join(masks.where("NOT is_seed"), [*on, "biomarker"]).select(
         "image_id", "mask_id", F.concat("biomarker", F.lit(" with "), "part").alias("description")
     )
     return every.unionByName(own)

@@ -5,10 +5,11 @@ answer is reached without a sequential scan: rows nobody better can suppress are
 kept, the rows they suppress are dropped, and this repeats on what is left. Every
 round is a few joins on narrow staged tables; no group is collected anywhere.
 
-Two steps keep the candidate pairs few in crowded places. Copies of one box are
-merged into their best row first. Cells that still hold very many boxes are
-thinned before pairs are formed: a box that leads every cell it touches is
-certainly kept, and the boxes it suppresses are dropped.
+Three steps keep the candidate pairs few in crowded places. Copies of one box are
+merged into their best row first. Boxes meet only on grid levels that the IoU
+threshold allows, so a wide box does not draw all small ones into its cell. Then
+the boxes that lead every cell they touch are kept, and what they suppress is
+dropped, before the other pairs are formed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from ..runtime import stage
 from . import boxes as ob
 from .nearest import within_radius
 from .ordering import numbered, top_per_key
-from .overlap import _emit, _level, _pad, box_pairs
+from .overlap import _emit, _level, _pad, box_pairs, iou_span
 
 
 def greedy_losers(edges: DataFrame) -> DataFrame:
@@ -50,28 +51,20 @@ def _merge_copies(df: DataFrame, keys, priority: str, id_col: str) -> tuple[Data
     return best.select(*keys, *BOX, F.col("_b.p").alias("_p"), (-F.col("_b.n")).alias("_id")), flat
 
 
-def _thin(live: DataFrame, keys, overlaps, cell: float, top: Column | None, crowd: int):
-    """Resolve crowded cells; returns the rows left, those kept and those dropped."""
-    kept, dropped = [], []
+def _thin(live: DataFrame, keys, overlaps, cell: float, top: Column | None, span: int | None):
+    """Settle the leaders of the cells; returns the rows left and the ids kept."""
     place = [*keys, "_level", "_cx", "_cy"]
-    while True:
-        cells = _emit(live, keys, "a", cell, top).select(*place, F.col("_a__p").alias("_p"), F.col("_a__id").alias("_id")).distinct()
-        most = cells.groupBy(*place).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
-        if most is None or most <= crowd:
-            return live, kept, dropped
-        lead = cells.groupBy(*place).agg(F.max(F.struct("_p", (-F.col("_id")).alias("n"))).alias("_b"))
-        leads = cells.join(lead, place).groupBy("_id").agg(F.bool_and(-F.col("_b.n") == F.col("_id")).alias("safe"))
-        safe = stage(live.join(leads.where("safe").select("_id"), "_id", "left_semi"), "safe")
-        pairs = _edges(safe, live, keys, overlaps, cell, top)
-        dead = stage(pairs.select(F.col("loser").alias("_id")).distinct(), "dead")
-        kept.append(safe.select("_id"))
-        dropped.append(dead)
-        gone = safe.select("_id").unionByName(dead)
-        live = stage(live.join(gone, "_id", "left_anti"), "live")
-
-
-def _edges(left: DataFrame, right: DataFrame, keys, overlaps, cell, top) -> DataFrame:
-    pairs = box_pairs(left, right, keys, cell=cell, top=top)
+    cells = _emit(live, keys, "a", cell, top, span).select(*place, F.col("_a__p").alias("_p"), F.col("_a__id").alias("_id")).distinct()
+    lead = cells.groupBy(*place).agg(F.max(F.struct("_p", (-F.col("_id")).alias("n"))).alias("_b"))
+    leads = cells.join(lead, place).groupBy("_id").agg(F.bool_and(-F.col("_b.n") == F.col("_id")).alias("safe"))
+    safe = stage(live.join(leads.where("safe").select("_id"), "_id", "left_semi"), "safe")
+    dead = _edges(safe, live, keys, overlaps, cell, top, span).select(F.col("loser").alias("_id"))
+    gone = safe.select("_id").unionByName(dead).distinct()
+    return stage(live.join(gone, "_id", "left_anti"), "live"), safe.select("_id")
+
+
+def _edges(left: DataFrame, right: DataFrame, keys, overlaps, cell, top, span) -> DataFrame:
+    pairs = box_pairs(left, right, keys, cell=cell, top=top, span=span)
     better = (F.col("a._p") > F.col("b._p")) | ((F.col("a._p") == F.col("b._p")) & (F.col("a._id") < F.col("b._id")))
     return pairs.where(better & overlaps(Box.of("a"), Box.of("b"))).select(
         F.col("a._id").alias("winner"), F.col("b._id").alias("loser")
@@ -87,7 +80,6 @@ def nms(
     overlaps=None,
     max_output: int | None = None,
     cell: float = 64.0,
-    crowd: int = 2000,
 ) -> DataFrame:
     """Greedy suppression per key: IoU above ``threshold`` drops the worse row.
 
@@ -95,20 +87,19 @@ def nms(
     ``overlaps(better, worse)`` may replace the IoU rule; it must hold for
     identical boxes. A threshold of 1 or more suppresses nothing.
     """
-    keys = list(keys)
+    keys, span = list(keys), None
     if overlaps is None:
         if threshold >= 1:
             return _best(df, keys, id_col, priority, max_output)
+        span = iou_span(threshold)
         overlaps = lambda a, b: iou(a, b) > threshold
     nodes, flat = _merge_copies(df, keys, priority, id_col)
     nodes = stage(nodes, "nodes")
     widest = nodes.agg(F.max(_level(Box.of(), cell)).alias("top")).first()["top"]
     top = F.lit(widest) if widest else None
-    live, kept, _ = _thin(nodes, keys, overlaps, cell, top, crowd)
-    losers = greedy_losers(_edges(live, live, keys, overlaps, cell, top))
-    winners = live.select("_id").join(losers.select(F.col("loser").alias("_id")), "_id", "left_anti")
-    for part in kept:
-        winners = winners.unionByName(part)
+    live, kept = _thin(nodes, keys, overlaps, cell, top, span)
+    losers = greedy_losers(_edges(live, live, keys, overlaps, cell, top, span))
+    winners = live.select("_id").join(losers.select(F.col("loser").alias("_id")), "_id", "left_anti").unionByName(kept)
     winners = winners.select(F.col("_id").alias(id_col)).unionByName(flat.select(id_col))
     return _best(df.join(winners, id_col, "left_semi"), keys, id_col, priority, max_output)
 
@@ -160,7 +151,7 @@ def box_vote(kept: DataFrame, pool: DataFrame, threshold: float, keys=("image_id
     """
     keys = list(keys)
     merged = pool.groupBy(*keys, *BOX).agg(F.sum("score").alias("_w"), F.count("*").alias("_n"))
-    pairs = box_pairs(kept.select(*keys, id_col, *BOX), merged, keys, **grid)
+    pairs = box_pairs(kept.select(*keys, id_col, *BOX), merged, keys, span=iou_span(threshold), **grid)
     hit = pairs.where(iou(Box.of("a"), Box.of("b")) > threshold)
     weight = F.sum("b._w")
     voted = hit.groupBy(*keys, F.col(f"a.{id_col}").alias(id_col)).agg(

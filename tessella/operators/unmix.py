@@ -21,14 +21,14 @@ def in_roi(pixels: DataFrame, roi: Box | None) -> DataFrame:
     return pixels.where((F.col("y") >= roi.ymin) & (F.col("y") < roi.ymax) & (F.col("x") >= roi.xmin) & (F.col("x") < roi.xmax))
 
 
-def gram(pixels: DataFrame, channels, scale: float = 1.0) -> DataFrame:
+def gram(pixels: DataFrame, channels, scale: float = 1.0, on=()) -> DataFrame:
     """Sums over pixels: ``n``, ``m_i`` per channel and ``g_i_j`` per channel pair, in one row.
 
-    ``pixels`` is long ``(channel, y, x, value)``; ``scale`` divides values (the
+    ``pixels`` is long ``(on, channel, y, x, value)``, ``on`` naming the image; ``scale`` divides values (the
     type's maximum turns integers into fractions).
     """
     channels = list(channels)
-    wide = pixels.groupBy("y", "x").agg(
+    wide = pixels.groupBy(*on, "y", "x").agg(
         *(F.coalesce(F.max(F.when(F.col("channel") == c, F.col("value"))), F.lit(0)).cast("double").alias(f"c{i}") for i, c in enumerate(channels))
     )
     v = [F.col(f"c{i}") / scale for i in range(len(channels))]
@@ -54,14 +54,14 @@ def _positive_lasso(cov: np.ndarray, target: np.ndarray, alpha: float, rounds: i
     return w
 
 
-def fit_lasso(pixels: DataFrame, channels, roi: Box | None = None, alpha: float = 1e-4, scale: float = 65535.0) -> DataFrame:
+def fit_lasso(pixels: DataFrame, channels, roi: Box | None = None, alpha: float = 1e-4, scale: float = 65535.0, on=()) -> DataFrame:
     """Positive LASSO with intercept of each channel on the others, as ``(target, channel, weight)``.
 
     The sums are centred with the means, which is what fitting an intercept does.
     """
     channels = list(channels)
     k = len(channels)
-    row = gram(in_roi(pixels, roi), channels, scale).first()
+    row = gram(in_roi(pixels, roi), channels, scale, on).first()
     n = row["n"]
     mean = np.array([row[f"m_{i}"] for i in range(k)]) / n
     g = np.array([[row[f"g_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / n
@@ -74,16 +74,16 @@ def fit_lasso(pixels: DataFrame, channels, roi: Box | None = None, alpha: float
     return pixels.sparkSession.createDataFrame(out, "target string, channel string, weight double")
 
 
-def fit_closed(pixels: DataFrame, pairs: DataFrame, roi: Box | None = None) -> DataFrame:
+def fit_closed(pixels: DataFrame, pairs: DataFrame, roi: Box | None = None, on=()) -> DataFrame:
     """Weight in [0, 1] of each listed ``(target, channel)`` pair: sum(s*n) / sum(n*n), clipped.
 
     The terms of the supervised objective do not interact, so each weight is one
     ratio of sums.
     """
     p = in_roi(pixels, roi)
-    noise = p.join(pairs, "channel").select("target", "channel", "y", "x", F.col("value").alias("_n"))
-    source = p.select(F.col("channel").alias("target"), "y", "x", F.col("value").alias("_s"))
-    sums = noise.join(source, ["target", "y", "x"], "left").groupBy("target", "channel").agg(
+    noise = p.join(pairs, "channel").select(*on, "target", "channel", "y", "x", F.col("value").alias("_n"))
+    source = p.select(*on, F.col("channel").alias("target"), "y", "x", F.col("value").alias("_s"))
+    sums = noise.join(source, [*on, "target", "y", "x"], "left").groupBy("target", "channel").agg(
         F.sum(F.coalesce("_s", F.lit(0)) * F.col("_n")).alias("_sn"), F.sum(F.col("_n") * F.col("_n")).alias("_nn")
     )
     ratio = F.when(F.col("_nn") > 0, F.col("_sn") / F.col("_nn")).otherwise(F.lit(1.0))
@@ -102,7 +102,7 @@ def noise_columns(weights: DataFrame, k: int = 3) -> DataFrame:
     return weights.select("target").distinct().join(named, "target", "left")
 
 
-def apply(pixels: DataFrame, weights: DataFrame, dtype: str = "uint16") -> DataFrame:
+def apply(pixels: DataFrame, weights: DataFrame, dtype: str = "uint16", on=()) -> DataFrame:
     """Subtract weighted channels, clamp at 0, round back to the pixel type.
 
     Every target is a signed sum of channels at one pixel, so one join with the
@@ -110,8 +110,8 @@ def apply(pixels: DataFrame, weights: DataFrame, dtype: str = "uint16") -> DataF
     """
     own = pixels.select("channel").distinct().select(F.col("channel").alias("target"), "channel", F.lit(1.0).alias("coef"))
     coef = own.unionByName(weights.select("target", "channel", (-F.col("weight")).alias("coef")))
-    mixed = pixels.join(coef, "channel").groupBy("target", "y", "x").agg(F.sum(F.col("value") * F.col("coef")).alias("v"))
-    return mixed.select(F.col("target").alias("channel"), "y", "x", to_dtype(F.col("v"), dtype).alias("value"))
+    mixed = pixels.join(coef, "channel").groupBy(*on, "target", "y", "x").agg(F.sum(F.col("value") * F.col("coef")).alias("v"))
+    return mixed.select(*on, F.col("target").alias("channel"), "y", "x", to_dtype(F.col("v"), dtype).alias("value"))
 
 
 def restretch_low_contrast(pixels: DataFrame, dtype: str = "uint16", fraction: float = 0.05) -> DataFrame:

@@ -197,11 +197,11 @@ def _(t):
 
 @query(
     "table_offset",
-    "SELECT ID, xmin + 34000 AS xmin, ymin + 8000 AS ymin, xmax + 34000 AS xmax, ymax + 8000 AS ymax, centroid_x + 34000 AS centroid_x, centroid_y + 8000 AS centroid_y FROM cells",
+    "SELECT ID, xmin + 1200 AS xmin, ymin + 700 AS ymin, xmax + 1200 AS xmax, ymax + 700 AS ymax, centroid_x + 1200 AS centroid_x, centroid_y + 700 AS centroid_y FROM cells",
     ["cells"],
 )
 def _(t):
-    return ob.offset(t.cells, 34000, 8000).select("ID", *B4, "centroid_x", "centroid_y")
+    return ob.offset(t.cells, 1200, 700).select("ID", *B4, "centroid_x", "centroid_y")
 
 
 @query("area_um2", "SELECT ID, ROUND((xmax - xmin) * (ymax - ymin) * 0.105625::DOUBLE, 6) AS area FROM cells", ["cells"])

@@ -59,13 +59,12 @@ _COARSE = "STRUCT_PACK(xmin := FLOOR({0}.xmin / 4), ymin := FLOOR({0}.ymin / 4),
 
 @query(
     "nms_masks",
-    f"""WITH coarse AS (SELECT det_id, image_id, score, FLOOR(xmin / 4) AS xmin, FLOOR(ymin / 4) AS ymin, FLOOR(xmax / 4) + 1 AS xmax, FLOOR(ymax / 4) + 1 AS ymax FROM det WHERE score > 0.5),
+    f"""WITH coarse AS (SELECT det_id, image_id, score, FLOOR(xmin / 4) AS xmin, FLOOR(ymin / 4) AS ymin, FLOOR(xmax / 4) + 1 AS xmax, FLOOR(ymax / 4) + 1 AS ymax FROM det),
 {sql_nms('coarse', 'image_id', BEST_FIRST, IOU_RULE)} SELECT det_id FROM kept""",
     GT_DET,
 )
 def _(t):
-    d = t.det.where("score > 0.5")
-    return sp.nms_masks(d, _pixels(d, "det_id"), 0.5).select("det_id")
+    return sp.nms_masks(t.det, _pixels(t.det, "det_id"), 0.5).select("det_id")
 
 
 _VOTED = f"""voted AS (SELECT k.det_id, SUM(p.xmin * p.score) / SUM(p.score) AS xmin, SUM(p.ymax * p.score) / SUM(p.score) AS ymax, AVG(p.score) AS score
@@ -77,9 +76,9 @@ def _voted(df):
     return df.select("det_id", *(F.round(c, 5).alias(c) for c in ("xmin", "ymax", "score")))
 
 
-@query("agg_box_vote", "WITH sel AS (SELECT * FROM det WHERE score > 0.9), " + _VOTED.format(kept="sel"), GT_DET)
+@query("agg_box_vote", "WITH sel AS (SELECT * FROM det), " + _VOTED.format(kept="sel"), GT_DET)
 def _(t):
-    return _voted(sp.box_vote(t.det.where("score > 0.9"), t.det, 0.4, ["image_id", "class_id"], **SMALL))
+    return _voted(sp.box_vote(t.det, t.det, 0.4, ["image_id", "class_id"], **SMALL))
 
 
 @query(
@@ -104,12 +103,6 @@ def _(t):
     return sp.remove_close_centers(c, 9, ["slide"], id_col="ID").select("ID")
 
 
-_TILED = """tiled AS (SELECT (ID * 100 + (tile_y // 250) * 8 + tile_x // 250 % 8) AS det_id, tile_x, tile_y, ID, ((ID * 7907 + tile_x // 250 + 3 * (tile_y // 250)) % 100003) / 100003.0::DOUBLE AS score,
-  xmin - tile_x + (tile_x // 250) % 3 AS xmin, ymin - tile_y + (tile_y // 250) % 2 AS ymin, xmax - tile_x + (tile_x // 250) % 3 AS xmax, ymax - tile_y + (tile_y // 250) % 2 AS ymax FROM cells,
-  (SELECT CAST(UNNEST(RANGE(13)) * 250 AS BIGINT) AS tile_y), (SELECT CAST(UNNEST(RANGE(17)) * 250 AS BIGINT) AS tile_x)
-  WHERE xmin >= tile_x AND xmax < tile_x + 300 AND ymin >= tile_y AND ymax < tile_y + 300)"""
-
-
 @query("fuse_tile_detections")
 def _(t):
     tiles = nn.boxes_in_tiles(t.cells, 300, 250)

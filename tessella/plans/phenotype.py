@@ -135,7 +135,7 @@ def _(t):
 
 # --------------------------------------------------------------------- regions
 
-LOCATED = """located AS (SELECT c.ID, c.centroid_x, c.centroid_y, ARG_MAX(r.region, r.list_order) AS region FROM cells c
+LOCATED = """located AS (SELECT c.ID, c.slide, c.centroid_x, c.centroid_y, ARG_MAX(r.region, r.list_order) AS region FROM cells c
 LEFT JOIN regions r ON c.centroid_x BETWEEN r.x0 AND r.x1 AND c.centroid_y BETWEEN r.y0 AND r.y1 GROUP BY ALL)"""
 
 
@@ -187,30 +187,30 @@ def _(t):
 
 @query(
     "join_nearest_labelled",
-    f"""WITH {LOCATED}, lab AS (SELECT * FROM located WHERE region IS NOT NULL AND ID % 3 = 0), un AS (SELECT * FROM located WHERE region IS NULL),
-d AS (SELECT u.ID, l.region, (u.centroid_x - l.centroid_x) ** 2 + (u.centroid_y - l.centroid_y) ** 2 AS d2, l.ID AS lid FROM un u, lab l)
+    f"""WITH {LOCATED}, lab AS (SELECT * FROM located WHERE region IS NOT NULL), un AS (SELECT * FROM located WHERE region IS NULL),
+d AS (SELECT u.ID, l.region, (u.centroid_x - l.centroid_x) ** 2 + (u.centroid_y - l.centroid_y) ** 2 AS d2, l.ID AS lid FROM un u JOIN lab l USING (slide))
 SELECT ID, ARG_MIN(region, d2 * 1000000 + lid) AS region, ROUND(SQRT(MIN(d2)), 6) AS distance FROM d GROUP BY ID""",
     ["cells", "regions"],
 )
 def _(t):
-    p = stage(located(t).select("ID", "region", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y")))
-    lab = p.where("region IS NOT NULL AND ID % 3 = 0").withColumnRenamed("ID", "near_id")
-    hit = nn.nearest(p.where("region IS NULL"), lab, "ID", "near_id")
+    p = stage(located(t).select("slide", "ID", "region", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y")))
+    lab = p.where("region IS NOT NULL").withColumnRenamed("ID", "near_id")
+    hit = nn.nearest(p.where("region IS NULL"), lab, "ID", "near_id", on=["slide"])
     return hit.join(lab.select("near_id", "region"), "near_id").select("ID", "region", F.round("distance", 6).alias("distance"))
 
 
 @query(
     "join_nearest_mask",
-    f"""WITH {GATED}, a AS (SELECT c.ID, c.slide, c.centroid_x AS x, c.centroid_y AS y FROM cells c JOIN gated g USING (ID) WHERE g.S100 = 1 AND c.ID % 2 = 0),
-m AS (SELECT ID AS mask, slide, xmin AS x, ymin AS y FROM cells WHERE ID % 5 = 1),
+    f"""WITH {GATED}, a AS (SELECT c.ID, c.slide, c.centroid_x AS x, c.centroid_y AS y FROM cells c JOIN gated g USING (ID) WHERE g.S100 = 1),
+m AS (SELECT ID AS mask, slide, xmin AS x, ymin AS y FROM cells),
 d AS (SELECT a.ID, m.mask, (a.x - m.x) ** 2 + (a.y - m.y) ** 2 AS d2 FROM a JOIN m ON a.slide = m.slide AND a.x BETWEEN m.x - 50 AND m.x + 50 AND a.y BETWEEN m.y - 50 AND m.y + 50)
 SELECT ID, mask, ROUND(SQRT(d2), 6) AS distance FROM (SELECT *, RANK() OVER (PARTITION BY ID ORDER BY d2) AS rk FROM d WHERE d2 < 2500) WHERE rk = 1""",
     ["cells", "features"],
 )
 def _(t):
-    a = t.cells.join(gated(t).where(ph.positive("S100")).select("ID"), "ID").where("ID % 2 = 0")
+    a = t.cells.join(gated(t).where(ph.positive("S100")).select("ID"), "ID")
     a = a.select("slide", "ID", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"))
-    m = t.cells.where("ID % 5 = 1").select("slide", F.col("ID").alias("mask"), F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+    m = t.cells.select("slide", F.col("ID").alias("mask"), F.col("xmin").alias("x"), F.col("ymin").alias("y"))
     return nn.nearest_within(a, m, "ID", "mask", 50.0, ["slide"]).select("ID", "mask", F.round("distance", 6).alias("distance"))
 
 
@@ -239,11 +239,11 @@ def _(t):
 
 @query(
     "join_prune_nonoverlap",
-    f"SELECT det_id FROM det d WHERE EXISTS (SELECT 1 FROM gt g WHERE g.image_id = d.image_id AND g.gt_id % 2 = 0 AND {sql_inter('d', 'g')} / {sql_area('d')} >= 0.6)",
+    f"SELECT det_id FROM det d WHERE EXISTS (SELECT 1 FROM gt g WHERE g.image_id = d.image_id AND {sql_inter('d', 'g')} / {sql_area('d')} >= 0.6)",
     GT_DET,
 )
 def _(t):
-    return ov.prune_non_overlapping(t.det, t.gt.where("gt_id % 2 = 0"), 0.6, ["image_id"], **SMALL).select("det_id")
+    return ov.prune_non_overlapping(t.det, t.gt, 0.6, ["image_id"], **SMALL).select("det_id")
 
 
 @query(

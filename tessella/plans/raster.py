@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
-from ..functions.boxes import window
+
 from ..operators import masks, morphology as mo, patches, phenotype as ph, raster as ra, registration as rg, unmix as um
 from .boxes import r6
 from .evaluation import GT_DET
@@ -15,7 +15,7 @@ from .registry import query
 
 R = ["raster"]
 # small boxes over the raster (64 columns, one row per embedding)
-BOXES = "zb AS (SELECT y AS ID, (y * 7) % 48 AS xmin, y AS ymin, (y * 7) % 48 + 5 + y % 9 AS xmax, y + 4 + y % 6 AS ymax FROM (SELECT DISTINCT y FROM raster) WHERE y < (SELECT MAX(y) FROM raster) - 12)"
+BOXES = "zb AS (SELECT y AS ID, (y * 7) % 48 AS xmin, y AS ymin, (y * 7) % 48 + 5 + y % 9 AS xmax, LEAST(y + 4 + y % 6, (SELECT MAX(y) + 1 FROM raster)) AS ymax FROM (SELECT DISTINCT y FROM raster))"
 CHANNELS = """ch AS (SELECT 'R1C1.tif' AS channel, y, x, value FROM raster UNION ALL SELECT 'R1C2.tif', y, 63 - x, value FROM raster
 UNION ALL SELECT 'R1C3.tif', y, x, value // 2 FROM raster)"""
 FG = "fg AS (SELECT y, x FROM raster WHERE value > 1150)"
@@ -24,8 +24,8 @@ FG = "fg AS (SELECT y, x FROM raster WHERE value > 1150)"
 def zones(t):
     ys = t.embeddings.select(F.col("vec_id").alias("y"))
     top = ys.agg(F.max("y").alias("m")).scalar()
-    return ys.where(F.col("y") < top - 12).selectExpr(
-        "y AS ID", "(y * 7) % 48 AS xmin", "y AS ymin", "(y * 7) % 48 + 5 + y % 9 AS xmax", "y + 4 + y % 6 AS ymax"
+    return ys.select("y", top.alias("top")).selectExpr(
+        "y AS ID", "(y * 7) % 48 AS xmin", "y AS ymin", "(y * 7) % 48 + 5 + y % 9 AS xmax", "least(y + 4 + y % 6, top + 1) AS ymax"
     )
 
 
@@ -356,9 +356,11 @@ def _(t):
 
 @query("merge_tiles")
 def _(t):
-    grid = t.cells.where("ID % 331 = 0").selectExpr(
-        "ID AS tile_id", "centroid_y DIV 100 * 100 AS row0", "centroid_x DIV 100 * 100 AS col0",
-        "centroid_y DIV 100 * 100 + 100 AS row1", "centroid_x DIV 100 * 100 + 100 AS col1",
+    # every cell stands in a tile of its slide; tiles of 40 pixels on a grid of 100 touch only their copies
+    at = "centroid_y DIV 100 * 100", "centroid_x DIV 100 * 100"
+    wide = "if((centroid_y DIV 100 + centroid_x DIV 100) % 3 = 0, 100, 40)"
+    grid = t.cells.selectExpr(
+        f"ID AS tile_id", f"{at[0]} AS row0", f"{at[1]} AS col0", f"{at[0]} + 40 AS row1", f"{at[1]} + {wide} AS col1"
     )
     return mo.merge_tiles(grid, 20)
 
@@ -397,18 +399,13 @@ def _(t):
 PAIRS = [("R1C1.tif", "R1C2.tif"), ("R1C1.tif", "R1C3.tif"), ("R1C3.tif", "R1C2.tif")]
 _PAIR_SQL = "pr AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + ") v(target, channel))"
 _CLOSED = f"""{CHANNELS}, {_PAIR_SQL}, wt AS (SELECT pr.target, pr.channel, GREATEST(LEAST(SUM(s.value * n.value) / SUM(n.value * n.value), 1), 0) AS weight FROM pr
-JOIN ch s ON s.channel = pr.target JOIN ch n ON n.channel = pr.channel AND n.y = s.y AND n.x = s.x WHERE s.y >= 10 AND s.y < 300 AND s.x >= 4 AND s.x < 60 GROUP BY ALL)"""
-def roi():
-    return window(4, 10, 60, 300)
-
-
-
+JOIN ch s ON s.channel = pr.target JOIN ch n ON n.channel = pr.channel AND n.y = s.y AND n.x = s.x GROUP BY ALL)"""
 def _weights(t):
     pairs = t.region.where("r_regionkey < 3").selectExpr(
         "element_at(array('R1C1.tif', 'R1C1.tif', 'R1C3.tif'), CAST(r_regionkey AS INT) + 1) AS target",
         "element_at(array('R1C2.tif', 'R1C3.tif', 'R1C2.tif'), CAST(r_regionkey AS INT) + 1) AS channel",
     )
-    return um.fit_closed(channels(t), pairs, roi())
+    return um.fit_closed(channels(t), pairs)
 
 
 @query("fit_unmix_closed", f"WITH {_CLOSED} SELECT target, channel, ROUND(weight, 6) AS weight FROM wt", R)
@@ -419,7 +416,7 @@ def _(t):
 @query("fit_unmix_lasso")
 def _(t):
     names = ["R1C1.tif", "R1C2.tif", "R1C3.tif"]
-    return um.fit_lasso(channels(t), names, roi(), alpha=1e-4, scale=1000.0)
+    return um.fit_lasso(channels(t), names, alpha=1e-4, scale=1000.0)
 
 
 @query(
@@ -507,10 +504,12 @@ def _(t):
 
 @query("local_refit")
 def _(t):
-    blocks = ph.region_pixels(t.regions.where("list_order % 9 = 0")).selectExpr("list_order + 1 AS label", "y", "x")
+    blocks = ph.region_pixels(t.regions).selectExpr("list_order + 1 AS label", "y", "x")
     pts = t.cells.select("ID", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"))
-    good = matches(t).where("match_id % 5 <> 0")
-    return r6(rg.local_refit(pts, good, [[1, 0, 0], [0, 1, 0], [0, 0, 1]], blocks).select("ID", "local", "wx", "wy"), "wx", "wy")
+    m = matches(t)
+    fit = rg.fit_ransac(m, "affine", 3, 5.0, max_trials=50, wave=25)
+    good = rg.with_residual(m, fit["matrix"]).where("residual < 5")
+    return r6(rg.local_refit(pts, good, fit["matrix"], blocks).select("ID", "local", "wx", "wy"), "wx", "wy")
 
 
 @query(
@@ -527,13 +526,11 @@ def _(t):
     return r6(rg.flag_misaligned(m, ra.tile_error(difference(t), 16), rates, 16).select("tile_y", "tile_x", "error"), "error")
 
 
-FILES = "files AS (SELECT 'S' || CAST(s_suppkey % 40 AS VARCHAR) || '_R' || CAST(n_nationkey // 5 + 1 AS VARCHAR) || 'C' || CAST(n_nationkey % 5 + 1 AS VARCHAR) || '.tif' AS filename FROM nation JOIN supplier ON s_suppkey % 3 <> n_nationkey % 4)"
+FILES = "files AS (SELECT 'S' || CAST(c_custkey // 20 AS VARCHAR) || '_R' || CAST(c_custkey % 20 // 5 + 1 AS VARCHAR) || 'C' || CAST(c_custkey % 5 + 1 AS VARCHAR) || '.tif' AS filename FROM customer)"
 
 
 def files(t):
-    return t.nation.join(t.supplier, F.expr("s_suppkey % 3 <> n_nationkey % 4")).selectExpr(
-        "concat('S', s_suppkey % 40, '_R', n_nationkey DIV 5 + 1, 'C', n_nationkey % 5 + 1, '.tif') AS filename"
-    ).distinct()
+    return t.customer.selectExpr("concat('S', c_custkey DIV 20, '_R', c_custkey % 20 DIV 5 + 1, 'C', c_custkey % 5 + 1, '.tif') AS filename")
 
 
 _PARSED = f"""{FILES}, pf AS (SELECT DISTINCT filename, CAST(REGEXP_EXTRACT(filename, 'R(\\d+)C', 1) AS INT) AS round, CAST(REGEXP_EXTRACT(filename, 'C(\\d+)', 1) AS INT) AS channel, REGEXP_EXTRACT(filename, '^(S[^_]*_)', 1) AS prefix FROM files)"""
@@ -549,21 +546,22 @@ def _(t):
 
 @query(
     "make_channel_script",
-    f"""WITH {_PARSED} SELECT filename, CASE WHEN channel = 5 THEN 'brightfield' END AS biomarker, CASE WHEN channel = 5 THEN 'No' ELSE 'Yes' END AS correction, 34000::BIGINT AS xmin, 15000::BIGINT AS ymax FROM pf""",
+    f"""WITH {_PARSED} SELECT filename, CASE WHEN channel = 5 THEN 'brightfield' END AS biomarker, CASE WHEN channel = 5 THEN 'No' ELSE 'Yes' END AS correction, 1200::BIGINT AS xmin, 3700::BIGINT AS ymax FROM pf""",
 )
 def _(t):
-    s = rg.make_channel_script(files(t), (34000, 8000, 44000, 15000), 5)
+    s = rg.make_channel_script(files(t), (1200, 700, 5200, 3700), 5)
     return s.select("filename", "biomarker", F.col("intra channel correction").alias("correction"), F.col("xmin").cast("long").alias("xmin"), F.col("ymax").cast("long").alias("ymax"))
 
 
 @query(
     "join_channel_mask_manifest",
-    """WITH im AS (SELECT p_partkey AS image_id, p_brand AS biomarker FROM part), mk AS (SELECT s_suppkey AS mask_id, 'Brand#' || CAST(s_suppkey % 5 + 1 AS VARCHAR) || CAST(s_suppkey % 4 + 1 AS VARCHAR) AS biomarker, s_suppkey < 2 AS seed, 'soma' AS part FROM supplier)
-SELECT image_id, mask_id, biomarker AS description FROM im, (SELECT mask_id FROM mk WHERE seed) UNION ALL SELECT image_id, mask_id, biomarker || ' with ' || part FROM im JOIN mk USING (biomarker) WHERE NOT seed""",
+    """WITH im AS (SELECT p_partkey // 20 AS data_set, p_partkey AS image_id, p_brand AS biomarker FROM part), mk AS (SELECT s_suppkey AS data_set, s_suppkey AS mask_id, 'Brand#' || CAST(s_suppkey % 5 + 1 AS VARCHAR) || CAST(s_suppkey % 4 + 1 AS VARCHAR) AS biomarker, s_suppkey % 2 = 0 AS seed, 'soma' AS part FROM supplier)
+SELECT image_id, mask_id, im.biomarker AS description FROM im JOIN mk USING (data_set) WHERE seed UNION ALL SELECT image_id, mask_id, biomarker || ' with ' || part FROM im JOIN mk USING (data_set, biomarker) WHERE NOT seed""",
 )
 def _(t):
-    im = t.part.selectExpr("p_partkey AS image_id", "p_brand AS biomarker")
+    im = t.part.selectExpr("p_partkey DIV 20 AS data_set", "p_partkey AS image_id", "p_brand AS biomarker")
     mk = t.supplier.selectExpr(
-        "s_suppkey AS mask_id", "concat('Brand#', s_suppkey % 5 + 1, s_suppkey % 4 + 1) AS biomarker", "s_suppkey < 2 AS is_seed", "'soma' AS part"
+        "s_suppkey AS data_set", "s_suppkey AS mask_id", "concat('Brand#', s_suppkey % 5 + 1, s_suppkey % 4 + 1) AS biomarker",
+        "s_suppkey % 2 = 0 AS is_seed", "'soma' AS part",
     )
     return rg.mask_manifest(im, mk)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_scopes: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete at the end of the block what its operators have staged.
+
+    Results must be read or written out inside the block, since they may read staged tables.
+    """
+    folder = f"{shared_dir(spark)}/tessella/scope-{uuid.uuid4().hex}"
+    _scopes.append(folder)
+    try:
+        yield
+    finally:
+        _scopes.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, inside the open ``scratch`` block if there is one."""
+    base = _scopes[-1] if _scopes else f"{shared_dir(spark)}/tessella"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

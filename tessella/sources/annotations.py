@@ -16,28 +16,22 @@ XML_SCHEMA = (
 # ---------------------------------------------------------------------- grouping
 
 
-def nested(df: DataFrame, keys, payload: dict[str, Column], id_col: str, name: str, max_objects: int = 10000) -> DataFrame:
-    """Group rows into nested records ``keys, part, <name> array<struct>``.
+def nested(df: DataFrame, keys, payload: dict[str, Column], id_col: str, name: str) -> DataFrame:
+    """Group rows into one nested record ``keys, <name> array<struct>`` for each key, in id order.
 
-    A key gets one record up to ``max_objects`` rows and several parts beyond,
-    so no record outgrows a task and none of its rows is lost. The number of parts
-    comes from a count that is combined before the shuffle.
+    The number of objects does not change the form: a key of any size is one record.
     """
-    keys = list(keys)
-    n = df.groupBy(*keys).agg(F.ceil(F.count("*") / max_objects).alias("_parts"))
-    tagged = df.join(n, keys).withColumn("part", F.pmod(F.xxhash64(id_col), F.col("_parts")))
     rows = F.collect_list(F.struct(F.col(id_col), *(c.alias(k) for k, c in payload.items())))
-    return tagged.groupBy(*keys, "part").agg(F.array_sort(rows).alias(name))
+    return df.groupBy(*keys).agg(F.array_sort(rows).alias(name))
 
 
-
-def example_records(df: DataFrame, keys=("image_id",), id_col: str = "gt_id", columns=None, max_objects: int = 10000) -> DataFrame:
+def example_records(df: DataFrame, keys=("image_id",), id_col: str = "gt_id", columns=None) -> DataFrame:
     """Annotations per image as one nested record (boxes, class text and label)."""
     names = columns or {"xmin": "xmin", "ymin": "ymin", "xmax": "xmax", "ymax": "ymax", "label": "class_id"}
-    return nested(df, keys, {k: F.col(v) for k, v in names.items()}, id_col, "objects", max_objects)
+    return nested(df, keys, {k: F.col(v) for k, v in names.items()}, id_col, "objects")
 
 
-# column mappings of the supported data sets: record field -> source column
+# Column names of public formats, record field -> source column
 MAPPINGS = {
     "crops": {"xmin": "xmin", "ymin": "ymin", "xmax": "xmax", "ymax": "ymax", "text": "class"},
     "open_images": {"xmin": "XMin", "ymin": "YMin", "xmax": "XMax", "ymax": "YMax", "text": "LabelName", "group_of": "IsGroupOf"},
@@ -50,9 +44,7 @@ MAPPINGS = {
 def with_annotations(images: DataFrame, records: DataFrame, key: str = "image_id", name: str = "objects") -> DataFrame:
     """All images with their objects; images without any get an empty list."""
     kind = dict(records.dtypes)[name]
-    return images.join(records, key, "left").withColumns(
-        {name: F.coalesce(name, F.array().cast(kind)), "part": F.coalesce("part", F.lit(0))}
-    )
+    return images.join(records, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
 def count_missing(images: DataFrame, annotations: DataFrame, key: str = "image_id") -> DataFrame:
@@ -90,18 +82,18 @@ def read_voc_xml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def crop_documents(objects: DataFrame, database: str = "cells", max_objects: int = 10000) -> DataFrame:
-    """One annotation document per crop (several parts for very full crops).
+def crop_documents(objects: DataFrame, database: str = "cells", on=()) -> DataFrame:
+    """One annotation document per crop of an image; the image key ``on`` begins the name.
 
     ``objects``: ``corner_x, corner_y, width, height, id, class, truncated`` and a box.
     """
-    keys = ["corner_x", "corner_y", "width", "height"]
+    keys = [*on, "corner_x", "corner_y", "width", "height"]
     payload = {
         "name": F.col("class"), "truncated": F.col("truncated"),
         "bndbox": F.struct(*(F.col(c).cast("long").alias(c) for c in ("xmin", "ymin", "xmax", "ymax"))),
     }
-    rec = nested(objects, keys, payload, "id", "objects", max_objects)
-    stem = F.format_string("%05d_%05d", F.col("corner_x"), F.col("corner_y"))
+    rec = nested(objects, keys, payload, "id", "objects")
+    stem = F.concat_ws("_", *(F.col(c).cast("string") for c in on), F.format_string("%05d_%05d", F.col("corner_x"), F.col("corner_y")))
     doc = F.struct(
         F.concat(stem, F.lit(".jpeg")).alias("filename"),
         F.struct(F.lit(database).alias("database"), F.concat_ws(",", "corner_x", "corner_y").alias("corner")).alias("source"),
@@ -109,7 +101,7 @@ def crop_documents(objects: DataFrame, database: str = "cells", max_objects: int
         F.lit(0).alias("segmented"),
         F.transform("objects", lambda o: F.struct(o["name"].alias("name"), o["truncated"].alias("truncated"), o["bndbox"].alias("bndbox"))).alias("object"),
     )
-    return rec.select(stem.alias("crop"), "part", F.to_xml(doc, {"rowTag": "annotation"}).alias("value"))
+    return rec.select(stem.alias("crop"), F.to_xml(doc, {"rowTag": "annotation"}).alias("value"))
 
 
 def write_voc_xml(objects: DataFrame, path: str, **options) -> None:

@@ -60,17 +60,16 @@ def read_channel_script(spark: SparkSession, path: str) -> DataFrame:
 def read_rule_table(spark: SparkSession, paths) -> DataFrame:
     """Rule matrix from one text file per sheet; ``rule_order`` follows sheets, then rows.
 
-    Rule tables are small documents written by hand; the row order within a sheet
-    is the order in its file.
+    The row order within a sheet is the order in its file, and by name over files if a sheet has several.
     """
     sheets = [paths] if isinstance(paths, str) else list(paths)
     out = None
     for i, p in enumerate(sheets):
         df = spark.read.csv(p, header=True, sep=",")
-        df = df.withColumns({"sheet": F.lit(i), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+        df = df.withColumns({"sheet": F.lit(i), "_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    order = [F.col("sheet"), F.col("_block"), F.col("_at")]
-    return numbered(stage(out, "rules"), order, "rule_order").drop("_block", "_at")
+    order = [F.col("sheet"), F.col("_path"), F.col("_block"), F.col("_at")]
+    return numbered(stage(out, "rules"), order, "rule_order").drop("_path", "_block", "_at")
 
 
 def file_index(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -115,18 +114,21 @@ def read_box_lookup(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mask_array(spark: SparkSession, path: str) -> DataFrame:
-    """Comma-separated label matrix to sparse ``(file, label, y, x)``; 0 is background.
+    """Comma-separated label matrices to sparse ``(file, label, y, x)``, one a file; 0 is background.
 
-    The row number is the rank of the line by split offset and position, computed
+    Partition columns of the folder are kept. The row number is the rank of the line by split offset and position, computed
     over ranges, so a large matrix is read by many tasks.
     """
-    lines = spark.read.text(path).select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+    text = spark.read.text(path)
+    more = [c for c in text.columns if c != "value"]
+    lines = text.select(
+        *more, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"), "value",
     )
-    rows = numbered(lines, [F.col("_block"), F.col("_at")], "_row", ["file"])
-    cells = rows.select("file", (F.col("_row") - 1).alias("y"), F.posexplode(F.split("value", ",")).alias("x", "label"))
-    return cells.select("file", F.trim("label").cast("long").alias("label"), "y", F.col("x").cast("long").alias("x")).where("label > 0")
+    rows = numbered(lines, [F.col("_block"), F.col("_at")], "_row", ["_path"])
+    name = F.element_at(F.split("_path", "/"), -1).alias("file")
+    cells = rows.select(name, *more, (F.col("_row") - 1).alias("y"), F.posexplode(F.split("value", ",")).alias("x", "label"))
+    return cells.select("file", *more, F.trim("label").cast("long").alias("label"), "y", F.col("x").cast("long").alias("x")).where("label > 0")
 
 
 def write_raster_tiles(pixels: DataFrame, path: str, tile: int, channel: str = "channel") -> None:

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.boxes import BOX, Box, iou
 from ..operators import evaluation as ev
 from ..operators.overlap import _box, _emit
-from ..runtime import scratch_path
 
 GT_SCHEMA = "gt_id long, image_id long, class_id long, xmin double, ymin double, xmax double, ymax double, ts timestamp"
 DET_SCHEMA = "det_id long, image_id long, class_id long, score double, xmin double, ymin double, xmax double, ymax double, ts timestamp"
@@ -46,20 +45,13 @@ def match_stream(gt: DataFrame, det: DataFrame, delay: str, cell: float = 64.0)
 def append(stream: DataFrame, path: str) -> None:
     """Append everything available to a Parquet table, exactly once, then stop.
 
-    State is kept in as many partitions as the shuffle setting says, but in no
-    more than there are cores; the number is fixed when a checkpoint is created.
+    State is kept in as many partitions as the session's shuffle setting says when the checkpoint is created.
     """
-    conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
-    before = conf.get(key)
-    conf.set(key, str(min(int(before), stream.sparkSession.sparkContext.defaultParallelism)))
-    try:
-        q = (
-            stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-checkpoint")
-            .outputMode("append").trigger(availableNow=True).start()
-        )
-        q.awaitTermination()
-    finally:
-        conf.set(key, before)
+    q = (
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-checkpoint")
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
 
 
 def stream_eval(spark: SparkSession, gt_path: str, det_path: str, out: str, delay: str = "1 hour") -> None:
@@ -87,29 +79,14 @@ def current_ap(spark: SparkSession, out: str, threshold: float = 0.5) -> DataFra
     return ev.average_precision(ev.score_detections(best, threshold), ev.gt_counts(gt))
 
 
-def running_mean(stream: DataFrame, value: str, correct, width: str, ts: str = "ts") -> DataFrame:
-    """Mean loss and accuracy per time window, restarted at every window."""
-    return stream.groupBy(F.window(ts, width)).agg(F.avg(value).alias("mean_loss"), F.avg(correct.cast("double")).alias("accuracy"), F.count("*").alias("n"))
-
-
-def run_complete(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    """Run an aggregate over all available input and return its last complete result.
+def running_mean(stream: DataFrame, value: str, correct, width: str, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Mean loss and accuracy per time window, restarted at every window.
 
-    Each batch replaces its own folder, so a retried batch writes the same rows.
+    A window is given out once, when the watermark ``delay`` behind the latest time has passed it; its state then goes.
     """
-    path = scratch_path(spark, "complete")
-    seen = []
-
-    def save(df, batch_id):
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        seen.append(batch_id)
-
-    q = (
-        stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", path + "-checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.read.parquet(f"{path}/batch={max(seen)}")
+    windows = stream.withWatermark(ts, delay).groupBy(F.window(ts, width))
+    means = windows.agg(F.avg(value).alias("mean_loss"), F.avg(correct.cast("double")).alias("accuracy"), F.count("*").alias("n"))
+    return means.select(F.col("window.start").alias("start"), "mean_loss", "accuracy", "n")
 
 
 def process_new_files(spark: SparkSession, path: str, schema, out: str, each=lambda df: df) -> None:

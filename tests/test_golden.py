@@ -1,5 +1,6 @@
 """Small cases with known answers."""
 
+import json
 import math
 
 import pytest
@@ -19,27 +20,49 @@ def frame(spark, rows, extra, boxes):
 
 
 def test_box_pairs(spark):
-    a = frame(spark, [(0, 0), (1, 0)], "i long, image_id long", [[4, 3, 7, 5], [5, 6, 10, 7]])
-    b = frame(spark, [(0, 0), (1, 0), (2, 0)], "j long, image_id long", [[3, 4, 6, 8], [14, 14, 15, 15], [0, 0, 20, 20]])
-    assert [r[0] for r in a.orderBy("i").select(Box.of().area()).collect()] == [6, 5]
+    a = frame(spark, [(0, 0), (1, 0)], "i long, image_id long", [[0, 0, 4, 6], [10, 10, 14, 12]])
+    b = frame(spark, [(0, 0), (1, 0), (2, 0)], "j long, image_id long", [[2, 2, 6, 8], [20, 20, 22, 22], [0, 0, 30, 30]])
+    assert [r[0] for r in a.orderBy("i").select(Box.of().area()).collect()] == [24, 8]
     got = {(r.i, r.j): r.iou for r in ov.box_overlap(a, b, ["image_id"], cell=4.0).select("a.i", "b.j", "iou").collect()}
-    want = {(0, 0): 2 / 16, (0, 2): 6 / 400, (1, 0): 1 / 16, (1, 2): 5 / 400}
+    # a0 and b0 share 2 x 4 of 24 + 24; b2 (900) holds both boxes of a
+    want = {(0, 0): 8 / 40, (0, 2): 24 / 900, (1, 2): 8 / 900}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
 
 
 def test_nms_clusters(spark):
-    boxes = [[0, 0, 1, 1], [0, 0.1, 1, 1.1], [0, -0.1, 1, 0.9], [0, 10, 1, 11], [0, 10.1, 1, 11.1], [0, 100, 1, 101]]
-    scores = [0.9, 0.75, 0.6, 0.95, 0.2, 0.3]
+    # a row of three boxes, each shifted by a fifth of its side (IoU 2/3, ends 3/7), and a pair of IoU 9/11
+    boxes = [[0, 0, 10, 10], [0, 2, 10, 12], [0, 4, 10, 14], [50, 50, 60, 60], [50, 51, 60, 61]]
+    scores = [0.8, 0.9, 0.7, 0.6, 0.65]
     df = frame(spark, [(i, s) for i, s in enumerate(scores)], "det_id long, score double", boxes)
-    assert [r.det_id for r in sp.nms(df, 0.5, max_output=3).orderBy(F.desc("score")).collect()] == [3, 0, 5]
-    assert sp.nms(df, 1.0).count() == 6
+    kept = lambda t, **k: [r.det_id for r in sp.nms(df, t, **k).orderBy(F.desc("score")).collect()]
+    assert kept(0.5) == [1, 4] and kept(0.5, max_output=1) == [1]
+    assert kept(0.7) == [1, 0, 2, 4]
+    assert kept(1.0) == [1, 0, 2, 4, 3]
 
 
-@pytest.mark.parametrize("half,want", [(0.0, [0, 0.5, 1 / 3, 0.5, 0.4, 0.5]), (0.5, [0, 0.5, 1 / 3, 0.5, 2.5 / 4.5, 3.5 / 5.5])])
+def test_nms_with_one_box_over_all(spark, monkeypatch):
+    """A box as wide as the image adds no round to the suppression of the small ones."""
+    small = [[y * 3, x * 3, y * 3 + 4, x * 3 + 4] for y in range(20) for x in range(20)]
+    rows = [(i, (i * 37 % 400) / 400) for i in range(400)]
+    tables = []
+    monkeypatch.setattr(sp, "stage", lambda df, name="stage", write=sp.stage: (tables.append(name), write(df, name))[1])
+
+    def kept(r, b):
+        tables.clear()
+        out = sp.nms(frame(spark, r, "det_id long, score double", b), 0.1, cell=4.0)
+        return {x.det_id for x in out.collect()}, len(tables)
+
+    alone, n = kept(rows, small)
+    both, m = kept([*rows, (400, 0.5)], [*small, [0, 0, 64, 64]])
+    assert both == alone | {400} and m <= n + 2
+
+
+@pytest.mark.parametrize("half,want", [(0.0, [1, 1 / 2, 2 / 3, 2 / 4]), (0.5, [1, 1 / 2, 2 / 3, 2.5 / 3.5])])
 def test_precision_recall(spark, half, want):
-    scores, labels = [0.4, 0.3, 0.6, 0.2, 0.7, 0.1], [0.0, 1.0, 1.0, half, 0.0, 1.0]
+    # by falling score: hit, miss, hit, and one of weight half, which counts as much among all as among hits
+    scores, labels = [0.5, 0.9, 0.4, 0.8], [1.0, 1.0, half, 0.0]
     scored = spark.createDataFrame([(0, i, s, l) for i, (s, l) in enumerate(zip(scores, labels))], "class_id long, rank_id long, score double, tp double")
-    counts = spark.createDataFrame([(0, 10.0)], "class_id long, n_gt double")
+    counts = spark.createDataFrame([(0, 4.0)], "class_id long, n_gt double")
     got = [r.precision for r in ev.precision_recall(scored, counts).orderBy(F.desc("score")).collect()]
     assert got == pytest.approx(want)
 
@@ -47,24 +70,25 @@ def test_precision_recall(spark, half, want):
 def evaluator_frames(spark):
     gt = frame(
         spark,
-        [(0, 1, 0, False, False), (1, 1, 2, False, False), (2, 1, 0, False, False), (3, 2, 0, False, False), (4, 2, 0, True, False), (5, 2, 2, False, True), (6, 3, 1, False, False)],
+        [(0, 1, 0, False, False), (1, 2, 0, False, False), (2, 2, 0, True, False), (3, 1, 1, False, False)],
         "gt_id long, image_id long, class_id long, difficult boolean, group_of boolean",
-        [[0, 0, 1, 1], [0, 0, 2, 2], [0, 0, 3, 3], [10, 10, 11, 11], [500, 500, 510, 510], [10, 10, 12, 12], [0, 0, 1, 1]],
+        [[0, 0, 10, 10], [20, 20, 40, 40], [100, 100, 120, 120], [0, 0, 30, 30]],
     )
     det = frame(
-        spark, [(0, 2, 0, 0.7), (1, 2, 0, 0.8), (2, 2, 2, 0.9)], "det_id long, image_id long, class_id long, score double",
-        [[10, 10, 11, 11], [100, 100, 120, 120], [100, 100, 220, 220]],
+        spark, [(0, 2, 0, 0.9), (1, 1, 0, 0.8), (2, 2, 0, 0.7)], "det_id long, image_id long, class_id long, score double",
+        [[20, 20, 40, 40], [50, 50, 60, 60], [100, 100, 120, 120]],
     )
     return det, gt
 
 
 def test_evaluator(spark):
+    # class 0 has two boxes that count: a hit, a miss, and a difficult box that is left out; class 1 is never found
     det, gt = evaluator_frames(spark)
     got = {r.class_id: r for r in ev.eval_detection(det, gt).collect()}
-    assert [got[c].ap for c in range(3)] == pytest.approx([1 / 6, 0, 0])
-    assert [got[c].corloc for c in range(3)] == [0, 0, 0]
+    assert [got[c].ap for c in range(2)] == pytest.approx([1 / 2, 0])
+    assert [got[c].corloc for c in range(2)] == [1 / 2, 0]
     ap = ev.eval_detection(det, gt).select("ap")
-    assert ev.mean_average_precision(ap).first()["map"] == pytest.approx(1 / 18)
+    assert ev.mean_average_precision(ap).first()["map"] == pytest.approx(1 / 4)
 
 
 def test_group_of_and_difficult(spark):
@@ -101,40 +125,37 @@ def relation(spark, rows, extra):
 
 def test_relations(spark):
     names = "image_id long, subject_label long, object_label long, relation long"
-    gt = relation(
-        spark,
-        [((0, 1, 1, 2, 3), [0, 0, 1, 1], [1, 1, 2, 2]), ((1, 1, 1, 4, 3), [0, 0, 1, 1], [1, 2, 2, 3]), ((2, 2, 1, 4, 3), [0, 0, 1, 1], [1, 1, 2, 2]), ((3, 3, 1, 2, 4), [0, 0, 1, 1], [1, 1, 2, 2])],
-        f"gt_id long, {names}",
-    )
+    s, o = [0, 0, 10, 10], [10, 10, 20, 20]
+    gt = relation(spark, [((0, 1, 7, 8, 9), s, o), ((1, 2, 7, 5, 9), s, o), ((2, 2, 7, 8, 6), s, o)], f"gt_id long, {names}")
+    # a hit, a relation that the image does not have, and a label that was not verified there
     det = relation(
-        spark,
-        [((0, 1, 1, 2, 5, 0.7), [0, 0.3, 1, 1], [1.1, 1, 2, 2]), ((1, 1, 1, 2, 3, 0.8), [0, 0, 1, 1], [1, 1, 2, 2]), ((2, 1, 1, 6, 3, 0.9), [0.5, 0, 1, 1], [1, 1, 3, 3])],
-        f"det_id long, {names}, score double",
+        spark, [((0, 1, 7, 8, 9, 0.9), s, o), ((1, 1, 7, 8, 6, 0.8), s, o), ((2, 1, 7, 3, 9, 0.7), s, [12, 12, 22, 22])], f"det_id long, {names}, score double",
     )
-    labels = spark.createDataFrame([(1, l) for l in range(1, 6)], "image_id long, label long")
+    labels = spark.createDataFrame([(1, l) for l in (5, 6, 7, 8, 9)], "image_id long, label long")
     got = {r.metric: r.value for r in ev.eval_relations(det, gt, labels=labels).collect()}
-    assert got["weighted_ap"] == pytest.approx(0.25) and got["map"] == pytest.approx(1 / 6)
-    assert got["ap_3"] == pytest.approx(1 / 3) and got["ap_4"] == 0
-    assert got["recall_at_50"] == 0.25 and got["recall_at_100"] == 0.25
+    # relation 9: one of two found, first in rank; relation 6: none of one
+    assert got["ap_9"] == pytest.approx(1 / 2) and got["ap_6"] == 0
+    assert got["weighted_ap"] == pytest.approx(2 / 3 * 1 / 2) and got["map"] == pytest.approx(1 / 4)
+    assert got["recall_at_50"] == pytest.approx(1 / 3) and got["recall_at_100"] == pytest.approx(1 / 3)
     kept = lambda known: sorted(r.det_id for r in ev.verified_relations(det, gt, known).collect())
     assert kept(labels) == [0, 1]
-    assert kept(labels.union(spark.createDataFrame([(1, 6)], labels.schema))) == [0, 1, 2]
+    assert kept(labels.union(spark.createDataFrame([(1, 3)], labels.schema))) == [0, 1, 2]
 
 
 def test_hierarchy(spark, tmp_path):
     doc = tmp_path / "h.json"
-    doc.write_text(
-        '{"LabelName": "a", "Subcategory": [{"LabelName": "b"}, {"LabelName": "c", "Subcategory": [{"LabelName": "d"}, {"LabelName": "e"}]},'
-        ' {"LabelName": "f", "Subcategory": [{"LabelName": "d"}]}]}'
-    )
+    leaf = lambda name, *below: {"LabelName": name, **({"Subcategory": list(below)} if below else {})}
+    tree = leaf("thing", leaf("plant", leaf("tree", leaf("oak")), leaf("bush")), leaf("wood", leaf("oak"), leaf("desk")))
+    doc.write_text(json.dumps(tree))
     edges = ds.hierarchy_edges(spark, str(doc))
-    assert sorted(map(tuple, edges.collect())) == [("a", "b"), ("a", "c"), ("a", "f"), ("c", "d"), ("c", "e"), ("f", "d")]
-    pairs = ds.closure(edges, skip_root="a")
-    boxes = spark.createDataFrame([("123", "b"), ("123", "d")], "ImageID string, LabelName string")
-    assert sorted(r.LabelName for r in ds.expand_boxes(boxes, pairs).collect()) == ["b", "c", "d", "f"]
-    labels = spark.createDataFrame([("123", "b", 0.0), ("123", "c", 0.0), ("124", "d", 1.0)], "ImageID string, LabelName string, Confidence double")
+    want = [("plant", "bush"), ("plant", "tree"), ("thing", "plant"), ("thing", "wood"), ("tree", "oak"), ("wood", "desk"), ("wood", "oak")]
+    assert sorted(map(tuple, edges.collect())) == want
+    pairs = ds.closure(edges, skip_root="thing")
+    boxes = spark.createDataFrame([("i1", "oak"), ("i1", "bush")], "ImageID string, LabelName string")
+    assert sorted(r.LabelName for r in ds.expand_boxes(boxes, pairs).collect()) == ["bush", "oak", "plant", "plant", "tree", "wood"]
+    labels = spark.createDataFrame([("i1", "plant", 0.0), ("i1", "desk", 0.0), ("i2", "desk", 1.0)], "ImageID string, LabelName string, Confidence double")
     got = sorted((r.ImageID, r.LabelName) for r in ds.expand_labels(labels, pairs).collect())
-    assert got == [("123", "b"), ("123", "c"), ("123", "d"), ("123", "e"), ("124", "c"), ("124", "d"), ("124", "f")]
+    assert got == [("i1", "bush"), ("i1", "desk"), ("i1", "oak"), ("i1", "plant"), ("i1", "tree"), ("i2", "desk"), ("i2", "wood")]
 
 
 def test_label_map(spark, tmp_path):
@@ -161,9 +182,9 @@ def test_assignment(spark):
 
 @pytest.mark.parametrize("crowd", [False, True])
 def test_coco_perfect(spark, crowd):
-    boxes = [[100, 100, 200, 200], [50, 50, 100, 100], [25, 25, 50, 50]]
+    boxes = [[10, 10, 130, 140], [40, 20, 90, 75], [5, 5, 25, 30]]  # large, medium, small
     rows = [(i, i, 1, False) for i in range(3)]
-    gt = frame(spark, rows + ([(9, 0, 1, True)] if crowd else []), "gt_id long, image_id long, class_id long, is_crowd boolean", boxes + ([[99, 99, 200, 200]] if crowd else []))
+    gt = frame(spark, rows + ([(9, 0, 1, True)] if crowd else []), "gt_id long, image_id long, class_id long, is_crowd boolean", boxes + ([[9, 9, 130, 140]] if crowd else []))
     det = frame(spark, [(i, i, 1, 0.8) for i in range(3)], "det_id long, image_id long, class_id long, score double", boxes)
     m = coco.eval_coco(det, gt).first()
     assert m.ap == pytest.approx(1.0) and m.ar_100 == pytest.approx(1.0) and m.ap_small == pytest.approx(1.0)
