@@ -147,7 +147,7 @@ def nms_masks(df: DataFrame, pixels: DataFrame, threshold: float, keys=("image_i
 def box_vote(kept: DataFrame, pool: DataFrame, threshold: float, keys=("image_id",), id_col: str = "det_id", **grid) -> DataFrame:
     """Move each kept box to the score-weighted mean of the pool boxes overlapping it.
 
-    The new score is the mean pool score. Pool copies are summed before the join.
+    The new score is the mean pool score; a box whose pool scores are all zero stays. Pool copies are summed before the join.
     """
     keys = list(keys)
     merged = pool.groupBy(*keys, *BOX).agg(F.sum("score").alias("_w"), F.count("*").alias("_n"))
@@ -155,7 +155,7 @@ def box_vote(kept: DataFrame, pool: DataFrame, threshold: float, keys=("image_id
     hit = pairs.where(iou(Box.of("a"), Box.of("b")) > threshold)
     weight = F.sum("b._w")
     voted = hit.groupBy(*keys, F.col(f"a.{id_col}").alias(id_col)).agg(
-        *((F.sum(F.col(f"b.{c}") * F.col("b._w")) / weight).alias(c) for c in BOX),
+        *(F.coalesce(F.try_divide(F.sum(F.col(f"b.{c}") * F.col("b._w")), weight), F.any_value(f"a.{c}")).alias(c) for c in BOX),
         (weight / F.sum("b._n")).alias("score"),
     )
     rest = [c for c in kept.columns if c not in (*keys, id_col, *BOX, "score")]

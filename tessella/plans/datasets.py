@@ -553,7 +553,7 @@ def _(t):
 FROM events GROUP BY FLOOR(EPOCH(ts) / 86400) HAVING (FLOOR(EPOCH(ts) / 86400) + 1) * 86400 <= (SELECT MAX(EPOCH(ts)) FROM events) - 3600""",
 )
 def _(t):
-    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     means = st.running_mean(stream, "value", F.expr("user_id % 2 = event_id % 2"), "1 day")
     out = path(t, "means")
     st.append(means, out)

@@ -67,7 +67,7 @@ def _(t):
     return sp.nms_masks(t.det, _pixels(t.det, "det_id"), 0.5).select("det_id")
 
 
-_VOTED = f"""voted AS (SELECT k.det_id, SUM(p.xmin * p.score) / SUM(p.score) AS xmin, SUM(p.ymax * p.score) / SUM(p.score) AS ymax, AVG(p.score) AS score
+_VOTED = f"""voted AS (SELECT k.det_id, CASE WHEN SUM(p.score) > 0 THEN SUM(p.xmin * p.score) / SUM(p.score) ELSE ANY_VALUE(k.xmin) END AS xmin, CASE WHEN SUM(p.score) > 0 THEN SUM(p.ymax * p.score) / SUM(p.score) ELSE ANY_VALUE(k.ymax) END AS ymax, AVG(p.score) AS score
 FROM {{kept}} k JOIN det p ON k.image_id = p.image_id AND k.class_id = p.class_id WHERE {sql_iou('k', 'p')} > 0.4 GROUP BY k.det_id)
 SELECT det_id, ROUND(xmin, 5) AS xmin, ROUND(ymax, 5) AS ymax, ROUND(score, 5) AS score FROM voted"""
 
