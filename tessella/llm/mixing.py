@@ -21,7 +21,7 @@ DOMAINS = ("good", "low", "toxic")
 #: Target shares of the tokens of all domains.
 WEIGHTS = {"good": 0.98, "low": 0.02, "toxic": 0.0}
 BROADCAST_ROWS = 200_000
-#: Rates below this are zero, and the part of stray membership that a domain of weight zero may keep.
+#: Rates below this are zero in a domain of weight zero, and the part of stray membership that a domain of weight zero may keep.
 LEAST_RATE, SOFT = 0.1, 0.9
 SYMBOLS = r"[#*$%&|<>]+"
 
@@ -158,7 +158,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
     groups = stage(members.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("n_tokens")), "posteriors")
     steps, _, _ = rates(groups, weights)
     rate = F.round(rate_of(F.col("p"), steps), 6)
+    # the most probable domain has weight zero
+    unwanted = F.array_position("p", F.array_max("p")).isin([d + 1 for d, n in enumerate(DOMAINS) if not weights.get(n)])
     return members.select(
         key, "n_tokens", *(F.get("p", d).alias(f"p_{n}") for d, n in enumerate(DOMAINS)),
-        F.when(rate < LEAST_RATE, 0.0).otherwise(rate).alias("rate"),
+        F.when(unwanted & (rate < LEAST_RATE), 0.0).otherwise(rate).alias("rate"),
     )
