@@ -41,6 +41,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def pieces(batches, column: str, chars: int = 2_000_000):
+    """Pandas batches cut so that the texts of a piece hold about ``chars`` characters, or are one text."""
+    for batch in batches:
+        for _, piece in batch.groupby(batch[column].str.len().cumsum() // chars, sort=False):
+            yield piece
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, to be joined by a shuffle.
 
