@@ -19,46 +19,30 @@ def hamming(a: Column, b: Column, words: int) -> Column:
     return total
 
 
-def _ones(code: Column, words: int) -> Column:
-    total = F.lit(0)
-    for i in range(words):
-        total = total + F.bit_count(code[i])
-    return total
+def _nearest_code(left: DataFrame, right: DataFrame, on, words: int) -> DataFrame:
+    """Nearest right descriptor of every left one: ``on, id, code, dist, oid``.
 
+    A code has four bands of 16 bits in each word. Codes closer than the number of bands share a band
+    at the same place, so an equi join on bands settles every code whose best candidate is that close;
+    the rest meet all codes of their tile. The best candidate is an aggregate with map-side combine.
+    """
+    n = 4 * words
+    band = lambda c: F.posexplode(
+        F.array(*(F.shiftrightunsigned(F.col(c)[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(65535)) for i in range(n)))
+    ).alias("_no", "_band")
+    right = right.select(*on, F.col("code").alias("other"), F.col("id").alias("oid"))
 
-def _nearest_code(left: DataFrame, right: DataFrame, on, words: int, bits: int, start: int) -> DataFrame:
-    """Nearest right descriptor of every left one: ``on, code, other, dist``.
+    def best(pairs: DataFrame) -> DataFrame:
+        dist = hamming(F.col("code"), F.col("other"), words).alias("dist")
+        return pairs.groupBy(*on, "id", "code").agg(F.min(F.struct(dist, "oid")).alias("_m")).select(*on, "id", "code", "_m.*")
 
-    Distances are at least the difference in the number of set bits, so round
-    ``r`` joins codes whose bit counts differ by at most ``r`` and settles those
-    whose best distance is within ``r``; the rest go to a wider round. The best
-    candidate is an aggregate with map-side combine, no pair is kept.
-    """
-    todo, found, r = left.withColumn("_a", _ones(F.col("code"), words)), None, start
-    right = right.select(*on, F.col("code").alias("other"), F.col("id").alias("oid")).withColumn("_b", _ones(F.col("other"), words))
-    while True:
-        r = min(r, bits + 1)
-        a = todo.withColumn("_k", F.floor(F.col("_a") / r))
-        b = right.withColumn("_k", F.explode(F.transform(F.array(*(F.lit(i) for i in (-1, 0, 1))), lambda i: F.floor(F.col("_b") / r) + i)))
-        best = (
-            a.join(b, [*on, "_k"])
-            .where(F.abs(F.col("_a") - F.col("_b")) <= r)
-            .groupBy(*on, "id", "code", "_a")
-            .agg(F.min(F.struct(hamming(F.col("code"), F.col("other"), words).alias("dist"), "oid")).alias("_m"))
-            .select(*on, "id", "code", "_a", "_m.*")
-        )
-        last = r > bits
-        done = stage(best if last else best.where(F.col("dist") <= r), "codes")
-        found = done if found is None else found.unionByName(done)
-        if last:
-            return found
-        todo = stage(todo.join(done.select(*on, "id"), [*on, "id"], "left_anti"), "codes_left")
-        if todo.isEmpty():
-            return found
-        r *= 4
-
-
-def mutual_matches(left: DataFrame, right: DataFrame, words: int, on=("tile_y", "tile_x"), keep: float = 1.0, bits: int = 256, start: int = 16) -> DataFrame:
+    banded = left.select("*", band("code")).join(right.select("*", band("other")), [*on, "_no", "_band"])
+    close = stage(best(banded).where(F.col("dist") < n), "codes")
+    rest = left.join(close.select(*on, "id"), [*on, "id"], "left_anti")
+    return close.unionByName(best(rest.join(right, on)))
+
+
+def mutual_matches(left: DataFrame, right: DataFrame, words: int, on=("tile_y", "tile_x"), keep: float = 1.0) -> DataFrame:
     """Pairs that are each other's Hamming nearest neighbour in a tile, best fraction kept.
 
     Frames have ``on``, ``kp_id`` and ``descriptor`` (array of 64-bit words).
@@ -69,8 +53,8 @@ def mutual_matches(left: DataFrame, right: DataFrame, words: int, on=("tile_y",
         df.groupBy(*on, F.col("descriptor").alias("code")).agg(F.min("kp_id").alias("id")), "descriptors"
     )
     l, r = merge(left), merge(right)
-    fwd = _nearest_code(l, r, on, words, bits, start).select(*on, F.col("id").alias("left_id"), F.col("oid").alias("right_id"), "dist")
-    back = _nearest_code(r, l, on, words, bits, start).select(*on, F.col("oid").alias("left_id"), F.col("id").alias("right_id"))
+    fwd = _nearest_code(l, r, on, words).select(*on, F.col("id").alias("left_id"), F.col("oid").alias("right_id"), "dist")
+    back = _nearest_code(r, l, on, words).select(*on, F.col("oid").alias("left_id"), F.col("id").alias("right_id"))
     both = fwd.join(back, [*on, "left_id", "right_id"], "left_semi")
     if keep >= 1:
         return both

@@ -470,7 +470,7 @@ WHERE rn <= GREATEST(1, CAST(FLOOR(n * 0.5) AS BIGINT))""",
 )
 def _(t):
     k = keypoints(t)
-    out = rg.mutual_matches(k.where("side = 0"), k.where("side = 1"), 2, ["tile"], keep=0.5, bits=64, start=8)
+    out = rg.mutual_matches(k.where("side = 0"), k.where("side = 1"), 2, ["tile"], keep=0.5)
     return out.select("tile", "left_id", "right_id", F.col("dist").cast("long").alias("dist"))
 
 

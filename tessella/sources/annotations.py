@@ -185,7 +185,7 @@ def read_label_map(spark: SparkSession, path: str, display: bool = False, fill_g
         F.nullif(F.regexp_extract("value", r"display_name\s*:\s*[\"']([^\"']*)[\"']", 1), F.lit("")).alias("display_name"),
     )
     label = F.coalesce("display_name", "name") if display else F.col("name")
-    bad = (F.col("id") < 0) | ((F.col("id") == 0) & (label != "background"))
+    bad = (F.col("id") < 0) | ((F.col("id") == 0) & (F.col("name") != "background") & (F.coalesce("display_name", F.lit("")) != "background"))
     ok = F.when(bad, F.raise_error(F.lit("label map ids must be positive; 0 is the background"))).otherwise(F.col("id"))
     first = items.select(ok.alias("id"), F.struct("_block", "_at", label.alias("name")).alias("r")).groupBy("id").agg(F.min("r").alias("r"))
     named = first.select("id", F.col("r.name").alias("name"))
@@ -194,8 +194,8 @@ def read_label_map(spark: SparkSession, path: str, display: bool = False, fill_g
 
 def fill_label_gaps(named: DataFrame) -> DataFrame:
     """Add ``background`` as 0 and ``class_<id>`` for every unused id below the largest."""
-    top = named.agg(F.max("id").alias("m"))
-    every = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("id"))
+    top = named.agg(F.max("id").alias("m")).first()["m"]
+    every = named.sparkSession.range(0 if top is None else top + 1)
     dummy = F.when(F.col("id") == 0, F.lit("background")).otherwise(F.concat(F.lit("class_"), F.col("id").cast("string")))
     return every.join(named, "id", "left").select("id", F.coalesce("name", dummy).alias("name"))
 

@@ -265,7 +265,7 @@ def test_mutual_matches(spark):
     left = [(i, i % 3, c) for i, c in enumerate(base)] + [(100 + i, 0, base[0]) for i in range(20)]
     right = [(i, i % 3, [c[0] ^ (1 << r.randint(0, 60)), c[1]]) for i, c in enumerate(base)]
     cols = "kp_id long, tile long, descriptor array<long>"
-    got = rg.mutual_matches(spark.createDataFrame(left, cols), spark.createDataFrame(right, cols), 2, ["tile"], bits=126, start=2)
+    got = rg.mutual_matches(spark.createDataFrame(left, cols), spark.createDataFrame(right, cols), 2, ["tile"])
     assert sorted((x.left_id, x.right_id, x.dist) for x in got.collect()) == [(i, i, 1) for i in range(30)]
 
 
