@@ -263,13 +263,21 @@ def eval_voc(det, gt, threshold: float = 0.5, plus: int = 1, **grid) -> DataFram
     return average_precision(scored, gt_counts(gt))
 
 
-def eval_detection(det, gt, threshold: float = 0.5, group_of_weight: float = 0.0, masks=None, **grid) -> DataFrame:
+def eval_detection(
+    det, gt, threshold: float = 0.5, group_of_weight: float = 0.0, masks=None, nms_threshold: float | None = None,
+    nms_max_output: int | None = None, **grid,
+) -> DataFrame:
     """Per class: ground-truth count, AP and CorLoc.
 
     Invalid detections are dropped, difficult ground truth is ignored. ``masks``
-    is an optional pair of pixel tables (detections, ground truth).
+    is an optional pair of pixel tables (detections, ground truth). With ``nms_threshold`` detections
+    are suppressed per image and class first, and at most ``nms_max_output`` of them stay.
     """
     det, gt = valid_boxes(det), with_flags(gt)
+    if nms_threshold is not None:
+        from .suppress import nms
+
+        det = stage(nms(det, nms_threshold, KEYS, max_output=nms_max_output), "suppressed")
     plain = gt.withColumn("group_of", F.lit(False))
     if masks is None:
         best, loose = best_boxes(det, gt, **grid), best_boxes(det, plain, **grid)

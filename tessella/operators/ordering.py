@@ -126,6 +126,11 @@ def sort_by_field(df: DataFrame, field: str, order: str = "desc", tie: str | Non
     return df.orderBy(first, *([F.col(tie)] if tie else []))
 
 
-def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """A permutation that depends only on ``key`` and ``seed``."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+def hash_order(key: str, seed: int = 0) -> list[Column]:
+    """A random order that depends only on ``key`` and ``seed``, on any engine: MD5 of ``key-seed``, then the key."""
+    return [F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)]
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 0, position: str | None = None) -> DataFrame:
+    """The rows in hash order; ``position`` names a column with their numbers from 1."""
+    return df.orderBy(*hash_order(key, seed)) if position is None else numbered(df, hash_order(key, seed), position)

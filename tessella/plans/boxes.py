@@ -436,9 +436,9 @@ def _(t):
     return od.sort_by_field(t.det, "score", "desc", "det_id").select("det_id", "score")
 
 
-@query("shuffle_rows")
+@query("shuffle_rows", "SELECT det_id, ROW_NUMBER() OVER (ORDER BY MD5(CAST(det_id AS VARCHAR) || '-7'), det_id) AS position FROM det", GT_DET)
 def _(t):
-    return od.shuffled(t.det, "det_id", 7).select("det_id")
+    return od.shuffled(t.det, "det_id", 7, "position").select("det_id", "position")
 
 
 @query(

@@ -180,6 +180,35 @@ def oid_labels(t):
     return t.gt.selectExpr("concat('img', image_id) AS ImageID", "'human' AS Source", "CASE WHEN gt_id % 4 = 0 THEN concat('R', gt_id % 5) ELSE concat('N', gt_id % 25) END AS LabelName", "CAST(gt_id % 3 <> 0 AS DOUBLE) AS Confidence")
 
 
+@query("scan_oid_predictions", "SELECT 'img' || CAST(image_id AS VARCHAR) AS image_id, 'N' || CAST(class_id AS VARCHAR) AS label, ROUND(score, 6) AS score, xmin, ymax FROM det", GT_DET)
+def _(t):
+    p = path(t, "oid_predictions")
+    t.det.selectExpr(
+        "concat('img', image_id) AS ImageID", "concat('N', class_id) AS LabelName", "score AS Score", "xmin AS XMin", "xmax AS XMax", "ymin AS YMin", "ymax AS YMax"
+    ).write.csv(p, header=True)
+    return an.read_oid_predictions(t.spark, p).select("image_id", "label", F.round("score", 6).alias("score"), "xmin", "ymax")
+
+
+@query(
+    "scan_oid_relations",
+    """SELECT 'img' || CAST(image_id AS VARCHAR) AS image_id, 'N' || CAST(subject_label AS VARCHAR) AS label, 'N' || CAST(object_label AS VARCHAR) AS other, 'is' || CAST(relation AS VARCHAR) AS relation, sx0 AS x0, oy1 AS y1 FROM relations
+UNION ALL SELECT 'img' || CAST(image_id AS VARCHAR), 'N' || CAST(class_id AS VARCHAR), NULL, NULL, CAST(gt_id % 2 AS DOUBLE), NULL FROM gt""",
+    ["relations", "gt"],
+)
+def _(t):
+    p = path(t, "oid_relations")
+    corners = [f"{part}.{c.lower()} AS {c}{n}" for n, part in ((1, "subject"), (2, "object")) for c in ("XMin", "XMax", "YMin", "YMax")]
+    rows = t.relations.selectExpr(
+        "concat('img', image_id) AS ImageID", "concat('N', subject_label) AS LabelName1", "concat('N', object_label) AS LabelName2", *corners,
+        "concat('is', relation) AS RelationshipLabel", "CAST(NULL AS STRING) AS LabelName", "CAST(NULL AS DOUBLE) AS Confidence",
+    )
+    labels = t.gt.selectExpr("concat('img', image_id) AS ImageID", "concat('N', class_id) AS LabelName", "CAST(gt_id % 2 AS DOUBLE) AS Confidence")
+    rows.unionByName(labels, allowMissingColumns=True).write.csv(p, header=True)
+    relations, back = an.read_oid_relations(t.spark, p)
+    first = relations.select("image_id", F.col("subject_label").alias("label"), F.col("object_label").alias("other"), "relation", F.col("subject.xmin").alias("x0"), F.col("object.ymax").alias("y1"))
+    return first.unionByName(back.select("image_id", "label", F.col("confidence").alias("x0")), allowMissingColumns=True)
+
+
 @query(
     "scan_oid_csv",
     f"SELECT {_OID}, NULL::DOUBLE AS ConfidenceImageLabel, ROUND(xmin / 512, 6) AS XMin FROM gt UNION ALL SELECT 'img' || CAST(image_id AS VARCHAR), CASE WHEN gt_id % 4 = 0 THEN 'R' || CAST(gt_id % 5 AS VARCHAR) ELSE 'N' || CAST(gt_id % 25 AS VARCHAR) END, CAST(gt_id % 3 <> 0 AS DOUBLE), NULL FROM gt",
@@ -457,12 +486,22 @@ def _(t):
 # ----------------------------------------------------------------------- samples
 
 
-@query("split_train_test")
+@query(
+    "split_train_test",
+    "SELECT ID, CASE WHEN CAST('0x' || MD5(CAST(ID AS VARCHAR) || '-3')[1:8] AS BIGINT) % 100 < 20 THEN 'test' ELSE 'train' END AS split FROM cells",
+    ["cells"],
+)
 def _(t):
     return ds.train_test(t.cells, "ID", 20, 3).select("ID", "split")
 
 
-@query("sample_balanced")
+@query(
+    "sample_balanced",
+    """WITH r AS (SELECT ID, NeuN >= 0.9 AS positive, ROW_NUMBER() OVER (PARTITION BY NeuN >= 0.9 ORDER BY MD5(CAST(ID AS VARCHAR) || '-0'), ID) AS rn FROM features),
+n AS (SELECT LEAST(COUNT(*) FILTER (WHERE positive), 128) AS n FROM r)
+SELECT ID, positive FROM r, n WHERE CASE WHEN positive THEN rn <= n ELSE rn <= 512 - n END""",
+    ["features"],
+)
 def _(t):
     rows = t.features.select("ID", (F.col("NeuN") >= 0.9).alias("positive"))
     return ds.sample_balanced(rows, "ID", "positive", 512, 0.25).select("ID", "positive")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.boxes import window
-from ..operators import assign, boxes as ob, coco, masks, nearest as nn, suppress as sp
-from .evaluation import GT_DET, MASK_PAIRS, SMALL, _pixels, sql_area, sql_inter, sql_iou
+from ..operators import assign, boxes as ob, coco, evaluation as ev, masks, nearest as nn, suppress as sp
+from .evaluation import AP_SELECT, FLAGGED, GT_DET, MASK_PAIRS, SMALL, _pixels, sql_area, sql_curve, sql_inter, sql_iou
 from .registry import query
 
 
@@ -54,6 +54,17 @@ def _(t):
     return out.select("image_id", "class_id", "det_id", "xmin", "xmax")
 
 
+@query(
+    "eval_detection_nms",
+    f"""WITH {sql_nms('det', PER_CLASS, BEST_FIRST, IOU_RULE)}, nd AS (SELECT d.* FROM det d JOIN kept USING (det_id)
+QUALIFY ROW_NUMBER() OVER (PARTITION BY image_id, class_id ORDER BY {BEST_FIRST}) <= 5), {FLAGGED.format(det='nd', w='0.0')}, {sql_curve()} {AP_SELECT}""",
+    GT_DET,
+)
+def _(t):
+    out = ev.eval_detection(t.det, t.gt, nms_threshold=0.5, nms_max_output=5, **SMALL)
+    return out.where("n_gt > 0").select("class_id", "n_gt", F.round("ap", 6).alias("ap"))
+
+
 _COARSE = "STRUCT_PACK(xmin := FLOOR({0}.xmin / 4), ymin := FLOOR({0}.ymin / 4), xmax := FLOOR({0}.xmax / 4) + 1, ymax := FLOOR({0}.ymax / 4) + 1)"
 
 

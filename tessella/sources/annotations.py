@@ -168,6 +168,38 @@ def read_oid_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=OID_LABELS)
 
 
+#: Columns of the public prediction and relation files.
+OID_PREDICTIONS = "ImageID string, LabelName string, Score double, XMin double, XMax double, YMin double, YMax double"
+OID_RELATIONS = (
+    "ImageID string, LabelName1 string, LabelName2 string, XMin1 double, XMax1 double, YMin1 double, YMax1 double, "
+    "XMin2 double, XMax2 double, YMin2 double, YMax2 double, RelationshipLabel string, LabelName string, Confidence double"
+)
+
+
+def read_oid_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Detections ``image_id, label, score`` and a box, from a prediction file."""
+    rows = spark.read.csv(path, header=True, schema=OID_PREDICTIONS)
+    return rows.select(
+        F.col("ImageID").alias("image_id"), F.col("LabelName").alias("label"), F.col("Score").alias("score"),
+        *(F.col(c).alias(c.lower()) for c in ("XMin", "YMin", "XMax", "YMax")),
+    )
+
+
+def read_oid_relations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Relations (subject and object boxes with labels) and image labels, from a file that mixes both kinds of rows.
+
+    A row without a relation is a label row: ``image_id, label, confidence``.
+    """
+    rows = spark.read.csv(path, header=True, schema=OID_RELATIONS)
+    box = lambda n: F.struct(*(F.col(f"{c}{n}").alias(c.lower()) for c in ("XMin", "YMin", "XMax", "YMax")))
+    relations = rows.where("RelationshipLabel IS NOT NULL").select(
+        F.col("ImageID").alias("image_id"), F.col("LabelName1").alias("subject_label"), F.col("LabelName2").alias("object_label"),
+        F.col("RelationshipLabel").alias("relation"), box(1).alias("subject"), box(2).alias("object"),
+    )
+    labels = rows.where("RelationshipLabel IS NULL AND LabelName IS NOT NULL")
+    return relations, labels.select(F.col("ImageID").alias("image_id"), F.col("LabelName").alias("label"), F.col("Confidence").alias("confidence"))
+
+
 def merge_oid(boxes: DataFrame, labels: DataFrame) -> DataFrame:
     """Box and image-label rows in one table; the label confidence gets its own column."""
     return boxes.unionByName(labels.withColumnRenamed("Confidence", "ConfidenceImageLabel"), allowMissingColumns=True)
