@@ -33,8 +33,10 @@ from ..operators.graph import components
 from ..runtime import stage
 from .common import text_of
 
-#: Groups of the corpus-wide order (one byte each is broadcast) and of a text's count vector.
-ORDER_BITS, GROUPS = 18, 64
+#: Groups of the corpus-wide order (one byte each is broadcast), and of the count vector of a text of up to ``DENSE`` shingles.
+ORDER_BITS, GROUPS, DENSE = 18, 64, 500
+#: Slots of the bitmap that marks the texts of candidate pairs (one bit each is broadcast).
+SLOTS = 1 << 26
 #: Rows of a block of a cell, and points of a tree node.
 BLOCK, NODE = 1024, 32
 #: Texts of a cell that is one leaf, and queries that go through a tree at once.
@@ -67,6 +69,20 @@ def need(n, percent: int):
     return (n * percent + 99) // 100
 
 
+def groups(size: int) -> int:
+    """Length of the count vector: larger texts need more groups, or any two would look alike."""
+    n = GROUPS
+    while n * DENSE < size * GROUPS:
+        n *= 2
+    return n
+
+
+def folded(vectors, length: int) -> np.ndarray:
+    """Count vectors of one length as rows, added up to ``length`` groups; lengths are GROUPS times powers of two."""
+    rows = np.frombuffer(b"".join(vectors), "<i4").reshape(len(vectors), -1, length)
+    return rows.sum(1)
+
+
 def _counted(batches, n: int) -> Iterator[pd.DataFrame]:
     total = np.zeros(1 << ORDER_BITS, np.int64)
     for batch in batches:
@@ -95,7 +111,8 @@ def _described(batches, n: int, percent: int, order) -> Iterator[pd.DataFrame]:
             size = len(s)
             head = size - need(size, percent) + 1 if size else 0
             place = np.lexsort((s, rank[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]))[:head]
-            vector = np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<i4")
+            parts = groups(size)
+            vector = np.bincount((s % np.uint64(parts)).astype(np.int64), minlength=parts).astype("<i4")
             out.append((size, xxhash.xxh3_128_hexdigest(s.tobytes()), s[place].view(np.int64), vector.tobytes()))
         yield pd.DataFrame({"key": batch["key"]}).join(pd.DataFrame(out, columns=["n", "print", "head", "vector"], index=batch.index))
 
@@ -110,10 +127,25 @@ def described(docs: DataFrame, n: int, percent: int, text: str, key: str) -> Dat
     return stage(rows.withColumn("key", F.col("key").cast("long")), "described")
 
 
-def _sets(batches, n: int) -> Iterator[pd.DataFrame]:
+def _marked(keys: DataFrame) -> np.ndarray:
+    """Bitmap of the hash slots of ``keys``, as bytes: of fixed size, so it may come to the driver."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)) + 1
+    parts = keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")
+    )
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    return bits
+
+
+def _sets(batches, n: int, marked) -> Iterator[pd.DataFrame]:
+    bits = marked.value
     for batch in batches:
-        sets = [shingles(t, n).view(np.int64) for t in batch["t"]]
-        yield pd.DataFrame({"key": batch["key"], "s": sets})
+        slot = batch["slot"].to_numpy()
+        on = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+        keys, sets = batch["key"][on], [shingles(t, n).view(np.int64) for t in batch["t"][on]]
+        yield pd.DataFrame({"key": keys, "s": pd.Series(sets, index=keys.index, dtype=object)})
 
 
 def _verified(batches, percent: int) -> Iterator[pd.DataFrame]:
@@ -129,11 +161,10 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def test(batches):
         for b in batches:
-            if len(b):
-                lo = np.minimum(
-                    np.frombuffer(b"".join(b["pa"]), "<i4").reshape(-1, GROUPS), np.frombuffer(b"".join(b["pb"]), "<i4").reshape(-1, GROUPS)
-                ).sum(1)
-                yield b.loc[(100 + percent) * lo >= percent * (b["na"] + b["nb"]).to_numpy(), ["u", "v"]]
+            for _, same in b.groupby([b["pa"].str.len(), b["pb"].str.len()]):
+                length = min(len(same["pa"].iloc[0]), len(same["pb"].iloc[0])) // 4
+                lo = np.minimum(folded(same["pa"], length), folded(same["pb"], length)).sum(1)
+                yield same.loc[(100 + percent) * lo >= percent * (same["na"] + same["nb"]).to_numpy(), ["u", "v"]]
 
     a = points.select(F.col("key").alias("u"), F.col("n").alias("na"), F.col("vector").alias("pa"))
     b = points.select(F.col("key").alias("v"), F.col("n").alias("nb"), F.col("vector").alias("pb"))
@@ -145,8 +176,11 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, n: int, perce
     """Written links ``(u, v)``: bounded first, then counted on the whole sets of the texts that are left."""
     pairs = stage(_bounded(pairs, points, percent), "bounded")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("t")).join(ends, "key", "left_semi")
-    sets = stage(rows.mapInPandas(partial(_sets, n=n), "key long, s array<long>"), "sets")
+    # a text goes on if its slot is marked: those of no pair that share a slot are dropped by the joins
+    marked = docs.sparkSession.sparkContext.broadcast(_marked(ends))
+    rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("t")).where("key IS NOT NULL")
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(SLOTS)))
+    sets = stage(rows.mapInPandas(partial(_sets, n=n, marked=marked), "key long, s array<long>"), "sets")
     a, b = (sets.select(F.col("key").alias(k), F.col("s").alias(f"s{x}")) for k, x in (("u", "a"), ("v", "b")))
     return stage(pairs.join(a, "u").join(b, "v").mapInPandas(partial(_verified, percent=percent), "u long, v long").distinct(), "links")
 
@@ -182,7 +216,7 @@ def _crossed(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     if not len(right):
         right = left
-    vectors = lambda x: np.frombuffer(b"".join(x["vector"]), "<i4").reshape(-1, GROUPS)
+    vectors = lambda x: np.stack([folded([v], GROUPS)[0] for v in x["vector"]])
     tree = Tree(vectors(right), right["n"].to_numpy())
     found, points, sizes = [], vectors(left), left["n"].to_numpy()
     # so many queries at once that a step holds a few million numbers
