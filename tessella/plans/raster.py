@@ -354,15 +354,26 @@ def _(t):
     return mo.subtract_background(one, rows, 64, (4,), block=48).select("y", "x", "value")
 
 
-@query("merge_tiles")
+@query(
+    "merge_tiles",
+    """WITH RECURSIVE t AS (SELECT slide, ID, centroid_y // 100 * 100 AS row0, centroid_x // 100 * 100 AS col0,
+  centroid_y // 100 * 100 + 40 AS row1, centroid_x // 100 * 100 + CASE WHEN (centroid_y // 100 + centroid_x // 100) % 3 = 0 THEN 100 ELSE 40 END AS col1 FROM cells),
+g AS (SELECT MIN(ID) AS id, COUNT(*) AS n, slide, row0, col0, row1, col1 FROM t GROUP BY ALL),
+e AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.slide = b.slide AND a.id <> b.id AND a.col0 <= b.col1 AND b.col0 <= a.col1 AND a.row0 <= b.row1 AND b.row0 <= a.row1),
+r AS (SELECT id, id AS c FROM g UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a),
+l AS (SELECT id, MIN(c) AS w FROM r GROUP BY id),
+m AS (SELECT w, MIN(row0) AS row0, MIN(col0) AS col0, MAX(row1) AS row1, MAX(col1) AS col1, ANY_VALUE(slide) AS slide, SUM(n)::BIGINT AS tiles FROM g JOIN l USING (id) GROUP BY w)
+SELECT slide, w AS "window", GREATEST(row0 - p, 0) AS row0, GREATEST(col0 - p, 0) AS col0, row1 + p AS row1, col1 + p AS col1, tiles FROM (SELECT *, CASE WHEN tiles > 1 THEN 20 ELSE 0 END AS p FROM m)""",
+    ["cells"],
+)
 def _(t):
     # every cell stands in a tile of its slide; tiles of 40 pixels on a grid of 100 touch only their copies
     at = "centroid_y DIV 100 * 100", "centroid_x DIV 100 * 100"
     wide = "if((centroid_y DIV 100 + centroid_x DIV 100) % 3 = 0, 100, 40)"
     grid = t.cells.selectExpr(
-        f"ID AS tile_id", f"{at[0]} AS row0", f"{at[1]} AS col0", f"{at[0]} + 40 AS row1", f"{at[1]} + {wide} AS col1"
+        "slide", "ID AS tile_id", f"{at[0]} AS row0", f"{at[1]} AS col0", f"{at[0]} + 40 AS row1", f"{at[1]} + {wide} AS col1"
     )
-    return mo.merge_tiles(grid, 20)
+    return mo.merge_tiles(grid, 20, ["slide"])
 
 
 @query("extract_patches")

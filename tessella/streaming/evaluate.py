@@ -17,17 +17,24 @@ def first_wins(stream: DataFrame, keys, delay: str) -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def _copy(*more: str):
+    """Name of one version of a record: a hash of what copies may differ in."""
+    return F.xxhash64("class_id", *BOX, *more)
+
+
 def match_stream(gt: DataFrame, det: DataFrame, delay: str, cell: float = 64.0) -> DataFrame:
     """Stream-stream join of intersecting boxes of one image and class.
 
     The join key is the grid cell, so the state of a crowded image is spread, and
     the time condition lets old state go. Boxes wider than a cell take part in
-    every cell they touch.
+    every cell they touch. Copies of a record are all joined, and pairs name the copy by ``det_copy``
+    and ``gt_copy``: which copy counts is decided once, by the stored tables.
     """
     keys = ["image_id", "class_id"]
     place = [*keys, "_cx", "_cy"]
-    a = _emit(first_wins(det, ["image_id", "det_id"], delay), keys, "a", cell, None).drop("_level", "_kind")
-    b = _emit(first_wins(gt, ["image_id", "gt_id"], delay), keys, "b", cell, None).drop("_level", "_kind")
+    det, gt = det.withColumn("copy", _copy("score")), gt.withColumn("copy", _copy())
+    a = _emit(det.withWatermark("ts", delay), keys, "a", cell, None).drop("_level", "_kind")
+    b = _emit(gt.withWatermark("ts", delay), keys, "b", cell, None).drop("_level", "_kind")
     b = b.withColumnsRenamed({k: f"_r{k}" for k in place})
     same = F.lit(True)
     for k in place:
@@ -38,7 +45,8 @@ def match_stream(gt: DataFrame, det: DataFrame, delay: str, cell: float = 64.0)
     meets = (F.least(p.xmax, q.xmax) > x0) & (F.least(p.ymax, q.ymax) > y0)
     owner = (F.floor(x0 / cell) == F.col("_cx")) & (F.floor(y0 / cell) == F.col("_cy"))
     return a.join(b, same & close).where(meets & owner).select(
-        "image_id", "class_id", F.col("_a_det_id").alias("det_id"), F.col("_b_gt_id").alias("gt_id"), iou(p, q).alias("iou")
+        "image_id", "class_id", F.col("_a_det_id").alias("det_id"), F.col("_b_gt_id").alias("gt_id"), iou(p, q).alias("iou"),
+        F.col("_a_copy").alias("det_copy"), F.col("_b_copy").alias("gt_copy"),
     )
 
 
@@ -71,6 +79,8 @@ def current_ap(spark: SparkSession, out: str, threshold: float = 0.5) -> DataFra
     gt = ev.with_flags(spark.read.schema(GT_SCHEMA).parquet(f"{out}/gt"))
     det = spark.read.schema(DET_SCHEMA).parquet(f"{out}/det")
     pairs = spark.read.parquet(f"{out}/pairs")
+    pairs = pairs.join(det.select("image_id", "det_id", _copy("score").alias("det_copy")), ["image_id", "det_id", "det_copy"], "left_semi")
+    pairs = pairs.join(gt.select("image_id", "gt_id", _copy().alias("gt_copy")), ["image_id", "gt_id", "gt_copy"], "left_semi")
     top = pairs.groupBy("image_id", "class_id", "det_id").agg(F.max(F.struct("iou", (-F.col("gt_id")).alias("n"))).alias("m"))
     top = top.select("image_id", "class_id", "det_id", "m.iou", (-F.col("m.n")).alias("gt_id"))
     best = det.join(top, ["image_id", "class_id", "det_id"], "left").withColumns(

@@ -240,6 +240,25 @@ def test_images_at_the_same_coordinates_do_not_mix(spark):
     assert len(sizes) == 8 and set(sizes.values()) == {25} and list(BOX)
 
 
+def test_stream_judges_the_stored_copies(spark, tmp_path):
+    """Copies that differ: the numbers are those of the copies in the stored tables."""
+    from tessella.operators import evaluation as ev
+    from tessella.streaming import evaluate as st
+
+    at = F.expr("TIMESTAMP '2024-01-01 00:00:00'").alias("ts")
+    place = lambda i, move: (i, i % 3, 0, *map(float, (10 * i + move, 0, 10 * i + move + 8, 8)))
+    gt = spark.createDataFrame([place(i, m) for i in range(6) for m in ((0, 6) if i % 2 else (0,))], "gt_id long, image_id long, class_id long, xmin double, ymin double, xmax double, ymax double")
+    det = spark.createDataFrame([(*place(i, m)[:3], 0.5 + i / 100, *place(i, m)[3:]) for i in range(6) for m in ((0, 5) if i < 3 else (0,))], "det_id long, image_id long, class_id long, score double, xmin double, ymin double, xmax double, ymax double")
+    for name, df in (("gt", gt), ("det", det)):
+        df.repartition(1).select("*", at).write.parquet(str(tmp_path / f"{name}_in"))
+    st.stream_eval(spark, str(tmp_path / "gt_in"), str(tmp_path / "det_in"), str(tmp_path / "out"))
+    kept = {n: spark.read.parquet(str(tmp_path / "out" / n)) for n in ("gt", "det")}
+    assert kept["gt"].count() == 6 and kept["det"].count() == 6
+    best = ev.best_boxes(kept["det"], ev.with_flags(kept["gt"]))
+    want = ev.average_precision(ev.score_detections(best, 0.5), ev.gt_counts(ev.with_flags(kept["gt"]))).first()
+    assert st.current_ap(spark, str(tmp_path / "out")).first().ap == pytest.approx(want.ap)
+
+
 def test_ransac(spark):
     r = random.Random(14)
     true = np.array([[1.02, 0.03, 15], [-0.02, 0.98, -8], [0, 0, 1]])
