@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.graph import components
 from ..runtime import stage
-from .common import text_of
+from .common import pieces, text_of
 
 #: Groups of the corpus-wide order (one byte each is broadcast), and of the count vector of a text of up to ``DENSE`` shingles.
 ORDER_BITS, GROUPS, DENSE = 18, 64, 500
@@ -40,7 +40,7 @@ SLOTS = 1 << 26
 #: Rows of a block of a cell, and points of a tree node.
 BLOCK, NODE = 1024, 32
 #: Texts of a cell that is one leaf, and queries that go through a tree at once.
-LEAF, QUERIES = 64, 256
+LEAF, QUERIES = 64, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,12 +80,12 @@ def groups(size: int) -> int:
 def folded(vectors, length: int) -> np.ndarray:
     """Count vectors of one length as rows, added up to ``length`` groups; lengths are GROUPS times powers of two."""
     rows = np.frombuffer(b"".join(vectors), "<i4").reshape(len(vectors), -1, length)
-    return rows.sum(1)
+    return rows.sum(1, dtype=np.int32)
 
 
 def _counted(batches, n: int) -> Iterator[pd.DataFrame]:
     total = np.zeros(1 << ORDER_BITS, np.int64)
-    for batch in batches:
+    for batch in pieces(batches, "t"):
         for text in batch["t"]:
             np.add.at(total, (shingles(text, n) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
     on = np.flatnonzero(total)
@@ -104,7 +104,7 @@ def corpus_order(docs: DataFrame, n: int, text: str) -> np.ndarray:
 
 def _described(batches, n: int, percent: int, order) -> Iterator[pd.DataFrame]:
     rank = order.value
-    for batch in batches:
+    for batch in pieces(batches, "t"):
         out = []
         for text in batch["t"]:
             s = shingles(text, n)
@@ -141,21 +141,13 @@ def _marked(keys: DataFrame) -> np.ndarray:
 
 def _sets(batches, n: int, marked) -> Iterator[pd.DataFrame]:
     bits = marked.value
-    for batch in batches:
+    for batch in pieces(batches, "t"):
         slot = batch["slot"].to_numpy()
         on = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
         keys, sets = batch["key"][on], [shingles(t, n).view(np.int64) for t in batch["t"][on]]
         yield pd.DataFrame({"key": keys, "s": pd.Series(sets, index=keys.index, dtype=object)})
 
 
-def _verified(batches, percent: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        both = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(batch["sa"], batch["sb"])]
-        sizes = batch["sa"].map(len) + batch["sb"].map(len)
-        good = [100 * i >= percent * (m - i) for i, m in zip(both, sizes)]
-        yield batch.loc[good, ["u", "v"]]
-
-
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(u, v)`` whose summed coordinate minima reach the threshold."""
 
@@ -182,7 +174,9 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, n: int, perce
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(SLOTS)))
     sets = stage(rows.mapInPandas(partial(_sets, n=n, marked=marked), "key long, s array<long>"), "sets")
     a, b = (sets.select(F.col("key").alias(k), F.col("s").alias(f"s{x}")) for k, x in (("u", "a"), ("v", "b")))
-    return stage(pairs.join(a, "u").join(b, "v").mapInPandas(partial(_verified, percent=percent), "u long, v long").distinct(), "links")
+    size = lambda c: F.size(c).cast("long")
+    good = size(F.array_intersect("sa", "sb")) * (100 + percent) >= (size("sa") + size("sb")) * percent
+    return stage(pairs.join(a, "u").join(b, "v").where(good).select("u", "v").distinct(), "links")
 
 
 class Tree:
