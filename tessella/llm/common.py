@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -48,6 +49,24 @@ def pieces(batches, column: str, chars: int = 2_000_000):
             yield piece
 
 
+#: Bits of a bitmap of hash slots, 8 MB whatever the data. Marks are upper bounds: the exact step comes after.
+SLOTS = 1 << 26
+
+
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """Bytes of the bitmap of a column ``slot`` of numbers below ``SLOTS``; of fixed size, so it may come to the driver."""
+    at = F.col("slot") + 1
+    parts = slots.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m"))
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    return bits
+
+
+def marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, to be joined by a shuffle.
 

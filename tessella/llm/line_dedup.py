@@ -12,13 +12,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import stage
-from .common import text_of
+from .common import SLOTS, bitmap, marked, pieces, text_of
 
 WINDOW, DIVISOR, LONG_WORDS = 2, 2, 50
 
@@ -51,22 +52,21 @@ def candidates(text: str, long_words: int):
             yield number, chunk
 
 
+def _hash(chunk: str) -> int:
+    return xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "replace")) - (1 << 63)
+
+
 def _hashed(batches, long_words: int):
-    for batch in batches:
-        rows = [
-            (k, i, n, xxhash.xxh3_64_intdigest(c.encode("utf-8", "replace")) - (1 << 63))
-            for k, i, t in zip(batch["key"], batch["id"], batch["t"]) for n, c in candidates(t, long_words)
-        ]
-        yield pd.DataFrame(rows, columns=["key", "id", "no", "h"])
+    for batch in pieces(batches, "t"):
+        yield pd.DataFrame({"h": np.array([_hash(c) for t in batch["t"] for _, c in candidates(t, long_words)], dtype=np.int64)})
 
 
-def _cut(batches, long_words: int):
-    for batch in batches:
-        rows = []
-        for k, i, t, wanted in zip(batch["key"], batch["id"], batch["t"], batch["nos"]):
-            wanted = set(wanted)
-            rows += [(k, i, n, c) for n, c in candidates(t, long_words) if n in wanted]
-        yield pd.DataFrame(rows, columns=["key", "id", "no", "chunk"])
+def _cut(batches, long_words: int, shared):
+    bits = shared.value
+    for batch in pieces(batches, "t"):
+        rows = [(k, i, n, c) for k, i, t in zip(batch["key"], batch["id"], batch["t"]) for n, c in candidates(t, long_words)]
+        rows = pd.DataFrame(rows, columns=["key", "id", "no", "chunk"])
+        yield rows[marked(bits, np.array([_hash(c) % SLOTS for c in rows["chunk"]], dtype=np.int64))]
 
 
 def _without(batches: Iterator[pa.RecordBatch], long_words: int) -> Iterator[pa.RecordBatch]:
@@ -85,20 +85,14 @@ def _without(batches: Iterator[pa.RecordBatch], long_words: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays(columns, [*names, "_text", "_removed"])
 
 
-def _same(a: DataFrame, b: DataFrame):
-    return a["key"].eqNullSafe(b["key"]) & (a["id"] == b["id"])
-
-
 def repeated(docs: DataFrame, long_words: int = LONG_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Written ``(key, id, gone)``: chunk numbers to remove from the document of that key and text hash."""
     rows = docs.select(F.col(key).cast("long").cast("string").alias("key"), F.xxhash64(text).alias("id"), text_of(text).alias("t"))
-    named = stage(rows.mapInPandas(partial(_hashed, long_words=long_words), "key string, id long, no int, h long"), "chunks")
-    again = named.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    # one row for each document with repeated chunks; its list is bounded by the document
-    marked = named.join(again, "h", "left_semi").groupBy("key", "id").agg(F.collect_set("no").alias("nos"))
-    marked = stage(marked, "nominated")
-    chosen = rows.join(marked, _same(rows, marked)).select(rows["key"], rows["id"], "t", "nos")
-    cut = stage(chosen.mapInPandas(partial(_cut, long_words=long_words), "key string, id long, no int, chunk string"), "cut")
+    hashes = rows.mapInPandas(partial(_hashed, long_words=long_words), "h long")
+    again = hashes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select(F.pmod("h", F.lit(SLOTS)).alias("slot"))
+    # chunks of marked slots are cut out of the texts in a second scan: no text is shuffled to find them
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(again))
+    cut = stage(rows.mapInPandas(partial(_cut, long_words=long_words, shared=shared), "key string, id long, no int, chunk string"), "cut")
     first = cut.groupBy("chunk").agg(F.min(F.struct(F.col("key").cast("long").alias("key"), "id", "no")).alias("first"), F.count("*").alias("m")).where("m > 1")
     gone = cut.join(first, "chunk").where(~F.struct(F.col("key").cast("long").alias("key"), "id", "no").eqNullSafe(F.col("first")))
     return stage(gone.groupBy("key", "id").agg(F.collect_set("no").alias("gone")), "gone")
@@ -116,7 +110,8 @@ def dedup(docs: DataFrame, long_words: int = LONG_WORDS, text: str = "text", key
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
     k, t = f"c{names.index(key)}", f"c{names.index(text)}"
     rows = rows.withColumn("_key", F.col(k).cast("long").cast("string")).withColumn("_id", F.xxhash64(t))
-    joined = rows.join(gone, rows["_key"].eqNullSafe(gone["key"]) & (rows["_id"] == gone["id"]), "left")
+    # the same join at every size: a list of removals grows with the data and is never broadcast
+    joined = rows.hint("merge").join(gone, rows["_key"].eqNullSafe(gone["key"]) & (rows["_id"] == gone["id"]), "left")
     kept = [c for c in rows.columns if c not in ("_key", "_id", t)]
     joined = joined.select(*kept, F.col(t).alias("_text"), F.col("gone").alias("_gone"))
     schema = joined.drop("_gone").schema.add("_removed", "long")

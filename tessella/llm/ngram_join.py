@@ -31,12 +31,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.graph import components
 from ..runtime import stage
-from .common import pieces, text_of
+from .common import SLOTS, bitmap, marked, pieces, text_of
 
 #: Groups of the corpus-wide order (one byte each is broadcast), and of the count vector of a text of up to ``DENSE`` shingles.
 ORDER_BITS, GROUPS, DENSE = 18, 64, 500
-#: Slots of the bitmap that marks the texts of candidate pairs (one bit each is broadcast).
-SLOTS = 1 << 26
 #: Rows of a block of a cell, and points of a tree node.
 BLOCK, NODE = 1024, 32
 #: Texts of a cell that is one leaf, and queries that go through a tree at once.
@@ -127,23 +125,10 @@ def described(docs: DataFrame, n: int, percent: int, text: str, key: str) -> Dat
     return stage(rows.withColumn("key", F.col("key").cast("long")), "described")
 
 
-def _marked(keys: DataFrame) -> np.ndarray:
-    """Bitmap of the hash slots of ``keys``, as bytes: of fixed size, so it may come to the driver."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)) + 1
-    parts = keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")
-    )
-    bits = np.zeros(SLOTS // 8, np.uint8)
-    for r in parts.toLocalIterator():
-        bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
-    return bits
-
-
-def _sets(batches, n: int, marked) -> Iterator[pd.DataFrame]:
-    bits = marked.value
+def _sets(batches, n: int, shared) -> Iterator[pd.DataFrame]:
+    bits = shared.value
     for batch in pieces(batches, "t"):
-        slot = batch["slot"].to_numpy()
-        on = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+        on = marked(bits, batch["slot"].to_numpy())
         keys, sets = batch["key"][on], [shingles(t, n).view(np.int64) for t in batch["t"][on]]
         yield pd.DataFrame({"key": keys, "s": pd.Series(sets, index=keys.index, dtype=object)})
 
@@ -169,10 +154,10 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, n: int, perce
     pairs = stage(_bounded(pairs, points, percent), "bounded")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
     # a text goes on if its slot is marked: those of no pair that share a slot are dropped by the joins
-    marked = docs.sparkSession.sparkContext.broadcast(_marked(ends))
-    rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("t")).where("key IS NOT NULL")
-    rows = rows.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(SLOTS)))
-    sets = stage(rows.mapInPandas(partial(_sets, n=n, marked=marked), "key long, s array<long>"), "sets")
+    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("slot")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ends.select(slot)))
+    rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("t")).where("key IS NOT NULL").select("key", "t", slot)
+    sets = stage(rows.mapInPandas(partial(_sets, n=n, shared=shared), "key long, s array<long>"), "sets")
     a, b = (sets.select(F.col("key").alias(k), F.col("s").alias(f"s{x}")) for k, x in (("u", "a"), ("v", "b")))
     size = lambda c: F.size(c).cast("long")
     good = size(F.array_intersect("sa", "sb")) * (100 + percent) >= (size("sa") + size("sb")) * percent
