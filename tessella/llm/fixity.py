@@ -34,16 +34,19 @@ def archive(rows: DataFrame, key: str = "page_id", uri: str = "url", payload: st
     """
     data = rows.select(F.col(key).alias("key"), record_of(F.col(uri), F.col(payload)).alias("data"))
     data = data.withColumn("digest", F.sha2("data", 256))
-    # copies are counted before they meet, so that one record with very many copies is one row
-    each = stage(data.groupBy("key", "digest").agg(F.any_value("data").alias("data"), F.count("*").alias("copies")), "records")
-    size = (F.octet_length("data") * F.col("copies")).cast("long")
-    narrow = range_bucketed(each.select("key", "digest", size.alias("size")), [], [F.col("key"), F.col("digest")])
-    ends = running_sums(narrow, [], [F.col("key"), F.col("digest")], {"end": "size"})
-    ends = ends.select(F.col("key").alias("_key"), F.col("digest").alias("_digest"), (F.col("end") - F.col("size")).alias("start"))
-    laid = each.join(ends, each["key"].eqNullSafe(ends["_key"]) & (each["digest"] == ends["_digest"]))
+    data = data.withColumn("name", F.concat_ws(":", F.col("key").cast("string"), "digest"))
+    # places come from lengths alone; copies are counted before they meet, so one record with very many copies is one row
+    sizes = data.groupBy("name").agg(
+        F.min("key").alias("key"), F.min("digest").alias("digest"), F.count("*").alias("copies"), F.max(F.octet_length("data")).cast("long").alias("length")
+    )
+    order = [F.col("key"), F.col("digest")]
+    narrow = range_bucketed(sizes.withColumn("size", F.col("length") * F.col("copies")), [], order)
+    ends = running_sums(narrow, [], order, {"end": "size"}).select("name", "copies", "length", (F.col("end") - F.col("size")).alias("start"))
+    # grouped and joined by one name, so the records are shuffled once
+    each = data.groupBy("name").agg(F.any_value("key").alias("key"), F.any_value("data").alias("data"))
     copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
-    laid = laid.select("key", "start", "data", copy.alias("i"))
-    return stage(laid.select("key", (F.col("start") + F.col("i") * F.octet_length("data")).alias("offset"), "data"), "archive")
+    laid = each.hint("merge").join(ends, "name").select("key", "start", "data", "length", copy.alias("i"))
+    return stage(laid.select("key", (F.col("start") + F.col("i") * F.col("length")).alias("offset"), "data"), "archive")
 
 
 def leaves(records: DataFrame) -> DataFrame:
