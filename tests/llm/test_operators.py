@@ -101,6 +101,21 @@ def test_line_dedup(spark, docs):
     assert [r.text for r in line_dedup.dedup(twice).orderBy("doc_id").collect()] == ["a b\n" + BODY[6], "", ""]
 
 
+def test_line_dedup_of_passages_of_short_lines(spark):
+    """Repeated runs of 2 to 6 lines go whole, whatever stands around them; all other lines stay."""
+    rng, rows, want = random.Random(5), [], {}
+    line = lambda k, mark: f"{mark} " + " ".join(rng.choices(VOCABULARY, k=k - 1))
+    passages = [[line(60 // n + 1, f"p{n}{j}{i}") + ("\n" if j % 3 == 2 else "") for i in range(n)] for n in range(2, 7) for j in range(12)]
+    for copy in range(2):
+        for p in passages:
+            around = [[line(9, f"d{len(rows)}{side}{i}") for i in range(rng.randrange(0 if copy == 0 else 1, 4))] for side in "ab"]
+            want[len(rows)] = "\n".join([*around[0], *(p if copy == 0 else []), *around[1]])
+            rows.append((len(rows), "\n".join([*around[0], *p, *around[1]])))
+    got = {r.doc_id: r.text for r in line_dedup.dedup(frame(spark, rows)).collect()}
+    strip = lambda x: [y for y in x.split("\n") if y]
+    assert {i: strip(t) for i, t in got.items()} == {i: strip(t) for i, t in want.items()}
+
+
 def test_chunks_resist_shifts():
     lines = [" ".join(random.choices(VOCABULARY, k=6)) for _ in range(40)]
     parts = lambda x: {"\n".join(x[a:b]) for a, b in line_dedup.chunks("\n".join(x))}
