@@ -10,6 +10,7 @@ numbers of each step, so no rate is ever stored between steps.
 
 from __future__ import annotations
 
+import logging
 from math import log
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,8 +22,9 @@ DOMAINS = ("good", "low", "toxic")
 #: Target shares of the tokens of all domains.
 WEIGHTS = {"good": 0.98, "low": 0.02, "toxic": 0.0}
 BROADCAST_ROWS = 200_000
-#: Rates below this are zero in a domain of weight zero, and the part of stray membership that a domain of weight zero may keep.
-LEAST_RATE, SOFT = 0.1, 0.9
+#: The part of stray membership that a domain of weight zero may keep.
+SOFT = 0.9
+log_to = logging.getLogger(__name__)
 SYMBOLS = r"[#*$%&|<>]+"
 
 
@@ -114,35 +116,40 @@ def rate_of(p: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(table, start, step, lambda a: a["r"])
 
 
+def unwanted(p: Column, weights: dict[str, float]) -> Column:
+    """Whether the most probable domain has weight zero."""
+    return F.array_position(p, F.array_max(p)).isin([d + 1 for d, n in enumerate(DOMAINS) if not weights.get(n)])
+
+
 def rates(members: DataFrame, weights: dict[str, float], rounds: int = 40, tolerance: float = 1e-3):
     """Steps of the fit for ``members (n_tokens, p)``, and the token totals per domain that it reaches and aims at.
 
-    The targets share out the tokens T for which the first domain with a weight keeps its own
-    tokens. A domain of weight zero is to lose the documents of which it is the most probable one; of what
-    the others hold of it in expectation, the share ``SOFT`` is its target. The gradient of the squared miss is taken in the metric in which a rate weighs as much as
-    its document's tokens and a miss as 1 / (tokens of the domain): the matrix of the problem then has a
-    norm of at most 1, so a step of 1 is safe. Accelerated steps need the totals at a point on the line
-    through the last two, which follow from theirs. Stops when the misses are below ``tolerance`` of T.
+    Members whose most probable domain has weight zero have rate zero and take no part. The targets share
+    out the tokens T for which the first domain with a weight keeps its own tokens. Of what the others
+    hold of a domain of weight zero in expectation, the share ``SOFT`` is its target, and less is no miss. The
+    gradient of the squared miss is taken in the metric in which a rate weighs as much as its document's tokens and a miss
+    as 1 / (tokens of the domain): the matrix of the problem then has a norm of at most 1, so a step of 1
+    is safe. Accelerated steps need the totals at a point on the line through the last two, which follow
+    from theirs. Stops when each miss is below ``tolerance`` of the tokens of its own domain.
     """
+    members = members.where(~unwanted(F.col("p"), weights))
     k = len(DOMAINS)
     totals = lambda rate: [F.coalesce(F.sum(F.col("n_tokens") * rate * F.get("p", d)), F.lit(0.0)).alias(f"t{d}") for d in range(k)]
-    best = lambda d: F.array_position("p", F.array_max("p")) == d + 1
-    soft = [F.coalesce(F.sum(F.when(~best(d), F.col("n_tokens") * F.get("p", d))), F.lit(0.0)).alias(f"s{d}") for d in range(k)]
-    first = [float(x) for x in members.agg(*totals(F.lit(1.0)), *soft).first()]
-    have, soft = first[:k], first[k:]
+    have = [float(x) for x in members.agg(*totals(F.lit(1.0))).first()]
     share = [weights.get(d, 0.0) for d in DOMAINS]
     lead = next((d for d in range(k) if share[d] > 0 and have[d] > 0), None)
     if lead is None:
         return [], have, [0.0] * k
     whole = have[lead] / share[lead]
     # a domain without tokens cannot be reached by any rate
-    goal = [0.0 if have[d] <= 0 else whole * share[d] if share[d] > 0 else SOFT * soft[d] for d in range(k)]
+    goal = [0.0 if have[d] <= 0 else whole * share[d] if share[d] > 0 else SOFT * have[d] for d in range(k)]
+    miss = lambda d, t: t - goal[d] if share[d] > 0 else max(0.0, t - goal[d])
     steps: list[list[float]] = []
     reached = before = have
-    while len(steps) < rounds and max(abs(reached[d] - goal[d]) for d in range(k)) > tolerance * whole:
+    while len(steps) < rounds and any(abs(miss(d, reached[d])) > tolerance * have[d] for d in range(k)):
         go = momentum(len(steps))
         point = [reached[d] + go * (reached[d] - before[d]) for d in range(k)]
-        steps.append([(point[d] - goal[d]) / have[d] if have[d] > 0 else 0.0 for d in range(k)])
+        steps.append([miss(d, point[d]) / have[d] if have[d] > 0 else 0.0 for d in range(k)])
         now = members.withColumn("_rate", rate_of(F.col("p"), steps)).agg(*totals(F.col("_rate"))).first()
         before, reached = reached, [float(x) for x in now]
     return steps, reached, goal
@@ -156,11 +163,10 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
     members = stage(posteriors(docs, fit(docs, labels, text=text, key=key, **fitting), text, key), "members")
     # Documents of equal posteriors have equal rates: steps run on one row for each posterior.
     groups = stage(members.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("n_tokens")), "posteriors")
-    steps, _, _ = rates(groups, weights)
+    steps, reached, goal = rates(groups, weights)
+    log_to.info("%d steps; tokens of %s reached %s, target %s", len(steps), DOMAINS, reached, goal)
     rate = F.round(rate_of(F.col("p"), steps), 6)
-    # the most probable domain has weight zero
-    unwanted = F.array_position("p", F.array_max("p")).isin([d + 1 for d, n in enumerate(DOMAINS) if not weights.get(n)])
     return members.select(
         key, "n_tokens", *(F.get("p", d).alias(f"p_{n}") for d, n in enumerate(DOMAINS)),
-        F.when(unwanted & (rate < LEAST_RATE), 0.0).otherwise(rate).alias("rate"),
+        F.when(unwanted(F.col("p"), weights), 0.0).otherwise(rate).alias("rate"),
     )

@@ -310,6 +310,24 @@ def test_mixing(spark):
     assert mixing.mix(docs, known.limit(0)).count() == 603
 
 
+@pytest.mark.parametrize("toxic,stray", [((600.0, [0.0, 0.0, 1.0]), 0.0), ((500.0, [0.0, 0.0, 1.0]), 0.0004), ((1500.0, [0.4, 0.0, 0.6]), 0.0)])
+def test_rare_domains_of_weight_zero_go(spark, monkeypatch, toxic, stray):
+    """Rare toxic documents get rate zero, and the fit meets the target of each other domain by its own tokens."""
+    rows = [(1, 980_000, [1 - stray, 0.0, stray]), (2, 20_000, [0.0, 1.0, 0.0]), (3, int(toxic[0]), toxic[1])]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>")
+    monkeypatch.setattr(mixing, "fit", lambda *a, **b: None)
+    monkeypatch.setattr(mixing, "posteriors", lambda *a, **b: members)
+    by = {r.doc_id: r.rate for r in mixing.mix(members, members).collect()}
+    assert by[3] == 0 and by[1] == pytest.approx(1, abs=0.01) and by[2] == pytest.approx(1, abs=0.01)
+    small = spark.createDataFrame([(1e6, [1.0, 0.0, 0.0]), (900.0, [0.0, 1.0, 0.0])], "n_tokens double, p array<double>")
+    _, reached, goal = mixing.rates(small, {"good": 0.9996, "low": 0.0004})
+    assert reached[1] == pytest.approx(goal[1], abs=0.9)
+    # a domain of weight zero that loses more than it must pulls no document up
+    shared = spark.createDataFrame([(1e6, [1.0, 0.0, 0.0]), (80_000.0, [0.0, 0.6, 0.4])], "n_tokens double, p array<double>")
+    _, reached, goal = mixing.rates(shared, mixing.WEIGHTS)
+    assert reached[1] == pytest.approx(goal[1], abs=50) and reached[2] < goal[2]
+
+
 def test_rates_solve_the_least_squares(spark):
     """With reachable targets the fitted rates meet them."""
     rng = random.Random(4)
