@@ -31,10 +31,15 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
     "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
     "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "option": ({"option"}, {"select"}),
+    "caption": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "colgroup": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
 }
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: What may stand directly in a table and in its parts; other content moves before the table.
+TABLE_PARTS = set("caption colgroup col thead tbody tfoot tr td th".split())
+TABLE_OPEN = set("table thead tbody tfoot tr colgroup".split())
+NEUTRAL = set("script style template form".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -58,17 +63,41 @@ def _visible(tag: str, attributes: str) -> tuple[bool, int]:
     return not hidden, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
 
 
+def _place(stack: list[Node]) -> tuple[list, int]:
+    """Where content goes that is no part of a table: the open element, or before the table it stands directly in."""
+    if stack[-1].tag in TABLE_OPEN:
+        at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "table"), 0)
+        if at:
+            above = stack[at - 1].children
+            # the open table is the last table of its parent; what came before it stays before
+            return above, next(i for i in range(len(above) - 1, -1, -1) if above[i] is stack[at])
+    return stack[-1].children, len(stack[-1].children)
+
+
+def _text(stack: list[Node], s: str) -> None:
+    if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
+        stack.pop()
+    if s.strip(" \t\n\r\f"):
+        into, at = _place(stack)
+        into.insert(at, s)
+    else:
+        stack[-1].children.append(s)
+
+
 def build(page: str) -> Node:
-    """The tree of a page. End tags without a start are ignored; open elements end with the page."""
+    """The tree of a page. End tags without a start are ignored; open elements end with the page.
+
+    Rows without a tag are opened, and content that stands directly in a table moves before it.
+    """
     root = Node("html", True)
     stack, at, size = [root], 0, len(page)
     while at < size:
         m = _TAG.search(page, at)
         if m is None:
-            stack[-1].children.append(page[at:])
+            _text(stack, page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
+            _text(stack, page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -86,6 +115,13 @@ def build(page: str) -> Node:
             shown, _ = _visible(tag, m[3])
             root.shown = root.shown and shown
             continue
+        if tag in TABLE_PARTS:
+            # a part of a table ends a caption, and what was moved before the table
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in TABLE_PARTS or stack[i].tag == "table":
+                    if stack[i].tag not in ("td", "th"):
+                        del stack[i + (stack[i].tag != "caption" and (stack[i].tag != "colgroup" or tag == "col")) :]
+                    break
         if tag in CLOSES:
             closed, stop = CLOSES[tag]
             cut = len(stack)
@@ -105,9 +141,22 @@ def build(page: str) -> Node:
                     break
         if stack[-1].tag == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "template", "noscript"):
             stack.pop()
+        if tag == "table" and stack[-1].tag in TABLE_OPEN:
+            # a table directly in a table ends that one
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "table":
+                    del stack[i:]
+                    break
+        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+            row = Node("tr", True)
+            stack[-1].children.append(row)
+            stack.append(row)
         shown, start = _visible(tag, m[3])
         node = Node(tag, shown, start)
-        stack[-1].children.append(node)
+        into, place = (stack[-1].children, len(stack[-1].children)) if tag in TABLE_PARTS or tag in NEUTRAL else _place(stack)
+        into.insert(place, node)
+        if tag == "form" and stack[-1].tag in TABLE_OPEN:
+            continue
         if RAW.fullmatch(tag):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else size

@@ -184,6 +184,29 @@ def test_page_text(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<table><td>x</td></table>", "x"), ("<table><td>x<td>y<tr><td>z</table>", "x  y\nz"),
+    ("<table>stray<tr><td>x</td></tr><tr>more</tr></table>end", "straymore\n\nx\n\nend"),
+    ("<table><tr><td>x</td></tr><table><tr><td>y</td></tr></table></table>z", "x\n\ny\n\nz"),
+    ("<html><head><title>T</title>Hello<p>you</p></head></html>", "Hello\n\nyou"),
+    ("<table><tr><p>one<td>cell</td></tr></table>", "one\n\ncell"), ("<table><caption>cap<tr><td>x</table>", "cap\nx"),
+    ("<table><form>in<tr><td>f</td></tr></form></table>", "in\n\nf"),
+])
+def test_page_text_of_stray_table_content(page, text):
+    assert html_text.page_text(page) == text
+
+
+def test_every_visible_text_node_is_written_once():
+    """Random tables with missing and misplaced tags: each piece of text comes out once."""
+    rng = random.Random(11)
+    tags = "table /table tr /tr td /td th tbody /tbody thead caption /caption colgroup col div /div p b /b form /form ul li".split()
+    for _ in range(3000):
+        parts = [f"<{rng.choice(tags)}>" if rng.random() < 0.6 else f"q{i}q" for i in range(rng.randrange(1, 25))]
+        page = rng.choice(["", "<head><title>T</title>"]) + "".join(parts)
+        out = html_text.page_text(page)
+        assert all(out.count(x) == 1 for x in parts if x[0] == "q"), (page, out)
+
+
 def test_html(spark):
     pages = frame(spark, [(i, "u", p) for i, p, _ in PAGES] + [(None, "u", "z"), (14, "u", "z")], "page_id long, url string, html string")
     out = html_text.extract(pages)
