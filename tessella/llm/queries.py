@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, fixity, html_text, licenses, line_dedup, mixing, ngram_join, quality, suffix_tree
+from . import (
+    chat, decontaminate, fixity, html_text, licenses, line_dedup, merkle_manifest, mixing, ngram_join, prefix_trie, quality, suffix_tree, toxicity,
+)
 from .common import table
 from .oracles import ORACLES
 
@@ -64,7 +66,27 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, *toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+def tampered() -> dict:
+    """A replica that lost the line breaks of every text whose key has an even CRC-32."""
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return {"text": F.when(even, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, folder, "documents"), tampered()).drop("proof_levels")
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_line_dedup, op3_ngram_jaccard, op4_html_text, op5_warc_fixity, op6_suffix_tree,
     op7_chat_windows, op8_mixing, op9_license_scan, op10_decontamination,
+    op11_toxicity, op12_merkle_manifest, op13_prefix_trie,
 )}
