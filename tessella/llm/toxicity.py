@@ -206,7 +206,7 @@ def monotone(share: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _bin(vote: Column) -> Column:
-    return F.coalesce(F.least(F.floor(vote * BINS), F.lit(BINS - 1)).cast("int"), F.lit(-1))
+    return F.when(vote.isNull(), -1).otherwise(F.least(F.floor(vote * BINS), F.lit(BINS - 1))).cast("int")
 
 
 def calibrated(votes: DataFrame) -> list[float]:
