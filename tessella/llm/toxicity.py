@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Learning uses a bounded sample of the labelled training texts (``rows``, picked by a hash of the text;
-equal texts are one example, labelled by their mean). Terms are words; those that go with the label (chi-squared,
-found in ``least`` texts) are indexed. An example is the vector of ``(1 + log tf) * idf`` of its terms, of length 1.
+equal texts are one example, labelled by their mean). Terms are words; those found in ``least`` texts that go with or
+against the label, surely (chi-squared) and strongly (``lift`` times its share, or that part of it), are indexed. An example is the vector of ``(1 + log tf) * idf`` of its terms, of length 1.
 
 The index is inverted and cut in blocks of ``BLOCK`` examples: a term has a largest weight for each block it
 occurs in. A query adds up these maxima times its own weights, which bounds the cosine of all examples of a
@@ -145,7 +145,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, rows: int, text: str, key
     return stage(found.select("print", "key", "y", "t").dropDuplicates(["print"]), "training")
 
 
-def select_terms(training: DataFrame, least: int, chi: float, terms: int) -> tuple[pd.DataFrame, int]:
+def select_terms(training: DataFrame, least: int, chi: float, lift: float, terms: int) -> tuple[pd.DataFrame, int]:
     """The terms that go with the label, with the number of texts ``df`` that hold them, and the number of texts."""
     total = training.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("y")).first()
     n, pos = float(total["n"]), float(total["y"])
@@ -154,6 +154,9 @@ def select_terms(training: DataFrame, least: int, chi: float, terms: int) -> tup
     off = F.lit(n) * F.col("x") - F.lit(pos) * F.col("df")
     spread = F.lit(pos * (n - pos)) * F.col("df") * (F.lit(n) - F.col("df"))
     found = found.withColumn("chi", F.when(spread > 0, F.lit(n) * off * off / spread).otherwise(F.lit(0.0))).where(F.col("chi") >= chi)
+    # chi-squared alone lets in ever more common words as the sample grows
+    share = F.col("x") * n / (F.col("df") * pos) if pos else F.lit(1.0)
+    found = found.where((share >= lift) | (share * lift <= 1))
     # at most `terms` rows
     return found.orderBy(F.col("chi").desc(), "term").limit(terms).select("term", "df").toPandas().sort_values("term", ignore_index=True), int(n)
 
@@ -178,11 +181,11 @@ def _vectors(training: DataFrame, shared, postings: int) -> pd.DataFrame:
 
 def fit(
     docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows: int = 20_000,
-    terms: int = 4096, postings: int = 2_000_000, least: int = 5, chi: float = 25.0,
+    terms: int = 4096, postings: int = 2_000_000, least: int = 5, chi: float = 25.0, lift: float = 2.0,
 ) -> tuple[Model, DataFrame]:
     """The model, and the written training texts ``(print, key, y, t)``. ``labels`` are 0 or 1; several of a key are averaged."""
     training = training_texts(docs, labels, rows, text, key, label)
-    chosen, n = select_terms(training, least, chi, terms)
+    chosen, n = select_terms(training, least, chi, lift, terms)
     numbers = {t.encode(): i for i, t in enumerate(chosen["term"])}
     idf = np.log((n + 1) / (chosen["df"].to_numpy(float) + 1))
     found = _vectors(training, docs.sparkSession.sparkContext.broadcast(numbers), postings)
