@@ -240,23 +240,48 @@ def test_images_at_the_same_coordinates_do_not_mix(spark):
     assert len(sizes) == 8 and set(sizes.values()) == {25} and list(BOX)
 
 
-def test_stream_judges_the_stored_copies(spark, tmp_path):
-    """Copies that differ: the numbers are those of the copies in the stored tables."""
+def test_stream_equals_batch_after_every_delivery(spark, tmp_path):
+    """Deliveries in any order, late copies that differ, difficult and group-of boxes, a batch that runs again."""
+    import random
+
     from tessella.operators import evaluation as ev
     from tessella.streaming import evaluate as st
 
-    at = F.expr("TIMESTAMP '2024-01-01 00:00:00'").alias("ts")
-    place = lambda i, move: (i, i % 3, 0, *map(float, (10 * i + move, 0, 10 * i + move + 8, 8)))
-    gt = spark.createDataFrame([place(i, m) for i in range(6) for m in ((0, 6) if i % 2 else (0,))], "gt_id long, image_id long, class_id long, xmin double, ymin double, xmax double, ymax double")
-    det = spark.createDataFrame([(*place(i, m)[:3], 0.5 + i / 100, *place(i, m)[3:]) for i in range(6) for m in ((0, 5) if i < 3 else (0,))], "det_id long, image_id long, class_id long, score double, xmin double, ymin double, xmax double, ymax double")
-    for name, df in (("gt", gt), ("det", det)):
-        df.repartition(1).select("*", at).write.parquet(str(tmp_path / f"{name}_in"))
-    st.stream_eval(spark, str(tmp_path / "gt_in"), str(tmp_path / "det_in"), str(tmp_path / "out"))
-    kept = {n: spark.read.parquet(str(tmp_path / "out" / n)) for n in ("gt", "det")}
-    assert kept["gt"].count() == 6 and kept["det"].count() == 6
-    best = ev.best_boxes(kept["det"], ev.with_flags(kept["gt"]))
-    want = ev.average_precision(ev.score_detections(best, 0.5), ev.gt_counts(ev.with_flags(kept["gt"]))).first()
-    assert st.current_ap(spark, str(tmp_path / "out")).first().ap == pytest.approx(want.ap)
+    rng, at = random.Random(4), F.expr("TIMESTAMP '2024-01-01 00:00:00'").alias("ts")
+    place = lambda i: [float(x) for x in ((i * 37) % 90, (i * 53) % 90, (i * 37) % 90 + 20, (i * 53) % 90 + 20)]
+    gt = [(i, i % 4, i % 2, *place(i), i % 7 == 0, i % 11 == 0) for i in range(40)]
+    det = [(i, i % 40 % 4, i % 2, rng.randrange(9) / 10, *(x + rng.randrange(5) for x in place(i % 40))) for i in range(120)]
+    kinds = {"gt": (gt, st.GT_SCHEMA.removesuffix(", ts timestamp")), "det": (det, st.DET_SCHEMA.removesuffix(", ts timestamp"))}
+    parts = {"gt": [gt[:10], gt[10:30] + [(*r[:3], *(x + 9 for x in r[3:7]), *r[7:]) for r in gt[:5]], gt[30:]], "det": [det[:80], det[60:], []]}
+    folder = lambda n: str(tmp_path / n)
+    for step in range(3):
+        for name, (_, schema) in kinds.items():
+            spark.createDataFrame(parts[name][step], schema).select("*", at).coalesce(1).write.mode("append").parquet(folder(name))
+        st.stream_eval(spark, folder("gt"), folder("det"), folder("out"), group_of_weight=0.5)
+        come = {n: list({r[0]: r for part in parts[n][step::-1] for r in part[::-1]}.values()) for n in kinds}
+        g, d = (spark.createDataFrame(come[n], kinds[n][1]) for n in ("gt", "det"))
+        want = ev.average_precision(ev.score_detections(ev.best_boxes(d, g), 0.5, 0.5), ev.gt_counts(g, group_of_weight=0.5))
+        key = lambda df: sorted((r.class_id, r.n_gt, round(r.ap, 9)) for r in df.collect())
+        assert key(st.current_ap(spark, folder("out"))) == key(want)
+        assert sorted(r.det_id for r in st.accepted(spark, folder("out"), "det").collect()) == sorted(r[0] for r in come["det"])
+    again = spark.read.parquet(folder("out") + "/delivery/batch=1").drop("bucket")
+    st.fold(spark.createDataFrame(again.collect(), again.schema), 1, folder("out"), 0.5, 0.5)
+    assert key(st.current_ap(spark, folder("out"))) == key(want)
+
+
+def test_running_mean_shows_open_windows(spark, tmp_path):
+    from tessella.streaming import evaluate as st
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "at timestamp, loss double, ok boolean"
+    deliveries = [[("2024-01-01 10:00", 1.0, True), ("2024-01-02 10:00", 2.0, False)], [("2024-01-02 11:00", 4.0, True), ("2024-01-03 00:30", 5.0, True)]]
+    want = [{1: (1.0, 1.0, 1), 2: (2.0, 0.0, 1)}, {1: (1.0, 1.0, 1), 2: (3.0, 0.5, 2), 3: (5.0, 1.0, 1)}]
+    for rows, now in zip(deliveries, want):
+        spark.createDataFrame(rows, "at string, loss double, ok boolean").withColumn("at", F.to_timestamp("at")).write.mode("append").parquet(source)
+        means = st.running_mean(spark.readStream.schema(schema).parquet(source), "loss", F.col("ok"), "1 day", "at")
+        st.upsert(means, out)
+        got = st.latest(spark, out, means.schema, ["start"]).withColumn("day", F.dayofmonth("start")).collect()
+        assert {r.day: (r.mean_loss, r.accuracy, r.n) for r in got} == now
 
 
 def test_ransac(spark):
