@@ -2,29 +2,79 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .graph import components
-from .raster import disc, region_props, spread, square
+from .raster import region_props
 
 SHIFT = 2**32  # pixel id = y * 2^32 + x, in row-major order
 
 
+def runs(mask: DataFrame, on=()) -> DataFrame:
+    """Horizontal runs ``(on, y, x0, x1)``, ends included, of a mask's distinct pixels."""
+    row = [*on, "y"]
+    island = F.col("x") - F.row_number().over(Window.partitionBy(*row).orderBy("x"))
+    pixels = mask.select(*on, "y", "x").distinct().withColumn("_island", island)
+    return pixels.groupBy(*row, "_island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_island")
+
+
+def _pixels(found: DataFrame, on) -> DataFrame:
+    return found.select(*on, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
+def _rows_of(shape: str, radius: int) -> Column:
+    """For each row of a shape its distance ``dy`` and half width ``w``."""
+    width = {"disc": lambda dy: isqrt(radius * radius - dy * dy), "square": lambda dy: radius}[shape]
+    return F.array(*(F.struct(F.lit(dy).cast("long").alias("dy"), F.lit(width(dy)).cast("long").alias("w")) for dy in range(-radius, radius + 1)))
+
+
+def _dilated(found: DataFrame, radius: int, shape: str, on) -> DataFrame:
+    """Runs of a dilated mask: each run is widened once for every row of the shape, then overlapping ones merge."""
+    row = [*on, "y"]
+    wide = found.withColumn("_o", F.explode(_rows_of(shape, radius)))
+    wide = wide.select(*on, (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x0") - F.col("_o.w")).alias("x0"), (F.col("x1") + F.col("_o.w")).alias("x1"))
+    # of runs that start at one place only the longest counts
+    wide = wide.groupBy(*row, "x0").agg(F.max("x1").alias("x1"))
+    ordered = Window.partitionBy(*row).orderBy("x0")
+    before = F.max("x1").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    marked = wide.withColumn("_new", F.coalesce((F.col("x0") > before + 1).cast("int"), F.lit(1)))
+    marked = marked.withColumn("_run", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*row, "_run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_run")
+
+
+def _eroded(found: DataFrame, radius: int, shape: str, on) -> DataFrame:
+    """Runs of an eroded mask: places that a narrowed run covers for every row of the shape."""
+    row = [*on, "y"]
+    small = found.withColumn("_o", F.explode(_rows_of(shape, radius)))
+    small = small.select(*on, (F.col("y") - F.col("_o.dy")).alias("y"), (F.col("x0") + F.col("_o.w")).alias("x0"), (F.col("x1") - F.col("_o.w")).alias("x1"))
+    steps = small.where("x0 <= x1").select(
+        *row, F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("n")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("n")))).alias("_s")
+    )
+    steps = steps.groupBy(*row, F.col("_s.x").alias("x0")).agg(F.sum("_s.n").alias("n")).where("n <> 0")
+    ordered = Window.partitionBy(*row).orderBy("x0")
+    cover = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    return steps.select(*row, "x0", (F.lead("x0").over(ordered) - 1).alias("x1"), cover.alias("n")).where(F.col("n") == 2 * radius + 1).drop("n")
+
+
 def dilate(mask: DataFrame, radius: int, shape: str = "disc", on=()) -> DataFrame:
-    return spread(mask.select(*on, "y", "x"), shape, radius).distinct()
+    """Pixels with a set pixel in their neighbourhood.
+
+    Works on horizontal runs, so a run is repeated once for each row of the shape and no pixel is multiplied by its area.
+    """
+    return _pixels(_dilated(runs(mask, on), radius, shape, on), on)
 
 
 def erode(mask: DataFrame, radius: int, shape: str = "disc", on=()) -> DataFrame:
     """Pixels whose whole neighbourhood is set; what lies outside the mask is not."""
-    size = len({"disc": disc, "square": square}[shape](radius))
-    votes = spread(mask.select(*on, "y", "x").distinct(), shape, radius).groupBy(*on, "y", "x").agg(F.count("*").alias("n"))
-    return votes.where(F.col("n") == size).select(*on, "y", "x")
+    return _pixels(_eroded(runs(mask, on), radius, shape, on), on)
 
 
 def close(mask: DataFrame, radius: int, shape: str = "disc", on=()) -> DataFrame:
-    return erode(dilate(mask, radius, shape, on), radius, shape, on)
+    return _pixels(_eroded(_dilated(runs(mask, on), radius, shape, on), radius, shape, on), on)
 
 
 def smooth(mask: DataFrame, size: int = 11, share: float = 0.5, on=()) -> DataFrame:

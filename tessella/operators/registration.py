@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -19,27 +23,63 @@ def hamming(a: Column, b: Column, words: int) -> Column:
     return total
 
 
+#: Bits of a band of a code, and the most bits flipped in a probe of one.
+BAND, FLIPS = 16, 4
+
+
+def _bands(code: str, words: int) -> Column:
+    """The 16-bit bands of a code of 64-bit words."""
+    return F.array(*(F.shiftrightunsigned(F.col(code)[i // 4], BAND * (i % 4)).bitwiseAND(F.lit(65535)) for i in range(4 * words)))
+
+
+def banded(codes: DataFrame, words: int) -> DataFrame:
+    """One row a band: the index that ``probed`` looks up."""
+    return codes.select("*", F.posexplode(_bands("other", words)).alias("_no", "_band"))
+
+
+def probed(left: DataFrame, index: DataFrame, on, words: int, flips: int) -> DataFrame:
+    """Pairs that differ in exactly ``flips`` bits of some band, with their Hamming distance."""
+    masks = F.lit([sum(1 << b for b in bits) for bits in combinations(range(BAND), flips)])
+    asked = left.select("*", F.posexplode(_bands("code", words)).alias("_no", "_bits")).withColumn("_mask", F.explode(masks))
+    asked = asked.withColumn("_band", F.col("_bits").bitwiseXOR(F.col("_mask").cast("long"))).drop("_bits", "_mask")
+    dist = hamming(F.col("code"), F.col("other"), words).alias("dist")
+    return asked.join(index, [*on, "_no", "_band"]).select(*on, "id", "code", dist, "oid")
+
+
 def _nearest_code(left: DataFrame, right: DataFrame, on, words: int) -> DataFrame:
-    """Nearest right descriptor of every left one: ``on, id, code, dist, oid``.
+    """Nearest right descriptor of every left one: ``on, id, code, dist, oid``; ties go to the lowest id.
 
-    A code has four bands of 16 bits in each word. Codes closer than the number of bands share a band
-    at the same place, so an equi join on bands settles every code whose best candidate is that close;
-    the rest meet all codes of their tile. The best candidate is an aggregate with map-side combine.
+    Multi-index hashing. Two codes at a distance below ``bands * (r + 1)`` agree in some band but for at most ``r`` bits, so
+    after the bands were probed with 0 to ``r`` flipped bits, every code whose best candidate is closer than that is settled.
+    The radius grows for the others, as long as their tile has more codes than a code has probes; after that
+    they meet all codes of their tile. The best candidate is an aggregate with map-side combine.
     """
     n = 4 * words
-    band = lambda c: F.posexplode(
-        F.array(*(F.shiftrightunsigned(F.col(c)[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(65535)) for i in range(n)))
-    ).alias("_no", "_band")
     right = right.select(*on, F.col("code").alias("other"), F.col("id").alias("oid"))
-
-    def best(pairs: DataFrame) -> DataFrame:
-        dist = hamming(F.col("code"), F.col("other"), words).alias("dist")
-        return pairs.groupBy(*on, "id", "code").agg(F.min(F.struct(dist, "oid")).alias("_m")).select(*on, "id", "code", "_m.*")
-
-    banded = left.select("*", band("code")).join(right.select("*", band("other")), [*on, "_no", "_band"])
-    close = stage(best(banded).where(F.col("dist") < n), "codes")
-    rest = left.join(close.select(*on, "id"), [*on, "id"], "left_anti")
-    return close.unionByName(best(rest.join(right, on)))
+    index = stage(banded(right, words), "bands")
+    sizes = right.groupBy(*on).agg(F.count("*").alias("_codes"))
+    empty = F.lit(None).cast(f"struct<dist:int,oid:{dict(right.dtypes)['oid']}>")
+    rest = stage(left.select(*on, "id", "code").join(sizes, on).withColumn("_m", empty), "codes")
+    settled, scanned = [], []
+    for flips in range(FLIPS + 1):
+        far = F.col("_codes") <= n * comb(BAND, flips) if flips else F.lit(False)
+        scanned.append(rest.where(far))
+        asked = rest.where(~far)
+        if asked.isEmpty():
+            rest = None
+            break
+        best = probed(asked, index, on, words, flips).groupBy(*on, "id", "code").agg(F.min(F.struct(F.col("dist"), F.col("oid"))).alias("_now"))
+        best = asked.join(best.select(*on, "id", "_now"), [*on, "id"], "left").withColumn("_m", F.least("_m", "_now")).drop("_now")
+        best = stage(best, "codes")
+        close = F.coalesce(F.col("_m.dist") < n * (flips + 1), F.lit(False))
+        settled.append(best.where(close).select(*on, "id", "code", "_m.*"))
+        rest = best.where(~close)
+    if rest is not None:
+        scanned.append(rest)
+    scanned = reduce(DataFrame.unionByName, scanned).select(*on, "id", "code").join(right, on)
+    dist = hamming(F.col("code"), F.col("other"), words).alias("dist")
+    scanned = scanned.groupBy(*on, "id", "code").agg(F.min(F.struct(dist, "oid")).alias("_m")).select(*on, "id", "code", "_m.*")
+    return reduce(DataFrame.unionByName, settled, scanned)
 
 
 def mutual_matches(left: DataFrame, right: DataFrame, words: int, on=("tile_y", "tile_x"), keep: float = 1.0) -> DataFrame:

@@ -242,7 +242,6 @@ def test_images_at_the_same_coordinates_do_not_mix(spark):
 
 def test_stream_equals_batch_after_every_delivery(spark, tmp_path):
     """Deliveries in any order, late copies that differ, difficult and group-of boxes, a batch that runs again."""
-    import random
 
     from tessella.operators import evaluation as ev
     from tessella.streaming import evaluate as st
@@ -391,3 +390,67 @@ def test_stage_needs_a_shared_folder(spark):
     from tessella.runtime import shared_dir
 
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_noisy_codes_meet_few_candidates(spark):
+    """256-bit codes with up to 30 wrong bits: exact partners from probes of bands, without the product of the tile."""
+
+    from tessella.operators import registration as rg
+
+    rng = random.Random(2)
+    words = lambda x: [(x >> 64 * i & (2**64 - 1)) - (2**64 if x >> 64 * i & 2**63 else 0) for i in range(4)]
+    codes = [rng.getrandbits(256) for _ in range(600)]
+    noisy = []
+    for i, c in enumerate(codes):
+        for bit in rng.sample(range(256), rng.choice([0, 5, 14, 20, 30]) if i % 50 else 60):
+            c ^= 1 << bit
+        noisy.append(c)
+    schema = "tile int, id int, code array<bigint>"
+    left, right = (spark.createDataFrame([(i % 2 and 7, i, words(c)) for i, c in enumerate(x)], schema) for x in (codes, noisy))
+    got = {r.id: (r.dist, r.oid) for r in rg._nearest_code(left, right, ["tile"], 4).collect()}
+    want = {i: min(((c ^ d).bit_count(), j) for j, d in enumerate(noisy) if j % 2 == i % 2) for i, c in enumerate(codes)}
+    assert got == want
+    index = rg.banded(right.select("tile", F.col("code").alias("other"), F.col("id").alias("oid")), 4)
+    assert sum(rg.probed(left, index, ["tile"], 4, r).count() for r in (0, 1)) < 600 * 300 / 10
+
+
+def test_zonal_means_across_tiles(spark):
+
+    from tessella.operators import raster as ra
+
+    rng = random.Random(6)
+    image = {(c, y, x): rng.randrange(100) for c in "ab" for y in range(-5, 40) for x in range(50) if rng.random() < 0.7 and (c == "a" or x < 20)}
+    boxes = [(i, y, x, y + rng.randrange(0, 30), x + rng.randrange(1, 30)) for i in range(60) for y, x in [(rng.randrange(-8, 38), rng.randrange(0, 48))]]
+    boxes += [(100, *boxes[3][1:]), (101, -100, -100, 200, 200), (102, 500, 500, 510, 510)]
+    b = spark.createDataFrame(boxes, "ID long, ymin long, xmin long, ymax long, xmax long")
+    p = spark.createDataFrame([(*k, v) for k, v in image.items()], "channel string, y long, x long, value long")
+    want = {}
+    for i, y0, x0, y1, x1 in boxes:
+        for c in "ab":
+            inside = [v for (d, y, x), v in image.items() if d == c and y0 <= y < y1 and x0 <= x < x1]
+            if inside:
+                want[i, c] = sum(inside) / ((y1 - y0) * (x1 - x0))
+    for tile in (8, 64):
+        got = {(r.ID, r.channel): r["mean"] for r in ra.zonal_mean(b, p, tile=tile).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_dilation_and_erosion_of_large_shapes(spark):
+
+    from tessella.operators import morphology as mo
+
+    rng = random.Random(8)
+    mask = {(rng.randrange(0, 150), rng.randrange(-20, 150)) for _ in range(25)} | {(y, x) for y in range(30, 130) for x in range(20, 125)}
+    for shape, radius in (("disc", 40), ("disc", 3), ("square", 5), ("disc", 0)):
+        inside = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if shape == "square" or dy * dy + dx * dx <= radius**2]
+        grid = np.zeros((320, 320), bool)
+        for y, x in mask:
+            grid[y + 80, x + 80] = True
+        shifted = lambda g, op: op([np.roll(g, o, (0, 1)) for o in inside])
+        grown = shifted(grid, np.logical_or.reduce)
+        pixels = lambda g: {(int(y) - 80, int(x) - 80) for y, x in zip(*np.nonzero(g))}
+        df = spark.createDataFrame([(1, *m) for m in mask] * 2, "slide int, y long, x long")
+        got = lambda out: sorted((r.y, r.x) for r in out.collect())
+        assert got(mo.dilate(df, radius, shape, ["slide"])) == sorted(pixels(grown))
+        assert got(mo.erode(df, radius, shape)) == sorted(pixels(shifted(grid, np.logical_and.reduce)))
+        assert got(mo.close(df, radius, shape)) == sorted(pixels(shifted(grown, np.logical_and.reduce)))
