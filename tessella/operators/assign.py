@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.boxes import BOX, Box, iou
-from ..runtime import stage
+from .conflict import one_to_one
 from .overlap import best_match, box_pairs
 
 UNMATCHED, IGNORED = -1, -2
@@ -54,9 +54,7 @@ def assign_targets(
 def bipartite_greedy(left: DataFrame, right: DataFrame, left_id: str, right_id: str, on=("image_id",), **grid) -> DataFrame:
     """Greedy one-to-one matching: globally best pair first, each side used once.
 
-    A pair that is the best of both its sides is always taken by the greedy scan,
-    so all such pairs are taken at once and the rest is repeated. Only
-    intersecting pairs take part.
+    Only intersecting pairs take part.
     """
     on = list(on)
     pairs = box_pairs(left.select(*on, left_id, *BOX), right.select(*on, right_id, *BOX), on, **grid)
@@ -64,20 +62,3 @@ def bipartite_greedy(left: DataFrame, right: DataFrame, left_id: str, right_id:
         *on, F.col(f"a.{left_id}").alias("l"), F.col(f"b.{right_id}").alias("r"), iou(Box.of("a"), Box.of("b")).alias("v")
     )
     return one_to_one(edges, on).select(*on, F.col("l").alias(left_id), F.col("r").alias(right_id), F.col("v").alias("overlap"))
-
-
-def one_to_one(edges: DataFrame, on=()) -> DataFrame:
-    """Greedy matching over ``(on, l, r, v)``; order is ``v`` descending, then ``l``, ``r``."""
-    on = list(on)
-    edges = stage(edges.select(*on, "l", "r", "v"), "edges")
-    taken = None
-    while not edges.isEmpty():
-        order = F.struct("v", (-F.col("l")).alias("nl"), (-F.col("r")).alias("nr"))
-        of_left = edges.groupBy(*on, "l").agg(F.max(order).alias("b")).select(*on, "l", (-F.col("b.nr")).alias("r"), "b.v")
-        of_right = edges.groupBy(*on, "r").agg(F.max(order).alias("b")).select(*on, (-F.col("b.nl")).alias("l"), "r")
-        won = stage(of_left.join(of_right, [*on, "l", "r"], "left_semi"), "matched")
-        taken = won if taken is None else taken.unionByName(won)
-        edges = stage(
-            edges.join(won.select(*on, "l"), [*on, "l"], "left_anti").join(won.select(*on, "r"), [*on, "r"], "left_anti"), "edges"
-        )
-    return taken if taken is not None else edges

@@ -2,8 +2,8 @@
 
 Greedy suppression keeps a row exactly when no kept better row overlaps it. That
 answer is reached without a sequential scan: rows nobody better can suppress are
-kept, the rows they suppress are dropped, and this repeats on what is left. Every
-round is a few joins on narrow staged tables; no group is collected anywhere.
+kept, the rows they suppress are dropped, and this repeats on what is left; long
+chains are solved by connected components of bounded size (``conflict``).
 
 Three steps keep the candidate pairs few in crowded places. Copies of one box are
 merged into their best row first. Boxes meet only on grid levels that the IoU
@@ -19,30 +19,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.boxes import BOX, Box, intersection, iou, window
 from ..runtime import stage
 from . import boxes as ob
+from .conflict import greedy_losers
 from .nearest import within_radius
 from .ordering import numbered, top_per_key
 from .overlap import _emit, _level, _pad, box_pairs, iou_span
 
 
-def greedy_losers(edges: DataFrame) -> DataFrame:
-    """Rows dropped by greedy suppression over ``edges (winner, loser)``.
-
-    Edges must point from better to worse rows of one strict order.
-    """
-    edges = stage(edges.select("winner", "loser"), "edges")
-    dropped = None
-    while not edges.isEmpty():
-        losers = edges.select(F.col("loser").alias("winner")).distinct()
-        safe = edges.join(losers, "winner", "left_anti")
-        dead = stage(safe.select("loser").distinct(), "dead")
-        dropped = dead if dropped is None else dropped.unionByName(dead)
-        alive = edges.join(dead, "loser", "left_anti").join(
-            dead.select(F.col("loser").alias("winner")), "winner", "left_anti"
-        )
-        edges = stage(alive.select("winner", "loser"), "edges")
-    return dropped if dropped is not None else edges.select("loser")
-
-
 def _merge_copies(df: DataFrame, keys, priority: str, id_col: str) -> tuple[DataFrame, DataFrame]:
     """Best row of each distinct box; boxes of no area never suppress anything."""
     solid = df.where("xmax > xmin AND ymax > ymin")

@@ -454,3 +454,53 @@ def test_dilation_and_erosion_of_large_shapes(spark):
         assert got(mo.dilate(df, radius, shape, ["slide"])) == sorted(pixels(grown))
         assert got(mo.erode(df, radius, shape)) == sorted(pixels(shifted(grid, np.logical_and.reduce)))
         assert got(mo.close(df, radius, shape)) == sorted(pixels(shifted(grown, np.logical_and.reduce)))
+
+
+def plain_greedy(n, edges):
+    """Rows dropped by a scan of 0..n-1 in order, over pairs (better, worse)."""
+    below, gone = {}, set()
+    for a, b in edges:
+        below.setdefault(a, []).append(b)
+    for i in range(n):
+        if i not in gone:
+            gone.update(below.get(i, []))
+    return gone
+
+
+@pytest.mark.parametrize("limit", [100_000, 60])
+def test_chains_need_few_tables(spark, monkeypatch, limit):
+    from tessella.operators import conflict, suppress
+
+    monkeypatch.setattr(conflict, "LIMIT", limit)
+    tables, stage = [], conflict.stage
+    monkeypatch.setattr(conflict, "stage", lambda df, name="": tables.append(name) or stage(df, name))
+    rng = random.Random(1)
+    small = [(10 * a + i, 10 * a + j) for a in range(500, 530) for i in range(9) for j in rng.sample(range(i + 1, 10), 1)]
+    edges = [(i, i + 1) for i in range(70 if limit < 400 else 2000)] + small
+    got = {r.loser for r in conflict.greedy_losers(spark.createDataFrame(edges + edges[:9], "winner long, loser long")).collect()}
+    assert got == plain_greedy(6200, edges)
+    if limit < 400:
+        return
+    assert len(tables) <= 8
+    boxes = [(i, 1 - i / 5000, 0.0, 5.0 * i, 10.0, 5.0 * i + 10) for i in range(300)]
+    kept = suppress.nms(spark.createDataFrame(boxes, "det_id long, score double, ymin double, xmin double, ymax double, xmax double"), 0.3)
+    assert {r.det_id for r in kept.collect()} == set(range(0, 300, 2))
+
+
+@pytest.mark.parametrize("limit", [100_000, 40])
+def test_one_to_one_over_chains(spark, monkeypatch, limit):
+    from tessella.operators import conflict
+
+    monkeypatch.setattr(conflict, "LIMIT", limit)
+    rng = random.Random(3)
+    edges = [(k, l, r, v) for k in (0, 1) for l in range(22) for r, v in ((l, 0.9 - l / 1000), (l + 1, 0.9 - l / 1000 - 0.0005))]
+    edges += [(2, rng.randrange(30), rng.randrange(30), rng.randrange(8) / 8) for _ in range(200)]
+    edges = list({e[:3]: e for e in edges}.values())
+    left, right, want = set(), set(), set()
+    for k, l, r, v in sorted(edges, key=lambda e: (-e[3], e[1], e[2])):
+        if (k, l) not in left and (k, r) not in right:
+            left.add((k, l))
+            right.add((k, r))
+            want.add((k, l, r, v))
+    out = conflict.one_to_one(spark.createDataFrame(edges, "image_id int, l long, r long, v double"), ["image_id"])
+    assert {tuple(r) for r in out.select("image_id", "l", "r", "v").collect()} == want
