@@ -12,9 +12,12 @@ upper corner. The join runs in four steps:
    is below the threshold, so every qualifying pair meets in a cell. Cells with one text vanish.
 3. Texts of a cell are linked to its first text when the pair, deduplicated over cells, qualifies.
    This joins most copies of a group in a few rows a text.
-4. Cells that still hold several components are searched for pairs across components: points are packed
-   into nodes by size and counts, nodes and then points are bounded, and the rest is verified exactly.
-   A large cell is split into blocks, and pairs of blocks are the tasks.
+4. Cells that still hold several components are searched for pairs across components: points of one vector length are
+   packed into nodes by size and counts, nodes and then points are bounded, and the rest is verified exactly.
+   A large cell is split into blocks, and pairs of blocks are the tasks. Two large components may have very many pairs, of which
+   one link is enough: a first search gives out the ``FEW`` pairs of the greatest bound for each two components and pair of blocks;
+   these are verified and the components contracted. Cells in which pairs were held back are searched
+   once more, for all pairs of components that are still apart.
 
 Components are closed under links; a pair inside one component needs no test. All texts count, no cell is capped.
 """
@@ -39,6 +42,8 @@ ORDER_BITS, GROUPS, DENSE = 18, 64, 500
 BLOCK, NODE = 1024, 32
 #: Texts of a cell that is one leaf, and queries that go through a tree at once.
 LEAF, QUERIES = 64, 64
+#: Pairs of two components that a block pair gives out before the components are contracted.
+FEW = 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -174,8 +179,8 @@ class Tree:
         self.upper = np.maximum.reduceat(self.points, self.starts, axis=0)
         self.least, self.most = np.minimum.reduceat(self.sizes, self.starts), np.maximum.reduceat(self.sizes, self.starts)
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (number of a query, number of a point of the tree) whose bound reaches the threshold."""
+    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (number of a query, number of a point of the tree) whose bound reaches the threshold, and the bound over both sizes."""
         fits = (self.most[None] * 100 >= sizes[:, None] * percent) & (self.least[None] * percent <= sizes[:, None] * 100)
         q, node = np.nonzero(fits)
         bound = np.minimum(self.upper[node], points[q]).sum(1)
@@ -186,30 +191,59 @@ class Tree:
         q = np.repeat(q, NODE)
         q, at = q[at < len(self.sizes)], at[at < len(self.sizes)]
         both = np.minimum(self.points[at], points[q]).sum(1)
-        good = (100 + percent) * both >= percent * (sizes[q] + self.sizes[at])
-        return q[good], self.order[at[good]]
+        total = sizes[q] + self.sizes[at]
+        good = (100 + percent) * both >= percent * total
+        return q[good], self.order[at[good]], both[good] / total[good]
 
 
-def _crossed(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of two blocks of one cell (or of one block) that lie in different components and pass the bounds."""
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    if not len(right):
-        right = left
-    vectors = lambda x: np.stack([folded([v], GROUPS)[0] for v in x["vector"]])
-    tree = Tree(vectors(right), right["n"].to_numpy())
-    found, points, sizes = [], vectors(left), left["n"].to_numpy()
+def _between(left: pd.DataFrame, right: pd.DataFrame, length: int, percent: int) -> Iterator[pd.DataFrame]:
+    """Bounded pairs of texts of two components, from vectors folded to one length, a few queries at a time."""
+    tree, points, sizes = Tree(folded(right["vector"], length), right["n"].to_numpy()), folded(left["vector"], length), left["n"].to_numpy()
     # so many queries at once that a step holds a few million numbers
-    for at in range(0, len(left), QUERIES):
-        q, p = tree.search(points[at : at + QUERIES], sizes[at : at + QUERIES], percent)
+    step = max(1, QUERIES * GROUPS // length)
+    for at in range(0, len(left), step):
+        q, p, bound = tree.search(points[at : at + step], sizes[at : at + step], percent)
         u, v = left.iloc[at + q], right.iloc[p]
         on = u["label"].to_numpy() != v["label"].to_numpy()
-        u, v = u["key"].to_numpy()[on], v["key"].to_numpy()[on]
-        found.append(pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}))
-    return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        u, v = ({c: x[c].to_numpy()[on] for c in ("key", "label")} for x in (u, v))
+        yield pd.DataFrame({
+            "u": np.minimum(u["key"], v["key"]), "v": np.maximum(u["key"], v["key"]), "bound": bound[on],
+            "a": np.minimum(u["label"], v["label"]), "b": np.maximum(u["label"], v["label"]),
+        })
+
+
+def _best(found: pd.DataFrame, few: int | None) -> tuple[pd.DataFrame, bool]:
+    """The ``few`` pairs of the greatest bound for each two components, and whether others were held back."""
+    found = found.drop_duplicates(["u", "v"])
+    if few is None:
+        return found, False
+    found = found.sort_values(["a", "b", "bound", "u", "v"], ascending=[True, True, False, True, True])
+    kept = found[found.groupby(["a", "b"]).cumcount() < few]
+    return kept, len(kept) < len(found)
+
+
+def _crossed(pdf: pd.DataFrame, percent: int, few: int | None) -> pd.DataFrame:
+    """Pairs of two blocks of one cell (or of one block) that lie in different components and pass the bounds.
+
+    ``more`` says that pairs were held back. Lengths of vectors are compared at the shorter of the two.
+    """
+    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    if not len(right):
+        right = left
+    size = lambda x: x["vector"].str.len() // 4
+    kept, more = pd.DataFrame({c: [] for c in ("u", "v", "bound", "a", "b")}), False
+    for m, a in left.groupby(size(left)):
+        for n, b in right.groupby(size(right)):
+            for found in _between(a, b, int(min(m, n)), percent):
+                if len(found):
+                    kept, held = _best(pd.concat([kept, found]) if len(kept) else found, few)
+                    more = more or held
+    out = kept[["u", "v"]].astype("int64")
+    return out.assign(cell=pdf["cell"].iloc[0], more=more)
 
 
-def across(cells: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs ``(u, v)`` of texts that share a cell ``(cell, key, n)`` but no component.
+def across(cells: DataFrame, labels: DataFrame, points: DataFrame, percent: int, few: int | None) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs ``(u, v)`` of texts that share a cell ``(cell, key, n)`` but no component, and cells with pairs held back.
 
     Cells of up to ``LEAF`` texts are single leaves, whose pairs a join forms; larger ones get a tree.
     """
@@ -221,7 +255,7 @@ def across(cells: DataFrame, labels: DataFrame, points: DataFrame, percent: int)
     a = leaf.select("cell", F.col("key").alias("u"), F.col("n").alias("na"), F.col("label").alias("la"))
     b = leaf.select("cell", F.col("key").alias("v"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    few = a.join(b, "cell").where((F.col("u") < F.col("v")) & (F.col("la") != F.col("lb")) & sized).select("u", "v")
+    near = a.join(b, "cell").where((F.col("u") < F.col("v")) & (F.col("la") != F.col("lb")) & sized).select("u", "v")
     # blocks by hash, so that no row number over a large cell is needed
     large = rows.where(F.col("m") > LEAF).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     large = large.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(points.select("key", "vector"), "key")
@@ -231,8 +265,9 @@ def across(cells: DataFrame, labels: DataFrame, points: DataFrame, percent: int)
         lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), (F.col("block") > j).cast("int").alias("side")),
     )
     spread = large.withColumn("p", F.explode(pair)).select("cell", "p.i", "p.j", "p.side", "key", "label", "n", "vector")
-    many = spread.groupBy("cell", "i", "j").applyInPandas(partial(_crossed, percent=percent), "u long, v long")
-    return few.unionByName(many).distinct()
+    found = spread.groupBy("cell", "i", "j").applyInPandas(partial(_crossed, percent=percent, few=few), "u long, v long, cell long, more boolean")
+    found = stage(found, "crossed")
+    return near.unionByName(found.select("u", "v")).distinct(), found.where("more").select("cell").distinct()
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -253,12 +288,18 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", key
     cells = stage(filed.join(counts.select("cell", "first"), "cell"), "cells")
     star = cells.where("key <> first").select(F.col("first").alias("u"), F.col("key").alias("v")).distinct()
     links = verified(star, points, docs, n, percent, text, key)
-    first = stage(components(links).select(F.col("node").alias("key"), "label"), "components")
-    more = verified(across(cells.select("cell", "key", "n"), first, points, percent), points, docs, n, percent, text, key)
+    for few in (FEW, None):
+        labels = stage(components(links).select(F.col("node").alias("key"), "label"), "components")
+        pairs, held = across(cells.select("cell", "key", "n"), labels, points, percent, few)
+        links = stage(links.unionByName(verified(pairs, points, docs, n, percent, text, key)).distinct(), "all-links")
+        if few is not None:
+            cells = stage(cells.join(held, "cell", "left_semi"), "held")
+            if cells.isEmpty():
+                break
     # keys of one text join through its representative; rows that share a key through the key
     same = full.where("key is not null").join(prints, "print").where("key <> rep").select(F.col("rep").alias("u"), F.col("key").alias("v"))
     shared = same.join(full.groupBy("key").agg(F.count_distinct("print").alias("d")).where("d > 1").select(F.col("key").alias("v")), "v", "left_semi")
-    label = components(links.union(more).union(shared.select("u", "v"))).select(F.col("node").alias("rep"), "label")
+    label = components(links.union(shared.select("u", "v"))).select(F.col("node").alias("rep"), "label")
     out = rows.join(prints, "print", "left").join(label, "rep", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "key").alias("component_id"))
 

@@ -157,13 +157,34 @@ def test_tree_bounds_lose_nothing():
     points[100:150] = points[:50] + (rng.random((50, ngram_join.GROUPS)) < 0.03)
     sizes = points.sum(1)
     tree = ngram_join.Tree(points, sizes)
-    q, found = tree.search(points, sizes, 85)
+    q, found, _ = tree.search(points, sizes, 85)
     for i in range(0, 300, 7):
         both = np.minimum(points, points[i]).sum(1)
         want = np.flatnonzero((185 * both >= 85 * (sizes + sizes[i])) & (sizes * 100 >= 85 * sizes[i]) & (sizes[i] * 100 >= 85 * sizes))
         assert set(want) <= set(found[q == i])
 
 
+def test_long_unrelated_texts_and_large_components_give_few_candidates():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+
+    def block(rows):
+        out = []
+        for key, label, hashes in rows:
+            parts = ngram_join.groups(len(hashes))
+            out.append((1, 0, key, label, len(hashes), np.bincount(hashes % parts, minlength=parts).astype("<i4").tobytes()))
+        return pd.DataFrame(out, columns=["cell", "side", "key", "label", "n", "vector"])
+
+    unrelated = block([(i, i, rng.integers(0, 2**60, 4000)) for i in range(60)])
+    assert not len(ngram_join._crossed(unrelated, 85, None))
+    base = rng.integers(0, 2**60, 300)
+    copies = block([(i, i % 2, np.append(base[:298], rng.integers(0, 2**60, 2))) for i in range(80)])
+    few, every = (ngram_join._crossed(copies, 85, n) for n in (2, None))
+    assert len(few) == 2 and few["more"].all() and len(every) == 1600 and not every["more"].any()
+
+
 PAGES = [
     (1, "<p>One<p>Two <b>bold</b>  text<div>Three</div>", "One\n\nTwo bold text\n\nThree"),
     (2, "<ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul>end", "- a\n- b\n  3. c\n  4. d\n\nend"),
