@@ -488,9 +488,9 @@ def _(t):
 # -------------------------------------------------------------- set operations
 
 
-@query("union_boxlists", "SELECT gt_id, image_id, xmin FROM gt WHERE class_id = 0 UNION ALL SELECT gt_id, image_id, xmin FROM gt WHERE class_id = 1", ["gt"])
+@query("union_boxlists", "SELECT gt_id, image_id, xmin FROM gt WHERE class_id = 0 UNION ALL SELECT gt_id, image_id, xmin FROM gt WHERE class_id <> 0", ["gt"])
 def _(t):
-    return ob.union(t.gt.where("class_id = 0"), t.gt.where("class_id = 1")).select("gt_id", "image_id", "xmin")
+    return ob.union(t.gt.where("class_id = 0"), t.gt.where("class_id <> 0")).select("gt_id", "image_id", "xmin")
 
 
 @query(
