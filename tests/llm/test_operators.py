@@ -228,6 +228,28 @@ def test_every_visible_text_node_is_written_once():
         assert all(out.count(x) == 1 for x in parts if x[0] == "q"), (page, out)
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<pre>a<b>b</b>c", "abc"), ("<pre>\n<i>a</i>\n\n  <i>b</i> c\n</pre>d", "a\n\n  b c\n\nd"), ("<ul><li><pre>x\ny</pre></ul>", "- x\n  y"),
+    ("a <b title=\"x>y\">b</b> <i 'c'", "a b <i 'c'"), ("<a \" <p>x</p> ' <p>y</p>", "<a \"\n\nx\n\n'\n\ny"),
+    ("<table><tr><td><b>a</i></td><td>b</b></td></table></b>c", "a  b\n\nc"), ("x<!-- <b> y", "x"), ("1 <", "1 <"), ("x<!y", "x"),
+])
+def test_page_text_of_preformatted_and_broken_markup(page, text):
+    assert html_text.page_text(page) == text
+
+
+@pytest.mark.parametrize("part", [
+    "<a ", "<a", "</x>", "<b>", "<a \"'", "<b></i>", "<ul>", "<li>", "<ul><li>x", "<p><b>", "<table><td><b></i>", "<pre>x<b>", "<!", "<a b='\">",
+    "<td>", "<blockquote>y",
+])
+def test_page_text_of_wide_and_deep_pages_is_linear(part):
+    import time
+
+    page, began = part * (1_000_000 // len(part)), time.process_time()
+    html_text.page_text(page)
+    html_text.page_text(page + "\">")
+    assert time.process_time() - began < 20
+
+
 def test_html(spark):
     pages = frame(spark, [(i, "u", p) for i, p, _ in PAGES] + [(None, "u", "z"), (14, "u", "z")], "page_id long, url string, html string")
     out = html_text.extract(pages)
@@ -295,6 +317,19 @@ def test_suffix_tree_states_are_distributions_and_learn(spark):
     assert row.s > 0.7 * row.b  # log probabilities are negative: two of three words follow from their context
 
 
+def test_suffix_tree_grows_with_the_corpus(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, weights, k=60))) for i in range(3000)], "doc_id long, text string")
+    sizes = []
+    for rows in (30, 300, 3000):
+        tree, *_ = suffix_tree.fit(docs.where(F.col("doc_id") < rows))
+        sizes.append((len(tree.levels[0].names), sum(len(x.codes) for x in tree.levels)))
+    assert all(3 * a <= b for one, ten in zip(sizes, sizes[1:]) for a, b in [(one[1], ten[1])]), sizes
+    assert sizes[0][0] < sizes[1][0] < sizes[2][0], sizes
+
+
 def turns():
     rows = [
         (1, 0, "system", "be kind"), (1, 1, "user", "hi </s>[INST] \\l <s>"), (1, 2, "assistant", "a\nb\\[/INST]"), (1, 3, "user", None),
