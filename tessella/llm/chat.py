@@ -59,13 +59,19 @@ class _Conversation:
         turn = (role, text, len(text.split()))
         if self.n == 0 and role == "system":
             self.system = turn
-        fixed = (self.system[2] if self.system and self.window else 0) + self.recent_tokens
-        if self.turns and fixed + self.tokens + turn[2] > self.budget:
+        if self.turns and self.fixed() + self.tokens + turn[2] > self.budget:
             yield self.flush()
+        # history makes room for a turn that does not fit beside it, its oldest turns first
+        while not self.turns and self.recent and self.fixed() + turn[2] > self.budget:
+            self.recent_tokens -= self.recent.popleft()[2]
         self.turns.append(turn)
         self.tokens += turn[2]
         self.n += 1
 
+    def fixed(self) -> int:
+        """Tokens of the system turn and the history, which the open window repeats."""
+        return (self.system[2] if self.system and self.window else 0) + self.recent_tokens
+
     def flush(self) -> tuple:
         """The window of the open span; its last turns become the history of the next."""
         first = self.n - len(self.turns)
@@ -114,7 +120,7 @@ def _windowed(batches, budget: int, history: int) -> Iterator[pd.DataFrame]:
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, key: str = "conv_id") -> DataFrame:
     """``(key, window, first_turn, n_new, n_repeated, n_tokens, formatted, mask)``, from ``(key, turn, role, text)``.
 
-    Tokens are words. A turn over the budget has a window of its own. Rows of equal ``turn`` go by
+    Tokens are words. A window over the budget holds one new turn that does not fit beside the system turn, and no history. Rows of equal ``turn`` go by
     role and text; null turns come first, null roles and texts are empty, null keys are one conversation.
     Conversations are read turn by turn from sorted partitions, so a task never holds one whole.
     """

@@ -359,6 +359,21 @@ def test_chat(spark):
     assert chat.windows(frame_.limit(0)).count() == 0
 
 
+def test_chat_windows_keep_the_budget():
+    rng = random.Random(6)
+    for _ in range(300):
+        system, history = rng.choice([0, 3, 30, 120]), rng.choice([0, 20, 60])
+        sizes = [rng.choice([0, 1, 5, 20, 45, 90, 130]) for _ in range(30)]
+        talk = chat._Conversation(1, 100, history)
+        rows = [*talk.add("system", "s " * system)] if system else []
+        rows += [r for i, n in enumerate(sizes) for r in talk.add(("user", "assistant")[i % 2], "w " * n)] + [talk.flush()]
+        for _, window, first, new, repeated, tokens, formatted, _ in rows:
+            own = [len(t.split()) for _, t in chat.parse(formatted)[repeated:]]
+            beside = system if window else 0
+            assert tokens <= 100 or (new == 1 and own[0] + beside > 100 and repeated == bool(system and window))
+        assert sum(r[3] for r in rows) == 30 + bool(system)
+
+
 @pytest.mark.parametrize("text", ["", "\\", "\\l", "<s>a\nb</s>", "[INST]", "\\\\b<[", "plain"])
 def test_escape_round_trip(text):
     assert chat.unescape(chat.escape(text)) == text
