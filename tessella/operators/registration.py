@@ -156,8 +156,8 @@ def _in_frame(p: np.ndarray, frame: np.ndarray) -> np.ndarray:
 
 
 def _frames(matches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Source and target frames of all matches, from one aggregate."""
-    r = matches.agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.avg, F.stddev_pop) for c in _PAIR)).first()
+    """Source and target frames of all matches, from one aggregate; without matches the plain ones."""
+    r = matches.agg(*(F.coalesce(f(c), F.lit(0.0)).alias(f"{f.__name__}_{c}") for f in (F.avg, F.stddev_pop) for c in _PAIR)).first()
     return tuple(
         _frame(r[f"avg_{k}_x"], r[f"avg_{k}_y"], (r[f"stddev_pop_{k}_x"] + r[f"stddev_pop_{k}_y"]) / 2) for k in ("src", "dst")
     )
@@ -239,25 +239,32 @@ def score_models(matches: DataFrame, models: dict[int, list[float]], threshold:
 _OBJECTIVES = {"inlier_num": 1, "inlier_tile": 1, "residuals_sum": -1}
 
 
-def refit(matches: DataFrame, model, threshold: float, kind: str = "affine") -> np.ndarray | None:
-    """Least-squares model over all inliers of ``model``, from summed normal matrices."""
-    first = np.asarray(model, float).reshape(1, 3, 3)
+def refit_many(matches: DataFrame, models: list, thresholds: list[float], kind: str = "affine") -> list[np.ndarray | None]:
+    """Least-squares models over all inliers of each of ``models``, from normal matrices that one scan sums."""
+    first, limits = np.asarray(models, float).reshape(-1, 3, 3), np.asarray(thresholds, float)
     fs, fd = _frames(matches)
 
     def run(batches):
-        total = np.zeros((9, 9))
+        total = np.zeros((len(first), 9, 9))
         for pdf in batches:
             src, dst = pdf[_PAIR[:2]].to_numpy(), pdf[_PAIR[2:]].to_numpy()
-            ok = _residuals(first, src, dst)[0] < threshold
-            a = _design(_in_frame(src[ok], fs), _in_frame(dst[ok], fd))
-            total += a.T @ a
-        yield pd.DataFrame({"i": np.arange(81), "v": total.ravel()})
+            a = _design(_in_frame(src, fs), _in_frame(dst, fd))
+            for k in range(len(first)):
+                ok = _residuals(first[k : k + 1], src, dst)[0] < limits[k]
+                rows = a[np.concatenate([ok, ok])]
+                total[k] += rows.T @ rows
+        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
 
     sums = matches.select(*_PAIR).mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    normal = np.zeros(81)
+    normal = np.zeros(len(first) * 81)
     for r in sums:
         normal[r["i"]] = r["v"]
-    return _solve(normal.reshape(9, 9), kind, fs, fd)
+    return [_solve(x, kind, fs, fd) for x in normal.reshape(-1, 9, 9)]
+
+
+def refit(matches: DataFrame, model, threshold: float, kind: str = "affine") -> np.ndarray | None:
+    """Least-squares model over all inliers of ``model``."""
+    return refit_many(matches, [model], [threshold], kind)[0]
 
 
 def fit_ransac(
@@ -299,12 +306,80 @@ def fit_ransac(
     return {"matrix": matrix, "trials": done, **{k: best[k] for k in _OBJECTIVES}}
 
 
-def search_ransac(matches: DataFrame, kind: str = "affine", samples=range(3, 7), thresholds=range(1, 10), objectives=("inlier_num", "inlier_tile"), **kw) -> list[dict]:
-    """Grid over sample sizes, thresholds and objectives; one result per configuration."""
-    return [
-        {"min_samples": m, "threshold": t, "objective": o, **fit_ransac(matches, kind, m, float(t), objective=o, **kw)}
-        for o in objectives for m in samples for t in thresholds
-    ]
+#: Models whose residuals a task holds at a time.
+MODELS = 32
+
+
+def score_grid(matches: DataFrame, models: list[list[float]], thresholds: list[float], tile: str = "tile") -> DataFrame:
+    """``(model, n, residuals_sum, num array, share array)`` per model: inliers and their mean share over tiles, for each threshold.
+
+    One scan: a batch counts residuals between thresholds per model and tile, running sums of the counts are the inliers.
+    """
+    stack, limits = np.asarray(models, float).reshape(-1, 3, 3), np.asarray(thresholds, float)
+    order, slots = np.argsort(limits, kind="stable"), [f"c{j}" for j in range(len(limits))]
+
+    def run(batches):
+        for pdf in batches:
+            src, dst = pdf[_PAIR[:2]].to_numpy(), pdf[_PAIR[2:]].to_numpy()
+            tiles, place = np.unique(pdf[tile].to_numpy(), return_inverse=True)
+            n = np.bincount(place, minlength=len(tiles))
+            for at in range(0, len(stack), MODELS):
+                res = _residuals(stack[at : at + MODELS], src, dst)
+                m = len(res)
+                cell = np.arange(m)[:, None] * len(tiles) + place[None]
+                slot = np.searchsorted(limits[order], res, side="right")
+                counts = np.bincount((cell * (len(limits) + 1) + slot).ravel(), minlength=m * len(tiles) * (len(limits) + 1))
+                counts = counts.reshape(m * len(tiles), -1)[:, :-1].cumsum(1)
+                out = {"model": np.repeat(np.arange(at, at + m), len(tiles)), "tile": np.tile(tiles, m), "n": np.tile(n, m)}
+                out["residual"] = np.bincount(cell.ravel(), res.ravel(), minlength=m * len(tiles))
+                yield pd.DataFrame(out | {slots[j]: counts[:, k] for k, j in enumerate(order)})
+
+    kind = dict(matches.dtypes)[tile]
+    schema = f"model int, tile {kind}, n long, residual double, " + ", ".join(f"{c} long" for c in slots)
+    per = matches.select(tile, *_PAIR).mapInPandas(run, schema)
+    tiles = per.groupBy("model", "tile").agg(*(F.sum(c).alias(c) for c in ("n", "residual", *slots)))
+    return tiles.groupBy("model").agg(
+        F.sum("n").alias("n"), F.sum("residual").alias("residuals_sum"), F.array(*(F.sum(c) for c in slots)).alias("num"),
+        F.array(*(F.avg(F.col(c) / F.col("n")) for c in slots)).alias("share"),
+    )
+
+
+def search_ransac(
+    matches: DataFrame, kind: str = "affine", samples=range(3, 7), thresholds=range(1, 10), objectives=("inlier_num", "inlier_tile"),
+    max_trials: int = 100, seed: int = 0, tile: str = "tile",
+) -> list[dict]:
+    """Grid over sample sizes, thresholds and objectives; one result per configuration.
+
+    A result is that of ``fit_ransac`` with all its trials in one wave. The matches are read once per sample
+    size to draw the trials, once to score all models under all thresholds, and once to refit the winners.
+    """
+    if not set(objectives) <= set(_OBJECTIVES):
+        raise ValueError(f"objectives must be among {sorted(_OBJECTIVES)}")
+    matches, limits = stage(matches.select("match_id", tile, *_PAIR), "matches"), [float(t) for t in thresholds]
+    models, names = [], []
+    for m in samples:
+        for r in sorted(fit_trials(sample_trials(matches, max_trials, m, seed, tile), kind, m).collect(), key=lambda r: r["trial"]):
+            models.append(r["model"])
+            names.append(m)
+    rows = {r["model"]: r for r in score_grid(matches, models, limits, tile).collect()} if models else {}
+    results, wanted = [], {}
+    for objective in objectives:
+        for m in samples:
+            for j, t in enumerate(limits):
+                value = {k: {"inlier_num": r["num"][j], "inlier_tile": r["share"][j], "residuals_sum": r["residuals_sum"]} for k, r in rows.items() if names[k] == m}
+                out = {"min_samples": m, "threshold": t, "objective": objective, "trials": max_trials, "matrix": None}
+                if value:
+                    best = min(value, key=lambda k: (-value[k][objective] * _OBJECTIVES[objective], k))
+                    wanted.setdefault((best, t), len(wanted))
+                    out |= {"model": best, **value[best]}
+                results.append(out)
+    fitted = refit_many(matches, [models[k] for k, _ in wanted], [t for _, t in wanted], kind) if wanted else []
+    for out in results:
+        if "model" in out:
+            k = out.pop("model")
+            matrix = fitted[wanted[k, out["threshold"]]]
+            out["matrix"] = np.array(models[k]).reshape(3, 3) if matrix is None else matrix
+    return results
 
 
 def enough(share: float, min_samples: int, done: int, probability: float) -> bool:
@@ -318,19 +393,66 @@ def with_residual(matches: DataFrame, matrix) -> DataFrame:
     return matches.withColumn("residual", F.sqrt(dx * dx + dy * dy))
 
 
-def local_refit(points: DataFrame, matches: DataFrame, matrix, regions: DataFrame, kind: str = "affine", min_samples: int = 3, on=()) -> DataFrame:
-    """Warp points with a local transform inside flagged regions, the global one elsewhere.
+def _warped(x: str, y: str, model: Column) -> tuple[Column, Column]:
+    """Coordinates under a transform that is a column of nine numbers."""
+    a, b = F.col(x), F.col(y)
+    w = a * model[6] + b * model[7] + model[8]
+    return (a * model[0] + b * model[1] + model[2]) / w, (a * model[3] + b * model[4] + model[5]) / w
 
-    ``regions`` is a pixel table ``(on, label, y, x)``, ``on`` naming the image; labels are unique over images. A match belongs to the region
-    of its target pixel. Every region needs only its summed normal matrix, so a
-    region full of matches is as cheap as any other.
+
+def _off(model: Column) -> Column:
+    """Distance of a match from where a transform puts it; large where that is undefined."""
+    x, y = _warped("src_x", "src_y", model)
+    off = F.hypot(x - F.col("dst_x"), y - F.col("dst_y"))
+    return F.when(F.isnan(off), F.lit(float("inf"))).otherwise(F.coalesce(off, F.lit(float("inf"))))
+
+
+#: Slices that the matches of one region are dealt to when its trials are scored.
+SLICES = 16
+
+
+def region_models(
+    inside: DataFrame, kind: str = "affine", min_samples: int = 3, threshold: float = 5.0, trials: int = 50, pool: int = 256, seed: int = 0
+) -> DataFrame:
+    """Robust transform ``(label, model)`` of each region, from ``(label, match_id, src_x, src_y, dst_x, dst_y)``.
+
+    Trials are keyed by (region, trial): a task draws all samples of a region from ``pool`` of its matches, the first in a
+    hash order, so a lost task draws them again. One pass scores all trials of all regions on all their matches; most
+    inliers win, then the least residuals below the threshold, then the first trial. The winner is fitted again on its
+    inliers. Regions with fewer than ``min_samples`` matches have no row.
     """
-    px = [(F.floor(F.col("dst_y"))).alias("y"), (F.floor(F.col("dst_x"))).alias("x")]
-    on = list(on)
-    inside = matches.select(*on, *_PAIR, *px).join(regions, [*on, "y", "x"])
-    fs, fd = _frames(matches)
+    if kind not in ("affine", "projective"):
+        raise ValueError("kind must be 'affine' or 'projective'")
+    inside = stage(inside.select("label", "match_id", *_PAIR), "region-matches")
+    some = top_per_key(inside, ["label"], [F.xxhash64(F.lit(seed), "match_id"), F.col("match_id")], pool)
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, models = pdf.sort_values("rank"), []
+        label = int(pdf["label"].iloc[0])
+        src, dst = pdf[_PAIR[:2]].to_numpy(), pdf[_PAIR[2:]].to_numpy()
+        random = np.random.default_rng([seed, label % 2**63])
+        for _ in range(trials if len(pdf) >= min_samples else 0):
+            pick = random.choice(len(pdf), min_samples, replace=False)
+            fs, fd = _array_frame(src[pick]), _array_frame(dst[pick])
+            a = _design(_in_frame(src[pick], fs), _in_frame(dst[pick], fd))
+            model = _solve(a.T @ a, kind, fs, fd)
+            if model is not None and np.isfinite(model).all():
+                models.append(model.ravel().tolist())
+        return pd.DataFrame({"label": [label], "models": [models]} if models else {"label": [], "models": []})
+
+    models = some.groupBy("label").applyInPandas(draw, "label long, models array<array<double>>")
+    spread = models.select("label", "models", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("_slice"))
+    dealt = inside.withColumn("_slice", F.pmod(F.xxhash64("match_id"), F.lit(SLICES)).cast("int"))
+    tried = dealt.join(spread, ["label", "_slice"]).select("label", *_PAIR, F.posexplode("models").alias("trial", "model"))
+    off = F.least(_off(F.col("model")), F.lit(float(threshold)))
+    scores = tried.select("label", "trial", "model", off.alias("_off")).groupBy("label", "trial").agg(
+        F.count_if(F.col("_off") < threshold).alias("inliers"), F.sum("_off").alias("cost"), F.first("model").alias("model")
+    )
+    best = scores.groupBy("label").agg(F.max(F.struct("inliers", (-F.col("cost")).alias("gain"), (-F.col("trial")).alias("early"), "model")).alias("b"))
+    best = stage(best.select("label", F.col("b.model").alias("tried")), "region-trials")
+    agreed = inside.join(best, "label").where(_off(F.col("tried")) < threshold)
+    fs, fd = _frames(inside)
     moved = {n: F.col(n) * float(f[0, 0]) + float(f[i, 2]) for f, k in ((fs, "src"), (fd, "dst")) for i, n in enumerate((f"{k}_x", f"{k}_y"))}
-    sums = _normal_sums(inside.withColumns(moved))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -340,15 +462,30 @@ def local_refit(points: DataFrame, matches: DataFrame, matrix, regions: DataFram
                 rows.append((lab, m.ravel().tolist()))
         return pd.DataFrame(rows, columns=["label", "model"])
 
-    models = sums.mapInPandas(lambda it: (solve(p) for p in it), "label long, model array<double>")
+    fitted = _normal_sums(agreed.withColumns(moved)).mapInPandas(lambda it: (solve(p) for p in it), "label long, model array<double>")
+    return best.join(fitted, "label", "left").select("label", F.coalesce("model", "tried").alias("model"))
+
+
+def local_refit(
+    points: DataFrame, matches: DataFrame, matrix, regions: DataFrame, kind: str = "affine", min_samples: int = 3, on=(),
+    threshold: float = 5.0, trials: int = 50, seed: int = 0,
+) -> DataFrame:
+    """Warp points with a local transform inside flagged regions, the global one elsewhere.
+
+    ``regions`` is a pixel table ``(on, label, y, x)``, ``on`` naming the image; labels are unique over images. A match belongs to the region
+    of its target pixel. The transform of a region is a robust fit on its own matches, whether or not they agree with the
+    global one (``region_models``); regions without one keep the global transform.
+    """
+    px = [(F.floor(F.col("dst_y"))).alias("y"), (F.floor(F.col("dst_x"))).alias("x")]
+    on = list(on)
+    inside = matches.select(*on, "match_id", *_PAIR, *px).join(regions, [*on, "y", "x"])
+    models = region_models(inside, kind, min_samples, threshold, trials, seed=seed)
     gx, gy = warp(F.col("x"), F.col("y"), matrix)
     p = points.withColumns({"_gx": gx, "_gy": gy})
     at = regions.select(*on, "label", F.col("y").alias("_py"), F.col("x").alias("_px"))
     p = p.withColumns({"_py": F.floor("_gy"), "_px": F.floor("_gx")}).join(at, [*on, "_py", "_px"], "left").join(models, "label", "left")
     m = F.col("model")
-    w = F.col("x") * m[6] + F.col("y") * m[7] + m[8]
-    lx = (F.col("x") * m[0] + F.col("y") * m[1] + m[2]) / w
-    ly = (F.col("x") * m[3] + F.col("y") * m[4] + m[5]) / w
+    lx, ly = _warped("x", "y", m)
     return p.withColumns({"local": m.isNotNull(), "wx": F.coalesce(lx, "_gx"), "wy": F.coalesce(ly, "_gy")}).drop(
         "_gx", "_gy", "_py", "_px", "label", "model"
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
@@ -513,14 +514,26 @@ def _(t):
     return r6(rg.with_residual(m, fit["matrix"]).select("match_id", "tile", "residual"), "residual")
 
 
+@query("fit_transform_ransac_grid")
+def _(t):
+    """Every configuration of the search, with where its transform puts the corners of a 1000 x 1000 field."""
+    rows = []
+    for r in rg.search_ransac(matches(t), max_trials=25):
+        m = np.asarray(r["matrix"])
+        corner = (m @ [1000.0, 1000.0, 1.0])[:2] / (m @ [1000.0, 1000.0, 1.0])[2]
+        rows.append((r["min_samples"], r["threshold"], r["objective"], int(r["inlier_num"]), float(r["inlier_tile"]), *map(float, m[:2, 2] / m[2, 2]), *map(float, corner)))
+    names = ["inlier_tile", "x0", "y0", "x1000", "y1000"]
+    out = t.spark.createDataFrame(rows, "min_samples long, threshold double, objective string, inlier_num long, " + ", ".join(f"{n} double" for n in names))
+    return r6(out, *names)
+
+
 @query("local_refit")
 def _(t):
     blocks = ph.region_pixels(t.regions).selectExpr("list_order + 1 AS label", "y", "x")
     pts = t.cells.select("ID", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"))
     m = matches(t)
     fit = rg.fit_ransac(m, "affine", 3, 5.0, max_trials=50, wave=25)
-    good = rg.with_residual(m, fit["matrix"]).where("residual < 5")
-    return r6(rg.local_refit(pts, good, fit["matrix"], blocks).select("ID", "local", "wx", "wy"), "wx", "wy")
+    return r6(rg.local_refit(pts, m, fit["matrix"], blocks).select("ID", "local", "wx", "wy"), "wx", "wy")
 
 
 @query(

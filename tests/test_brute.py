@@ -379,6 +379,51 @@ def test_local_refit(spark):
     assert all(math.isclose(r.wx, r.x + (3 if r.y < 40 else 0), abs_tol=1e-6) and r.local == (r.y < 40) for r in out)
 
 
+def test_local_refit_recovers_each_region_from_wrong_matches(spark):
+    """Regions of 40 % wrong matches, a different transform in each; the global transform fits none of them."""
+    r = random.Random(23)
+    true = {1: [[1.01, 0.02, 40], [-0.01, 0.99, 25], [0, 0, 1]], 2: [[0.98, -0.03, -30], [0.02, 1.02, 60], [0, 0, 1]]}
+    rows, pixels = [], [(lab, y, x) for lab, left in ((1, 0), (2, 400)) for y in range(200) for x in range(left, left + 200)]
+    for i in range(400):
+        lab = 1 + i % 2
+        u, v = r.uniform((lab - 1) * 400, (lab - 1) * 400 + 199), r.uniform(0, 199)
+        x, y, _ = np.linalg.inv(np.array(true[lab])) @ [u, v, 1]
+        if i % 10 < 4:
+            x, y = r.uniform(0, 600), r.uniform(0, 200)
+        rows.append((i, 0, float(x), float(y), u, v))
+    m = spark.createDataFrame(rows, "match_id long, tile long, src_x double, src_y double, dst_x double, dst_y double")
+    region = spark.createDataFrame([*pixels, (3, 900, 900)], "label long, y long, x long")
+    inside = m.join(region, (F.floor("dst_y") == region.y) & (F.floor("dst_x") == region.x)).select("label", *m.columns)
+    for kind, k in (("affine", 3), ("projective", 4)):
+        got = {r.label: np.array(r.model).reshape(3, 3) for r in rg.region_models(inside, kind, k, threshold=2.0, trials=60).collect()}
+        assert set(got) == {1, 2} and all(np.allclose(got[k], true[k], atol=0.05) for k in got), (kind, got)
+    p = spark.createDataFrame([(0, 100.0, 100.0), (1, 500.0, 100.0), (2, 300.0, 100.0), (3, 900.0, 900.0)], "ID long, x double, y double")
+    out = {r.ID: (r.local, r.wx, r.wy) for r in rg.local_refit(p, m, np.eye(3), region, threshold=2.0).collect()}
+    for i, lab in ((0, 1), (1, 2)):
+        x, y = (100.0, 100.0) if i == 0 else (500.0, 100.0)
+        u, v, _ = np.array(true[lab]) @ [x, y, 1]
+        assert out[i][0] and math.isclose(out[i][1], u, abs_tol=0.5) and math.isclose(out[i][2], v, abs_tol=0.5)
+    assert out[2] == (False, 300.0, 100.0) and out[3] == (False, 900.0, 900.0)
+    assert rg.region_models(inside.limit(0)).count() == 0
+
+
+def test_ransac_grid_equals_single_fits(spark):
+    r = random.Random(24)
+    rows = []
+    for i in range(200):
+        x, y = r.uniform(0, 500), r.uniform(0, 500)
+        wrong = r.uniform(0, 60) if i % 3 == 0 else 0
+        rows.append((i, int(x // 100), x, y, 1.01 * x - 0.02 * y + 9 + r.gauss(0, 1.5) + wrong, 0.03 * x + y - 4 + r.gauss(0, 1.5)))
+    m = spark.createDataFrame(rows, "match_id long, tile long, src_x double, src_y double, dst_x double, dst_y double")
+    grid = rg.search_ransac(m, "affine", (3, 5), (6, 2, 4), max_trials=20, seed=3)
+    assert [(g["objective"], g["min_samples"], g["threshold"]) for g in grid] == [(o, k, t) for o in ("inlier_num", "inlier_tile") for k in (3, 5) for t in (6.0, 2.0, 4.0)]
+    for g in grid[::3] + grid[1::4]:
+        one = rg.fit_ransac(m, "affine", g["min_samples"], g["threshold"], max_trials=20, objective=g["objective"], wave=20, seed=3)
+        assert (g["inlier_num"], g["trials"]) == (one["inlier_num"], one["trials"])
+        assert np.allclose(g["matrix"], one["matrix"]) and math.isclose(g["inlier_tile"], one["inlier_tile"]) and math.isclose(g["residuals_sum"], one["residuals_sum"])
+    assert rg.search_ransac(m.limit(0), samples=(3,), thresholds=(2,), objectives=("inlier_num",))[0]["matrix"] is None
+
+
 def test_fill_and_outline(spark):
     lab = spark.createDataFrame([(1, 0, 0), (1, 2, 2)], "label long, y long, x long")
     assert mo.fill_boxes(lab).count() == 9
