@@ -85,36 +85,36 @@ def crop_table(t):
 
 
 _CROPS = """k AS (SELECT ky * 250 AS corner_y, kx * 250 AS corner_x FROM (SELECT CAST(UNNEST(RANGE(13)) AS BIGINT) AS ky), (SELECT CAST(UNNEST(RANGE(17)) AS BIGINT) AS kx)),
-l AS (SELECT ID, corner_x, corner_y, xmin - corner_x AS x0, ymin - corner_y AS y0, xmax - corner_x AS x1, ymax - corner_y AS y1 FROM cells, k
+l AS (SELECT slide, ID, corner_x, corner_y, xmin - corner_x AS x0, ymin - corner_y AS y0, xmax - corner_x AS x1, ymax - corner_y AS y1 FROM cells, k
  WHERE centroid_x > corner_x AND centroid_x < corner_x + 300 AND centroid_y > corner_y AND centroid_y < corner_y + 300),
 f AS (SELECT *, x0 < 0 OR y0 < 0 OR x1 > 300 OR y1 > 300 AS c FROM l),
-crops AS (SELECT ID, corner_x, corner_y, CAST(c AS INT) AS truncated, CASE WHEN c THEN LEAST(GREATEST(x0, 1), 299) ELSE x0 END AS xmin, CASE WHEN c THEN LEAST(GREATEST(y0, 1), 299) ELSE y0 END AS ymin,
+crops AS (SELECT slide, ID, corner_x, corner_y, CAST(c AS INT) AS truncated, CASE WHEN c THEN LEAST(GREATEST(x0, 1), 299) ELSE x0 END AS xmin, CASE WHEN c THEN LEAST(GREATEST(y0, 1), 299) ELSE y0 END AS ymin,
  CASE WHEN c THEN LEAST(GREATEST(x1, 1), 299) ELSE x1 END AS xmax, CASE WHEN c THEN LEAST(GREATEST(y1, 1), 299) ELSE y1 END AS ymax FROM f)"""
-_NAMED = "LPAD(CAST(corner_x AS VARCHAR), 5, '0') || '_' || LPAD(CAST(corner_y AS VARCHAR), 5, '0') || '.jpeg' AS filename"
+_NAMED = "CAST(slide AS VARCHAR) || '_' || LPAD(CAST(corner_x AS VARCHAR), 5, '0') || '_' || LPAD(CAST(corner_y AS VARCHAR), 5, '0') || '.jpeg' AS filename"
 
 
-@query("build_crops_dataset", f"WITH {_CROPS} SELECT ID, corner_x, corner_y, truncated, xmin, ymin, xmax, ymax FROM crops", ["cells"])
+@query("build_crops_dataset", f"WITH {_CROPS} SELECT slide, ID, corner_x, corner_y, truncated, xmin, ymin, xmax, ymax FROM crops", ["cells"])
 def _(t):
-    return crop_table(t).select("ID", "corner_x", "corner_y", "truncated", "xmin", "ymin", "xmax", "ymax")
+    return crop_table(t).select("slide", "ID", "corner_x", "corner_y", "truncated", "xmin", "ymin", "xmax", "ymax")
 
 
 @query("scan_voc_xml", f"WITH {_CROPS} SELECT {_NAMED}, 300::BIGINT AS width, 300::BIGINT AS height, 'Nucleus' AS class, truncated, xmin, ymin, xmax, ymax FROM crops", ["cells"])
 def _(t):
     p = path(t, "xml")
-    an.write_voc_xml(crop_table(t), p)
+    an.write_voc_xml(crop_table(t), p, on=["slide"])
     return an.read_voc_xml(t.spark, p).select("filename", "width", "height", "class", "truncated", "xmin", "ymin", "xmax", "ymax")
 
 
-@query("sink_voc_xml", f"WITH {_CROPS} SELECT LPAD(CAST(corner_x AS VARCHAR), 5, '0') || '_' || LPAD(CAST(corner_y AS VARCHAR), 5, '0') AS crop, COUNT(*) AS objects FROM crops GROUP BY corner_x, corner_y", ["cells"])
+@query("sink_voc_xml", f"WITH {_CROPS} SELECT CAST(slide AS VARCHAR) || '_' || LPAD(CAST(corner_x AS VARCHAR), 5, '0') || '_' || LPAD(CAST(corner_y AS VARCHAR), 5, '0') AS crop, COUNT(*) AS objects FROM crops GROUP BY slide, corner_x, corner_y", ["cells"])
 def _(t):
-    docs = an.crop_documents(crop_table(t))
+    docs = an.crop_documents(crop_table(t), on=["slide"])
     return docs.groupBy("crop").agg(F.sum(F.size(F.split("value", "<object>")) - 1).alias("objects"))
 
 
 @query("sink_labels_csv", f"WITH {_CROPS} SELECT {_NAMED}, 'Nucleus' AS class, xmin, ymax FROM crops", ["cells"])
 def _(t):
     p, q = path(t, "xml"), path(t, "labels")
-    an.write_voc_xml(crop_table(t), p)
+    an.write_voc_xml(crop_table(t), p, on=["slide"])
     tb.write_table(an.read_voc_xml(t.spark, p).select("filename", "width", "height", "class", "xmin", "ymin", "xmax", "ymax"), q)
     back = t.spark.read.csv(q, header=True)
     return back.select("filename", "class", F.col("xmin").cast("long").alias("xmin"), F.col("ymax").cast("long").alias("ymax"))
@@ -430,18 +430,18 @@ def _(t):
 
 @query(
     "join_patch_update",
-    """WITH c AS (SELECT *, xmin // 500 * 500 AS kx, ymin // 500 * 500 AS ky FROM cells), crops AS (SELECT s_suppkey % 8 * 500 AS kx, s_suppkey % 6 * 500 AS ky FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY ALL),
-keep AS (SELECT xmin, ymin, xmax, ymax FROM c WHERE NOT (xmin > kx + 50 AND ymin > ky + 50 AND xmax < kx + 450 AND ymax < ky + 450 AND EXISTS (SELECT 1 FROM crops k WHERE k.kx = c.kx AND k.ky = c.ky))),
-new AS (SELECT k.kx + x0 AS xmin, k.ky + y0 AS ymin, k.kx + x0 + 20 AS xmax, k.ky + y0 + 20 AS ymax FROM crops k JOIN (SELECT p_partkey % 8 * 500 AS kx, p_partkey % 6 * 500 AS ky, p_partkey * 37 % 460 AS x0, p_partkey * 53 % 460 AS y0 FROM part) r USING (kx, ky) WHERE x0 >= 50 AND y0 >= 50 AND x0 + 20 <= 450 AND y0 + 20 <= 450)
+    """WITH c AS (SELECT *, xmin // 500 * 500 AS kx, ymin // 500 * 500 AS ky FROM cells), crops AS (SELECT s_suppkey % 4 AS slide, s_suppkey % 8 * 500 AS kx, s_suppkey % 6 * 500 AS ky FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY ALL),
+keep AS (SELECT slide, xmin, ymin, xmax, ymax FROM c WHERE NOT (xmin > kx + 50 AND ymin > ky + 50 AND xmax < kx + 450 AND ymax < ky + 450 AND EXISTS (SELECT 1 FROM crops k WHERE k.slide = c.slide AND k.kx = c.kx AND k.ky = c.ky))),
+new AS (SELECT k.slide, k.kx + x0 AS xmin, k.ky + y0 AS ymin, k.kx + x0 + 20 AS xmax, k.ky + y0 + 20 AS ymax FROM crops k JOIN (SELECT p_partkey % 4 AS slide, p_partkey % 8 * 500 AS kx, p_partkey % 6 * 500 AS ky, p_partkey * 37 % 460 AS x0, p_partkey * 53 % 460 AS y0 FROM part) r USING (slide, kx, ky) WHERE x0 >= 50 AND y0 >= 50 AND x0 + 20 <= 450 AND y0 + 20 <= 450)
 SELECT * FROM keep UNION SELECT * FROM new""",
     ["cells"],
 )
 def _(t):
-    crops = t.supplier.where("s_suppkey % 3 = 0").selectExpr("s_suppkey % 8 * 500 AS corner_x", "s_suppkey % 6 * 500 AS corner_y").distinct()
+    crops = t.supplier.where("s_suppkey % 3 = 0").selectExpr("s_suppkey % 4 AS slide", "s_suppkey % 8 * 500 AS corner_x", "s_suppkey % 6 * 500 AS corner_y").distinct()
     new = t.part.selectExpr(
-        "p_partkey % 8 * 500 AS corner_x", "p_partkey % 6 * 500 AS corner_y", "p_partkey * 37 % 460 AS xmin", "p_partkey * 53 % 460 AS ymin"
+        "p_partkey % 4 AS slide", "p_partkey % 8 * 500 AS corner_x", "p_partkey % 6 * 500 AS corner_y", "p_partkey * 37 % 460 AS xmin", "p_partkey * 53 % 460 AS ymin"
     ).withColumns({"xmax": F.col("xmin") + 20, "ymax": F.col("ymin") + 20})
-    return ds.update_reviewed(t.cells, crops, new.join(crops, ["corner_x", "corner_y"], "left_semi"), 500, 50)
+    return ds.update_reviewed(t.cells, crops, new.join(crops, ["slide", "corner_x", "corner_y"], "left_semi"), 500, 50, on=["slide"])
 
 
 # --------------------------------------------------------------------- hierarchy
