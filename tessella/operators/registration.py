@@ -440,16 +440,16 @@ def region_models(
                 models.append(model.ravel().tolist())
         return pd.DataFrame({"label": [label], "models": [models]} if models else {"label": [], "models": []})
 
-    models = some.groupBy("label").applyInPandas(draw, "label long, models array<array<double>>")
+    models = stage(some.groupBy("label").applyInPandas(draw, "label long, models array<array<double>>"), "region-models")
     spread = models.select("label", "models", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("_slice"))
     dealt = inside.withColumn("_slice", F.pmod(F.xxhash64("match_id"), F.lit(SLICES)).cast("int"))
     tried = dealt.join(spread, ["label", "_slice"]).select("label", *_PAIR, F.posexplode("models").alias("trial", "model"))
     off = F.least(_off(F.col("model")), F.lit(float(threshold)))
-    scores = tried.select("label", "trial", "model", off.alias("_off")).groupBy("label", "trial").agg(
-        F.count_if(F.col("_off") < threshold).alias("inliers"), F.sum("_off").alias("cost"), F.first("model").alias("model")
+    scores = tried.select("label", "trial", off.alias("_off")).groupBy("label", "trial").agg(
+        F.count_if(F.col("_off") < threshold).alias("inliers"), F.sum("_off").alias("cost")
     )
-    best = scores.groupBy("label").agg(F.max(F.struct("inliers", (-F.col("cost")).alias("gain"), (-F.col("trial")).alias("early"), "model")).alias("b"))
-    best = stage(best.select("label", F.col("b.model").alias("tried")), "region-trials")
+    best = scores.groupBy("label").agg(F.max(F.struct("inliers", (-F.col("cost")).alias("gain"), (-F.col("trial")).alias("early"))).alias("b"))
+    best = stage(best.join(models, "label").select("label", F.get("models", -F.col("b.early")).alias("tried")), "region-trials")
     agreed = inside.join(best, "label").where(_off(F.col("tried")) < threshold)
     fs, fd = _frames(inside)
     moved = {n: F.col(n) * float(f[0, 0]) + float(f[i, 2]) for f, k in ((fs, "src"), (fd, "dst")) for i, n in enumerate((f"{k}_x", f"{k}_y"))}
