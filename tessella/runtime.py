@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,28 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-_scopes: list[str] = []
+#: Folder of the innermost open ``scratch`` block of this thread.
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession):
     """Delete at the end of the block what its operators have staged.
 
-    Results must be read or written out inside the block, since they may read staged tables.
+    Results must be read or written out inside the block, since they may read staged tables. Threads have blocks of
+    their own: what one stages is not deleted by the block of another.
     """
     folder = f"{shared_dir(spark)}/tessella/scope-{uuid.uuid4().hex}"
-    _scopes.append(folder)
+    token = _scope.set(folder)
     try:
         yield
     finally:
-        _scopes.remove(folder)
+        _scope.reset(token)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, inside the open ``scratch`` block if there is one."""
-    base = _scopes[-1] if _scopes else f"{shared_dir(spark)}/tessella"
+    base = _scope.get() or f"{shared_dir(spark)}/tessella"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 

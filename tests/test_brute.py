@@ -437,6 +437,31 @@ def test_stage_needs_a_shared_folder(spark):
     assert shared_dir(spark) == shared_dir(spark)
 
 
+def test_scratch_blocks_of_threads_are_apart(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from tessella.runtime import scratch, stage
+
+    together = Barrier(2)
+
+    def work(n):
+        with scratch(spark):
+            together.wait(60)
+            kept = stage(spark.range(n), "numbers")
+            folder = kept.inputFiles()[0].split("/numbers-")[0]
+            if n == 3:
+                together.wait(60)  # the other block is closed now
+            out = kept.count()
+        if n != 3:
+            together.wait(60)
+        return out, folder
+
+    with ThreadPoolExecutor(2) as pool:
+        (a, one), (b, two) = pool.map(work, (3, 5))
+    assert (a, b) == (3, 5) and one != two
+
+
 def test_noisy_codes_meet_few_candidates(spark):
     """256-bit codes with up to 30 wrong bits: exact partners from probes of bands, without the product of the tile."""
 
