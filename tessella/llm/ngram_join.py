@@ -13,7 +13,9 @@ upper corner. The join runs in four steps:
 3. Texts of a cell are linked to its first text when the pair, deduplicated over cells, qualifies.
    This joins most copies of a group in a few rows a text.
 4. Cells that still hold several components are searched for pairs across components: points of one vector length are
-   packed into nodes by size and counts, nodes and then points are bounded, and the rest is verified exactly.
+   packed into nodes by size and counts, nodes and then points are bounded on vectors folded to a quarter, the pairs that are left on the
+   whole vectors, and the rest is verified exactly. Texts that share several cells are a pair only in the least of them, as far as
+   the ``LOW`` least cells of each tell.
    A large cell is split into blocks, and pairs of blocks are the tasks. Two large components may have very many pairs, of which
    one link is enough: a first search gives out the ``FEW`` pairs of the greatest bound for each two components and pair of blocks;
    these are verified and the components contracted. Cells in which pairs were held back are searched
@@ -37,11 +39,15 @@ from ..runtime import stage
 from .common import SLOTS, bitmap, marked, pieces, text_of
 
 #: Groups of the corpus-wide order (one byte each is broadcast), and of the count vector of a text of up to ``DENSE`` shingles.
-ORDER_BITS, GROUPS, DENSE = 18, 64, 500
+ORDER_BITS, GROUPS, DENSE = 18, 256, 500
+#: A count takes one byte, whose largest value stands for any number from there on. Trees are built on one group for ``COARSE``.
+FULL, MANY, COARSE = 255, 1 << 30, 4
+#: Cells of a text that go along, the least ones.
+LOW = 16
 #: Rows of a block of a cell, and points of a tree node.
 BLOCK, NODE = 1024, 32
 #: Texts of a cell that is one leaf, and queries that go through a tree at once.
-LEAF, QUERIES = 64, 64
+LEAF, QUERIES = 64, 32
 #: Pairs of two components that a block pair gives out before the components are contracted.
 FEW = 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -80,10 +86,25 @@ def groups(size: int) -> int:
     return n
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The count vector of a set of hashes."""
+    parts = groups(len(hashes))
+    counts = np.bincount((hashes % np.uint64(parts)).astype(np.int64), minlength=parts)
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
+
+
+def added(rows: np.ndarray, length: int) -> np.ndarray:
+    """Count vectors added up to ``length`` groups; ``MANY`` and sums beyond stay ``MANY``."""
+    return np.minimum(rows.reshape(len(rows), -1, length).sum(1, dtype=np.int64), MANY).astype(np.int32)
+
+
 def folded(vectors, length: int) -> np.ndarray:
-    """Count vectors of one length as rows, added up to ``length`` groups; lengths are GROUPS times powers of two."""
-    rows = np.frombuffer(b"".join(vectors), "<i4").reshape(len(vectors), -1, length)
-    return rows.sum(1, dtype=np.int32)
+    """Packed count vectors of one length as rows of ``length`` groups; lengths are GROUPS times powers of two.
+
+    A full byte becomes ``MANY``, so minima never fall below the true ones.
+    """
+    rows = np.frombuffer(b"".join(vectors), np.uint8).reshape(len(vectors), -1)
+    return added(np.where(rows == FULL, np.int32(MANY), rows), length)
 
 
 def _counted(batches, n: int) -> Iterator[pd.DataFrame]:
@@ -114,9 +135,7 @@ def _described(batches, n: int, percent: int, order) -> Iterator[pd.DataFrame]:
             size = len(s)
             head = size - need(size, percent) + 1 if size else 0
             place = np.lexsort((s, rank[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]))[:head]
-            parts = groups(size)
-            vector = np.bincount((s % np.uint64(parts)).astype(np.int64), minlength=parts).astype("<i4")
-            out.append((size, xxhash.xxh3_128_hexdigest(s.tobytes()), s[place].view(np.int64), vector.tobytes()))
+            out.append((size, xxhash.xxh3_128_hexdigest(s.tobytes()), s[place].view(np.int64), packed(s)))
         yield pd.DataFrame({"key": batch["key"]}).join(pd.DataFrame(out, columns=["n", "print", "head", "vector"], index=batch.index))
 
 
@@ -144,7 +163,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def test(batches):
         for b in batches:
             for _, same in b.groupby([b["pa"].str.len(), b["pb"].str.len()]):
-                length = min(len(same["pa"].iloc[0]), len(same["pb"].iloc[0])) // 4
+                length = min(len(same["pa"].iloc[0]), len(same["pb"].iloc[0]))
                 lo = np.minimum(folded(same["pa"], length), folded(same["pb"], length)).sum(1)
                 yield same.loc[(100 + percent) * lo >= percent * (same["na"] + same["nb"]).to_numpy(), ["u", "v"]]
 
@@ -196,18 +215,40 @@ class Tree:
         return q[good], self.order[at[good]], both[good] / total[good]
 
 
+def _least(cells, cell: int) -> np.ndarray:
+    """Lists of cells as rows of ``LOW``, filled up with ``cell``."""
+    out = np.full((len(cells), LOW), cell)
+    for row, known in zip(out, cells):
+        row[: len(known)] = known
+    return out
+
+
 def _between(left: pd.DataFrame, right: pd.DataFrame, length: int, percent: int) -> Iterator[pd.DataFrame]:
-    """Bounded pairs of texts of two components, from vectors folded to one length, a few queries at a time."""
-    tree, points, sizes = Tree(folded(right["vector"], length), right["n"].to_numpy()), folded(left["vector"], length), left["n"].to_numpy()
+    """Bounded pairs of texts of two components, from vectors folded to one length, a few queries at a time.
+
+    A pair that is known to share a lesser cell is left to that cell.
+    """
+    cell, coarse = left["cell"].iloc[0], max(1, length // COARSE)
+    a, b = folded(left["vector"], length), folded(right["vector"], length)
+    low_a, low_b = _least(left["low"], cell), _least(right["low"], cell)
+    sizes, others = left["n"].to_numpy(), right["n"].to_numpy()
+    tree, points = Tree(added(b, coarse), others), added(a, coarse)
+    label_a, label_b = left["label"].to_numpy(), right["label"].to_numpy()
     # so many queries at once that a step holds a few million numbers
     step = max(1, QUERIES * GROUPS // length)
     for at in range(0, len(left), step):
-        q, p, bound = tree.search(points[at : at + step], sizes[at : at + step], percent)
-        u, v = left.iloc[at + q], right.iloc[p]
-        on = u["label"].to_numpy() != v["label"].to_numpy()
-        u, v = ({c: x[c].to_numpy()[on] for c in ("key", "label")} for x in (u, v))
+        q, p, _ = tree.search(points[at : at + step], sizes[at : at + step], percent)
+        q += at
+        on = label_a[q] != label_b[p]
+        q, p = q[on], p[on]
+        seen = ((low_a[q][:, :, None] == low_b[p][:, None, :]) & (low_a[q] < cell)[:, :, None]).any((1, 2))
+        q, p = q[~seen], p[~seen]
+        both, total = np.minimum(a[q], b[p]).sum(1), sizes[q] + others[p]
+        on = (100 + percent) * both >= percent * total
+        u, v, bound = left.iloc[q[on]], right.iloc[p[on]], both[on] / total[on]
+        u, v = ({c: x[c].to_numpy() for c in ("key", "label")} for x in (u, v))
         yield pd.DataFrame({
-            "u": np.minimum(u["key"], v["key"]), "v": np.maximum(u["key"], v["key"]), "bound": bound[on],
+            "u": np.minimum(u["key"], v["key"]), "v": np.maximum(u["key"], v["key"]), "bound": bound,
             "a": np.minimum(u["label"], v["label"]), "b": np.maximum(u["label"], v["label"]),
         })
 
@@ -230,7 +271,7 @@ def _crossed(pdf: pd.DataFrame, percent: int, few: int | None) -> pd.DataFrame:
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     if not len(right):
         right = left
-    size = lambda x: x["vector"].str.len() // 4
+    size = lambda x: x["vector"].str.len()
     kept, more = pd.DataFrame({c: [] for c in ("u", "v", "bound", "a", "b")}), False
     for m, a in left.groupby(size(left)):
         for n, b in right.groupby(size(right)):
@@ -257,14 +298,15 @@ def across(cells: DataFrame, labels: DataFrame, points: DataFrame, percent: int,
     sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     near = a.join(b, "cell").where((F.col("u") < F.col("v")) & (F.col("la") != F.col("lb")) & sized).select("u", "v")
     # blocks by hash, so that no row number over a large cell is needed
+    points = points.select("key", "vector", F.slice(F.array_sort("head"), 1, LOW).alias("low"))
     large = rows.where(F.col("m") > LEAF).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    large = large.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(points.select("key", "vector"), "key")
+    large = large.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(points, "key")
     # block i meets every block j: as the left side with j >= i, as the right side with j <= i
     pair = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), (F.col("block") > j).cast("int").alias("side")),
     )
-    spread = large.withColumn("p", F.explode(pair)).select("cell", "p.i", "p.j", "p.side", "key", "label", "n", "vector")
+    spread = large.withColumn("p", F.explode(pair)).select("cell", "p.i", "p.j", "p.side", "key", "label", "n", "vector", "low")
     found = spread.groupBy("cell", "i", "j").applyInPandas(partial(_crossed, percent=percent, few=few), "u long, v long, cell long, more boolean")
     found = stage(found, "crossed")
     return near.unionByName(found.select("u", "v")).distinct(), found.where("more").select("cell").distinct()

@@ -173,9 +173,8 @@ def test_long_unrelated_texts_and_large_components_give_few_candidates():
     def block(rows):
         out = []
         for key, label, hashes in rows:
-            parts = ngram_join.groups(len(hashes))
-            out.append((1, 0, key, label, len(hashes), np.bincount(hashes % parts, minlength=parts).astype("<i4").tobytes()))
-        return pd.DataFrame(out, columns=["cell", "side", "key", "label", "n", "vector"])
+            out.append((1, 0, key, label, len(hashes), ngram_join.packed(hashes.astype(np.uint64)), np.array([1])))
+        return pd.DataFrame(out, columns=["cell", "side", "key", "label", "n", "vector", "low"])
 
     unrelated = block([(i, i, rng.integers(0, 2**60, 4000)) for i in range(60)])
     assert not len(ngram_join._crossed(unrelated, 85, None))
@@ -183,6 +182,18 @@ def test_long_unrelated_texts_and_large_components_give_few_candidates():
     copies = block([(i, i % 2, np.append(base[:298], rng.integers(0, 2**60, 2))) for i in range(80)])
     few, every = (ngram_join._crossed(copies, 85, n) for n in (2, None))
     assert len(few) == 2 and few["more"].all() and len(every) == 1600 and not every["more"].any()
+    # texts that share a lesser cell are left to it, others are not
+    copies["low"] = [np.array([0, 1] if i < 40 else [1]) for i in range(80)]
+    assert len(ngram_join._crossed(copies, 85, None)) == 1600 - 400
+
+
+def test_full_counts_bound_from_above():
+    import numpy as np
+
+    a, b = np.arange(1000, dtype=np.uint64) * np.uint64(1024), np.arange(500, 1500, dtype=np.uint64) * np.uint64(1024)
+    for length in (512, 64):
+        lo = np.minimum(*(ngram_join.folded([ngram_join.packed(x)], length) for x in (a, b))).sum()
+        assert lo >= 500
 
 
 PAGES = [
