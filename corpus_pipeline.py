@@ -22,11 +22,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier document holds; a document left without a word goes."""
-    out = line_dedup.dedup(docs)
-    emptied = (F.col("lines_removed") > 0) & (F.size(spaced_words(text_of("text"))) == 0)
-    out = out.where(~emptied).withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return out.select(*docs.columns)
+    """Texts without passages that an earlier document holds; a document left without a word goes.
+
+    Null and empty texts stay as they are. ``n_chars``, where there is one, follows the text; all other columns keep
+    their values, also one that is called ``lines_removed``. An empty table stays empty.
+    """
+    spare = "lines_removed_"
+    while spare in docs.columns:
+        spare += "_"
+    out = line_dedup.dedup(docs.withColumnRenamed("lines_removed", spare))
+    changed = F.col("lines_removed") > 0
+    out = out.where(~(changed & (F.size(spaced_words(text_of("text"))) == 0)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    return out.select(*(F.col(spare if c == "lines_removed" else c).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +49,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a rate above zero, with their rate and domain posteriors."""
+    """Documents of a rate above zero, with their rate and domain posteriors.
+
+    The columns that the mix adds take the place of corpus columns of the same name. Null keys meet null
+    keys, repeated rows keep one rate, an empty table stays empty.
+    """
     found = stage(mixing.mix(docs, table(spark, sf_dir, "labels")), "rates").where("rate > 0")
-    found = found.withColumnRenamed("doc_id", "_id")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"])).drop("_id")
+    rest = docs.drop(*(c for c in found.columns if c != "doc_id"))
+    return rest.join(found, rest["doc_id"].eqNullSafe(found["doc_id"])).drop(found["doc_id"])
 
 
 STAGES = [
