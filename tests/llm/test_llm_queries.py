@@ -7,6 +7,7 @@ import pytest
 from oracle import compare, duck
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tessella.llm import licenses, queries
 
 FOLDER = os.environ.get("TESSELLA_DATA", "/root/testdata/sf0.001")
@@ -85,3 +86,18 @@ def test_pipeline_run_gives_the_stages(spark):
         docs = function(spark, docs, FOLDER).cache()
     key = lambda df: sorted((r.doc_id, r.text, r.rate) for r in df.collect())
     assert key(corpus_pipeline.run(spark, FOLDER)) == key(docs)
+
+
+def test_stages_take_a_corpus_with_the_names_they_add(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").drop("n_chars")
+    extra = {c: F.concat(F.lit(f"{c} "), F.col("doc_id")) for c in ("lines_removed", "lines_removed_", "_id", "rate", "n_tokens")}
+    clashing = docs.withColumns(extra)
+    for name, function in corpus_pipeline.STAGES:
+        if name not in ("line_dedup", "mixing"):
+            continue
+        plain, got = function(spark, docs, FOLDER), function(spark, clashing, FOLDER)
+        shared = [c for c in plain.columns]
+        assert sorted(map(str, got.select(*shared).collect())) == sorted(map(str, plain.collect()))
+        own = [c for c in extra if c not in shared]
+        assert "_id" in own and len(got.columns) == len(shared) + len(own) == len(set(got.columns))
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in got.select("doc_id", *own).collect() for c in own)
