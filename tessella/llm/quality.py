@@ -117,29 +117,44 @@ def cascade(rules: list[Rule], text: Column) -> Column:
     return let(spaced_words(text), body)
 
 
+def greedy_order(rules: list[Rule], cost: list[float], found: dict[tuple[bool, ...], int]) -> list[Rule]:
+    """Rules by rejections per cost, each counted on the texts that the rules before it leave.
+
+    ``found`` counts texts by the verdicts of all rules. Rules that reject nothing more come last, cheapest first.
+    """
+    out, left = [], list(range(len(rules)))
+    while left:
+        best = max(left, key=lambda i: (sum(n for hits, n in found.items() if hits[i]) / cost[i], -cost[i]))
+        out.append(rules[best])
+        left.remove(best)
+        found = {hits: n for hits, n in found.items() if not hits[best]}
+    return out
+
+
 def measured_order(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 1000) -> list[Rule]:
     """The rules by rejections per second, measured on ``sample_rows`` rows at most.
 
-    The sample is any few rows of the table; it only orders the work. Each rule is timed twice
-    and its shorter time counts. Rules that reject nothing come last, cheapest first.
+    The sample is any few rows of the table; it only orders the work. Each rule is timed twice by itself
+    and its shorter time counts; one more pass counts which rules reject the same texts.
     """
+    if not rules:
+        return []
     rows = stage(docs.select(text_of(text).alias("text")).limit(sample_rows), "sample")
+    rejects = lambda rule: ~cascade([rule], F.col("text"))
 
-    def timed(column: Column) -> tuple[float, int]:
-        best, hit = float("inf"), 0
+    def timed(column: Column) -> float:
+        best = float("inf")
         for _ in range(2):
             start = time.perf_counter()
-            hit = rows.agg(F.count_if(column).alias("n")).first()["n"]
+            rows.agg(F.count_if(column).alias("n")).first()
             best = min(best, time.perf_counter() - start)
-        return best, hit
-
-    floor = timed(cascade([], F.col("text")))[0]
-    score = {}
-    for rule in rules:
-        seconds, hit = timed(~cascade([rule], F.col("text")))
-        cost = max(seconds - floor, 1e-4)
-        score[rule.name] = (hit / cost, -cost)
-    return sorted(rules, key=lambda r: score[r.name], reverse=True)
+        return best
+
+    floor = timed(cascade([], F.col("text")))
+    cost = [max(timed(rejects(r)) - floor, 1e-4) for r in rules]
+    # at most one row for each row of the sample
+    verdicts = rows.groupBy(F.array(*(rejects(r) for r in rules)).alias("hits")).count().collect()
+    return greedy_order(rules, cost, {tuple(r["hits"]): r["count"] for r in verdicts})
 
 
 def verdict(rules: list[Rule], metric: Callable[[str], Column]) -> Column:

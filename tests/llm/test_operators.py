@@ -67,6 +67,15 @@ def test_quality(spark, docs):
     assert not quality.score(frame(spark, [(None, None)])).first().kept
 
 
+def test_rules_are_ordered_by_what_the_earlier_ones_leave():
+    a, b, c, d = rules = [quality.Rule(n, None) for n in "abcd"]
+    # b rejects nothing but what a rejects, c rejects fewer texts of its own, d none
+    found = {(True, True, False, False): 50, (True, False, False, False): 10, (False, False, True, False): 5, (False,) * 4: 100}
+    assert quality.greedy_order(rules, [1.0, 1.0, 1.0, 0.5], found) == [a, c, d, b]
+    assert quality.greedy_order(rules, [100.0, 1.0, 1.0, 0.5], found) == [b, c, a, d]
+    assert quality.greedy_order([], [], {}) == []
+
+
 def test_quality_order_does_not_change_the_verdict(spark, docs):
     rules = [*quality.base_rules(), *quality.method_rules()]
     verdicts = [sorted(r.doc_id for r in docs.where(quality.cascade(x, F.coalesce("text", F.lit("")))).collect()) for x in (rules, rules[::-1])]
