@@ -52,8 +52,10 @@ def running_max_from_end(staged: DataFrame, keys, order, column: str, name: str)
     """Largest value at or after each row in the staged order."""
     keys = list(keys)
     offsets = _earlier(staged, keys, {name: F.max(column)}, F.max, True)
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    joined = staged.join(offsets, [*keys, BUCKET])
+    place = F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(*order))
+    # from the end, so that a row adds one value; a frame up to the end is read again for every row
+    inside = Window.partitionBy(*keys, BUCKET).orderBy(F.col("_place").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    joined = staged.join(offsets, [*keys, BUCKET]).withColumn("_place", place)
     return joined.select(
         *staged.columns, F.greatest(F.max(column).over(inside), F.col(f"_before_{name}")).alias(name)
     )
