@@ -8,8 +8,8 @@ so a few very large boxes do not pull all small boxes into one cell. A pair is
 emitted only by the cell that holds the lower-left corner of its intersection,
 which removes duplicates without a distinct.
 
-The join is a plain equi join on integer keys: no broadcast is forced, AQE picks
-the strategy from measured sizes and splits hot cells.
+The join is a sort-merge join on integer keys, since both sides are multiplied by
+their cells and none of them belongs into the driver; AQE splits hot cells.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.boxes import BOX, Box, intersection, ioa, iou, sq_dist
+from ..runtime import many
 
 STEP = 4.0  # ratio of cell sizes between levels
 _HOME_HOME, _HOME_VISITOR, _VISITOR_HOME = 0, 1, 2
@@ -114,7 +115,7 @@ def box_pairs(
             level += 1
         top = F.lit(level)
     a, b = _emit(left, on, "a", cell, top, span), _emit(right, on, "b", cell, top, span)
-    pairs = a.join(b, [*on, "_level", "_kind", "_cx", "_cy"])
+    pairs = many(a).join(many(b), [*on, "_level", "_kind", "_cx", "_cy"])
     p, q = _box("a"), _box("b")
     size = F.pow(F.lit(STEP), F.col("_level")) * cell
     x0, y0 = F.greatest(p.xmin, q.xmin), F.greatest(p.ymin, q.ymin)
@@ -231,7 +232,7 @@ def near_vectors(left: DataFrame, right: DataFrame, max_sq_dist: float, on=()) -
         .withColumn("_cy", F.explode(F.transform(around, lambda i: F.floor(q.ymin / r) + i)))
     )
     return (
-        a.join(b, [*on, "_cx", "_cy"])
+        a.join(many(b), [*on, "_cx", "_cy"])
         .withColumn("sq_dist", sq_dist(p, q))
         .where(F.col("sq_dist") <= max_sq_dist)
         .select(*on, _side("a", left.columns), _side("b", right.columns), "sq_dist")

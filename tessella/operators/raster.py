@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.boxes import BOX
 from ..functions.pixels import DTYPE_MAX, stretch
+from ..runtime import many
 
 
 def disc(radius: int) -> list[tuple[int, int]]:
@@ -57,7 +58,7 @@ def tile_grid(images: DataFrame, tile: int, overlap: int = 0, halo: int | None =
     out = out.withColumns({"row1": row1, "col1": col1})
     if grow:
         out = out.withColumns({c: F.greatest(F.col(c) - grow, F.lit(0)) for c in ("row0", "col0")})
-    return out
+    return many(out)
 
 
 def with_tile(df: DataFrame, tile: int) -> DataFrame:
