@@ -83,13 +83,11 @@ def candidates(det: DataFrame, gt: DataFrame, masks=None, **grid) -> DataFrame:
             value.alias("iou"), F.col("b.is_crowd").alias("is_crowd"), F.col("b.area").alias("area"),
         )
     else:
-        from .masks import mask_overlap
+        from .masks import block_overlap, blocks
 
         dp, gp = masks
-        pairs = mask_overlap(
-            dp.join(det.select(*KEYS, "det_id"), ["image_id", "det_id"]),
-            gp.join(gt.select(*KEYS, "gt_id"), ["image_id", "gt_id"]), "det_id", "gt_id", KEYS,
-        )
+        tagged = lambda px, df, k: blocks(px, ["image_id", k]).join(df.select(*KEYS, k).distinct(), ["image_id", k])
+        pairs = block_overlap(tagged(dp, det, "det_id"), tagged(gp, gt, "gt_id"), "det_id", "gt_id", KEYS)
         joined = pairs.join(gt.select("gt_id", "is_crowd", "area"), "gt_id").join(det.select("det_id", "rank"), "det_id")
         flat = joined.select(
             *KEYS, "det_id", "rank", "gt_id", F.when(F.col("is_crowd"), F.col("ioa_a")).otherwise(F.col("iou")).alias("iou"), "is_crowd", "area"

@@ -81,14 +81,15 @@ def best_boxes(det: DataFrame, gt: DataFrame, keys=KEYS, plus: int = 0, **grid)
 
 def best_masks(det, gt, det_pixels, gt_pixels, keys=KEYS) -> DataFrame:
     """Same as :func:`best_boxes` with pixel masks ``(image_id, id, y, x)``."""
-    from .masks import mask_overlap
+    from .masks import block_overlap, blocks
 
     keys = list(keys)
-    dk = det.select(*keys, "det_id")
+    dk = det.select(*keys, "det_id").distinct()
     gk = with_flags(gt).select(*keys, "gt_id", "difficult", "group_of")
     pairs = (
-        mask_overlap(
-            det_pixels.join(dk, ["image_id", "det_id"]), gt_pixels.join(gk, ["image_id", "gt_id"]),
+        block_overlap(
+            blocks(det_pixels, ["image_id", "det_id"]).join(dk, ["image_id", "det_id"]),
+            blocks(gt_pixels, ["image_id", "gt_id"]).join(gk.select(*keys, "gt_id").distinct(), ["image_id", "gt_id"]),
             "det_id", "gt_id", keys,
         )
         .join(gk, [*keys, "gt_id"])

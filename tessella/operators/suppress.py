@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.boxes import BOX, Box, intersection, iou, window
-from ..runtime import stage
+from ..runtime import many, stage
 from . import boxes as ob
 from .conflict import greedy_losers
 from .nearest import within_radius
@@ -38,7 +38,7 @@ def _thin(live: DataFrame, keys, overlaps, cell: float, top: Column | None, span
     place = [*keys, "_level", "_cx", "_cy"]
     cells = _emit(live, keys, "a", cell, top, span).select(*place, F.col("_a__p").alias("_p"), F.col("_a__id").alias("_id")).distinct()
     lead = cells.groupBy(*place).agg(F.max(F.struct("_p", (-F.col("_id")).alias("n"))).alias("_b"))
-    leads = cells.join(lead, place).groupBy("_id").agg(F.bool_and(-F.col("_b.n") == F.col("_id")).alias("safe"))
+    leads = many(cells).join(lead, place).groupBy("_id").agg(F.bool_and(-F.col("_b.n") == F.col("_id")).alias("safe"))
     safe = stage(live.join(leads.where("safe").select("_id"), "_id", "left_semi"), "safe")
     dead = _edges(safe, live, keys, overlaps, cell, top, span).select(F.col("loser").alias("_id"))
     gone = safe.select("_id").unionByName(dead).distinct()
@@ -112,12 +112,13 @@ def nms_multiclass(
 
 def nms_masks(df: DataFrame, pixels: DataFrame, threshold: float, keys=("image_id",), id_col: str = "det_id", max_output: int | None = None) -> DataFrame:
     """Suppression on mask IoU; ``pixels`` is ``(image_id, id_col, y, x)``."""
-    from .masks import mask_overlap
+    from .masks import block_overlap, blocks
 
     keys = list(keys)
-    tagged = pixels.join(df.select(*keys, id_col, "score"), [c for c in pixels.columns if c in (*keys, id_col)])
-    named = lambda s: tagged.select(*keys, F.col(id_col).alias(s), "y", "x")
-    pairs = mask_overlap(named("winner"), named("loser"), "winner", "loser", keys).where(F.col("iou") > threshold)
+    known = [c for c in pixels.columns if c in (*keys, id_col)]
+    tagged = stage(blocks(pixels, known).join(df.select(*keys, id_col).distinct(), known), "blocks")
+    named = lambda s: tagged.withColumnRenamed(id_col, s)
+    pairs = block_overlap(named("winner"), named("loser"), "winner", "loser", keys).where(F.col("iou") > threshold)
     score = lambda s: df.select(F.col(id_col).alias(s), F.col("score").alias(f"_{s}"))
     edges = pairs.where("winner <> loser").join(score("winner"), "winner").join(score("loser"), "loser").where(
         "_winner > _loser OR (_winner = _loser AND winner < loser)"

@@ -341,11 +341,11 @@ def _(t):
     return ev.eval_weighted(t.det, t.gt, **SMALL).select(F.round("ap", 6).alias("ap"))
 
 
-def _pixels(df, key):
+def _pixels(df, key, *more):
     """Coarse pixel masks: the 4-px cells a box covers."""
     cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / 4), F.floor(F.col(hi) / 4))
-    return df.select("image_id", key, F.explode(cells("ymin", "ymax")).alias("y"), "xmin", "xmax").select(
-        "image_id", key, "y", F.explode(cells("xmin", "xmax")).alias("x")
+    return df.select("image_id", key, *more, F.explode(cells("ymin", "ymax")).alias("y"), "xmin", "xmax").select(
+        "image_id", key, *more, "y", F.explode(cells("xmin", "xmax")).alias("x")
     )
 
 
@@ -367,8 +367,9 @@ mpairs AS (SELECT det_id, gt_id, intersection, area_a, area_b, CAST(intersection
     GT_DET,
 )
 def _(t):
-    a = _pixels(t.det, "det_id").join(t.det.select("det_id", "class_id"), "det_id")
-    b = _pixels(t.gt, "gt_id").join(t.gt.select("gt_id", "class_id"), "gt_id")
+    # boxes take their class before they become pixels
+    classed = lambda df, k: _pixels(df.drop("class_id").join(df.select(k, "class_id"), k), k, "class_id")
+    a, b = classed(t.det, "det_id"), classed(t.gt, "gt_id")
     return masks.mask_overlap(a, b, "det_id", "gt_id", ["image_id", "class_id"]).select(
         "det_id", "gt_id", "intersection", "area_a", "area_b", F.round("iou", 6).alias("iou"), F.round("ioa_a", 6).alias("ioa")
     )
