@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.boxes import BOX
 from .graph import components
 from .raster import region_props
 
@@ -97,18 +98,18 @@ def compartments(nucleus: DataFrame, cell: str = "cell", processes: DataFrame |
     processes; membrane = dilated body (1) without the body; whole = body and
     membrane; cytoplasm = whole without nucleus and membrane.
     """
-    keys = [cell, "y", "x"]
+    keys, levels = [cell, "y", "x"], ["nucleus", "grown", "body"]
+    # pixels are dealt by cell once; all that follows is grouped within cells, so nothing larger is shuffled
+    nucleus = nucleus.select(*keys).repartition(cell)
     grown = dilate(nucleus, 2, on=[cell])
-    body = grown if processes is None else grown.unionByName(processes.select(*keys)).distinct()
+    body = grown if processes is None else grown.unionByName(processes.select(*keys).repartition(cell)).distinct()
     whole = dilate(body, 1, on=[cell])
-    tag = lambda df, *names: df.select(*keys, F.explode(F.array(*(F.lit(n) for n in names))).alias("in_"))
-    seen = (
-        tag(nucleus.select(*keys).distinct(), "nucleus").unionByName(tag(grown, "grown"))
-        .unionByName(tag(body, "body")).unionByName(tag(whole, "whole"))
-        .groupBy(*keys)
-        .agg(*(F.max((F.col("in_") == n).cast("int")).alias(n) for n in ("nucleus", "grown", "body", "whole")))
-    )
-    n, g, b = (F.col(c) == 1 for c in ("nucleus", "grown", "body"))
+    tag = lambda df, *names: df.select(*keys, *(F.lit(int(n in names)).alias(n) for n in levels))
+    every = tag(nucleus, "nucleus").unionByName(tag(grown, "grown", *(["body"] if processes is None else []))).unionByName(tag(whole))
+    if processes is not None:
+        every = every.unionByName(tag(body, "body"))
+    seen = every.groupBy(*keys).agg(*(F.max(n).alias(n) for n in levels))
+    n, g, b = (F.col(c) == 1 for c in levels)
     parts = F.array(
         F.when(g & ~n, F.lit("soma")), F.when(~b, F.lit("membrane")), F.lit("whole_cell"), F.when(b & ~n, F.lit("cytoplasm"))
     )
@@ -309,8 +310,15 @@ def merge_tiles(tiles: DataFrame, margin: int = 0, on=()) -> DataFrame:
         *on, F.col("tile_id").alias("id"), F.col("col0").alias("xmin"), F.col("row0").alias("ymin"),
         F.col("col1").alias("xmax"), F.col("row1").alias("ymax"),
     )
-    touch = box_pairs(t, t, on, cell=1024.0, touching=True).where("a.id < b.id")
-    names = components(touch.select(*on, F.col("a.id").alias("u"), F.col("b.id").alias("v")), on)
+    # equal windows touch: the first stands for its copies, each of which hangs on it by one edge
+    whole = t.where("xmin <= xmax AND ymin <= ymax")
+    for k in on:
+        whole = whole.where(F.col(k).isNotNull())
+    first = whole.groupBy(*on, *BOX).agg(F.min("id").alias("id"))
+    touch = box_pairs(first, first, on, cell=1024.0, touching=True).where("a.id < b.id")
+    touch = touch.select(*on, F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    copies = whole.join(first.withColumnRenamed("id", "u"), [*on, *BOX]).select(*on, "u", F.col("id").alias("v")).where("u < v")
+    names = components(touch.unionByName(copies), on)
     named = t.join(names.select(*on, F.col("node").alias("id"), "label"), [*on, "id"], "left")
     ends = named.groupBy(*on, F.coalesce("label", "id").alias("window")).agg(
         F.min("ymin").alias("row0"), F.min("xmin").alias("col0"), F.max("ymax").alias("row1"), F.max("xmax").alias("col1"), F.count("*").alias("tiles")
