@@ -110,7 +110,9 @@ def apply(pixels: DataFrame, weights: DataFrame, dtype: str = "uint16", on=()) -
     """
     own = pixels.select("channel").distinct().select(F.col("channel").alias("target"), "channel", F.lit(1.0).alias("coef"))
     coef = own.unionByName(weights.select("target", "channel", (-F.col("weight")).alias("coef")))
-    mixed = pixels.join(coef, "channel").groupBy(*on, "target", "y", "x").agg(F.sum(F.col("value") * F.col("coef")).alias("v"))
+    # pixels are dealt by place before they are repeated for their targets, so the sums meet there; weights are one row a pair of channels
+    dealt = pixels.repartition(*on, "y", "x").join(F.broadcast(coef), "channel")
+    mixed = dealt.groupBy(*on, "target", "y", "x").agg(F.sum(F.col("value") * F.col("coef")).alias("v"))
     return mixed.select(*on, F.col("target").alias("channel"), "y", "x", to_dtype(F.col("v"), dtype).alias("value"))
 
 
