@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.pixels import area_um2, density
+from ..runtime import many
 from .ordering import top_per_key
 
 KEY_COLUMNS = ("slide", "ID", "centroid_x", "centroid_y", "xmin", "ymin", "xmax", "ymax", "region")
@@ -146,7 +147,19 @@ def major_function(df: DataFrame, rules: DataFrame, major: dict[str, str], id_co
     any other rule belongs to the first major type its name contains and sets the
     function of cells positive for both markers. Later rules win.
     """
-    long = to_long(df, [id_col]).where("value = 1").select(id_col, "biomarker")
+    markers = [c for c in marker_columns(df) if c != id_col]
+    # the answer follows from the positive markers of a cell, so the rules are matched once for each set of them
+    cells = df.groupBy(id_col).agg(*(F.max(F.col(m).eqNullSafe(1)).alias(m) for m in markers))
+    pattern = F.concat_ws(",", *(F.col(m).cast("int").cast("string") for m in markers))
+    cells = cells.withColumn("_pattern", pattern)
+    kinds = cells.select("_pattern", *(F.col(m).cast("int").alias(m) for m in markers)).distinct()
+    found = _major_function(kinds, markers, rules, major)
+    named = cells.select(id_col, "_pattern").join(found, "_pattern", "left").drop("_pattern")
+    return df.select(id_col).join(named, id_col, "left").select(id_col, "type", "function")
+
+
+def _major_function(df: DataFrame, markers, rules: DataFrame, major: dict[str, str], id_col: str = "_pattern") -> DataFrame:
+    long = to_long(df, [id_col], markers).where("value = 1").select(id_col, "biomarker")
     named = F.col("Cell Type")
     owner = F.coalesce(*(F.when(named.contains(n), F.lit(m)) for n, m in major.items()))
     r = rules.select(
@@ -228,7 +241,7 @@ def type_summary(types: DataFrame) -> DataFrame:
 def region_pixels(regions: DataFrame) -> DataFrame:
     """Rectangles ``(region, list_order, x0, x1, y0, y1)`` as pixels."""
     rows = regions.select("region", "list_order", F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1")
-    return rows.select("region", "list_order", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+    return many(rows.select("region", "list_order", "y", F.explode(F.sequence("x0", "x1")).alias("x")))
 
 
 def point_in_region(points: DataFrame, pixels: DataFrame, x: str = "centroid_x", y: str = "centroid_y", on=()) -> DataFrame:
@@ -290,11 +303,12 @@ def channel_mean_image(rules: DataFrame, channel_info: DataFrame, pixels: DataFr
     """Per cell type, the truncated mean over its positive channels at each pixel."""
     chosen = rule_channels(rules, channel_info)
     n = chosen.groupBy("type").agg(F.countDistinct("channel").alias("_n"))
+    # pixels are dealt by place before they are repeated for their types, so the sums meet there; types and channels are few
     return (
-        pixels.join(chosen, "channel")
+        pixels.repartition("y", "x").join(F.broadcast(chosen), "channel")
         .groupBy("type", "y", "x")
         .agg(F.sum("value").alias("_s"))
-        .join(n, "type")
+        .join(F.broadcast(n), "type")
         .select("type", "y", "x", F.floor(F.col("_s") / F.col("_n")).alias("value"))
     )
 
