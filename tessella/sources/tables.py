@@ -140,10 +140,16 @@ def write_raster_tiles(pixels: DataFrame, path: str, tile: int, channel: str = "
 
     at = (F.col("y") - F.col("tile_y")) * tile + F.col("x") - F.col("tile_x")
     tiles = with_tile(pixels, tile).groupBy(channel, "tile_y", "tile_x").agg(
-        F.map_from_entries(F.collect_list(F.struct(at.cast("int").alias("k"), F.col("value").alias("v")))).alias("m"),
+        F.array_sort(F.collect_list(F.struct(at.cast("int").alias("k"), F.col("value").alias("v")))).alias("m"),
         (F.max("y") - F.min("tile_y") + 1).alias("h"), (F.max("x") - F.min("tile_x") + 1).alias("w"),
     )
-    dense = F.transform(F.sequence(F.lit(0), F.lit(tile * tile - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))
+    # the values in order, with zeros for the places left out before each and after the last
+    zeros = lambda n: F.transform(F.array_repeat(F.lit(0), n), lambda v: v.cast(dict(pixels.dtypes)["value"]))
+    ends = lambda i: F.when(i > 0, F.get("m", i - 1)["k"]).otherwise(F.lit(-1))
+    twice = F.raise_error(F.lit("a tile has two pixels at one place"))
+    gap = lambda e, i: F.when(e["k"] > ends(i), e["k"] - ends(i) - 1).otherwise(twice.cast("int"))
+    filled = F.flatten(F.transform("m", lambda e, i: F.concat(zeros(gap(e, i)), F.array(F.coalesce(e["v"], F.lit(0))))))
+    dense = F.concat(filled, zeros(F.lit(tile * tile - 1) - F.element_at("m", -1)["k"]))
     tiles.select(channel, "tile_y", "tile_x", "h", "w", dense.alias("values")).write.partitionBy(channel).parquet(path)
 
 
