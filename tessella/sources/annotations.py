@@ -300,7 +300,8 @@ def coco_segments(objects: DataFrame, pixels: DataFrame, id_col: str = "gt_id")
     from pyspark.sql import Window
 
     w = Window.partitionBy("image_id", id_col, "y").orderBy("x")
-    p = pixels.select("image_id", id_col, "y", "x").distinct().withColumn("_g", F.col("x") - F.row_number().over(w))
+    # pixels are dealt by object before they are made distinct: all that follows stays with the object
+    p = pixels.select("image_id", id_col, "y", "x").repartition("image_id", id_col).distinct().withColumn("_g", F.col("x") - F.row_number().over(w))
     runs = p.groupBy("image_id", id_col, "y", "_g").agg(F.min("x").alias("x"), F.count("*").alias("length"))
     return objects.select("image_id", id_col, F.col("class_id").alias("category_id")).join(runs.drop("_g"), ["image_id", id_col])
 
