@@ -105,10 +105,11 @@ def claims(best: DataFrame, threshold: float, keys=KEYS) -> DataFrame:
     """Mark the first detection, in score order, that claims each ground truth.
 
     Adds ``matched`` (best IoU reaches the threshold) and ``tp``. A detection
-    whose best ground truth is taken is not matched again.
+    whose best ground truth is taken is not matched again. ``best`` is staged,
+    since it is read for the winners and for the rows that they mark.
     """
     keys = list(keys)
-    best = best.withColumn("matched", F.col("iou") >= threshold)
+    best = stage(best.withColumn("matched", F.col("iou") >= threshold), "best")
     winners = (
         best.where("matched AND NOT hit_difficult")
         .groupBy(*keys, "gt_id")
@@ -134,6 +135,7 @@ def score_detections(
     its best absorbed score. ``duplicates='ignore'`` also leaves out later claims.
     """
     keys = list(keys)
+    best = best.select(*keys, "det_id", "score", "iou", "gt_id", "hit_difficult", "ioa", "group_id")
     claimed = claims(best, threshold, keys)
     absorbed = (
         ~F.col("tp") & ~(F.col("matched") & F.col("hit_difficult")) & (F.col("ioa") >= threshold)
@@ -404,7 +406,7 @@ def score_relations(det, gt, threshold: float = 0.5, phrases: bool = False, **gr
     joined = det.join(best, [*keys, *tail], "left").withColumns(
         {"iou": F.coalesce("iou", F.lit(0.0)), "hit_difficult": F.lit(False)}
     )
-    marked = claims(joined, threshold, keys)
+    marked = claims(joined.drop(*tail), threshold, keys)
     return marked.select(*keys, F.col("det_id").alias("rank_id"), "score", F.col("tp").cast("double").alias("tp"))
 
 

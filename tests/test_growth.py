@@ -138,3 +138,33 @@ def test_segments_are_dealt_by_object(spark):
     out = an.coco_segments(gt, px)
     assert sorted((r.y, r.x, r.length) for r in out.collect()) == [(0, 0, 2), (0, 3, 1)]
     assert not [d for d in dealt(out) if "y" in d.split(", ")]
+
+
+def _boxes(spark):
+    gt = [(i, i % 2, 0, 20.0 * i, 0.0, 20.0 * i + 10, 10.0, False, False) for i in range(6)]
+    gt = spark.createDataFrame(gt, "gt_id long, image_id long, class_id long, xmin double, ymin double, xmax double, ymax double, difficult boolean, group_of boolean")
+    det = [(i, i % 2, int(i == 5), float(i), 20.0 * (i % 6), 0.0, 20.0 * (i % 6) + 10, 9.0) for i in range(9)]
+    det = spark.createDataFrame(det * 2, "det_id long, image_id long, class_id long, score double, xmin double, ymin double, xmax double, ymax double")
+    return det, gt
+
+
+def test_boxes_are_matched_once_for_claims(spark):
+    det, gt = _boxes(spark)
+    out = ev.claims(ev.best_boxes(det, gt), 0.5)
+    # winners and the rows they mark come from the same staged matches
+    assert "Generate" not in plan(out) and "_cx" not in plan(out)
+    # boxes of 6, 7 and 8 are those of 0, 1 and 2, with higher scores; copies share the mark; 5 has another class
+    assert sorted((r.det_id, r.matched, r.tp) for r in out.collect()) == [
+        (i, i != 5, i in (3, 4, 6, 7, 8)) for i in range(9) for _ in range(2)
+    ]
+    scored = ev.score_detections(ev.best_boxes(det, gt), 0.5)
+    assert "Generate" not in plan(scored) and scored.where("tp > 0").count() == 10
+
+
+def test_relations_are_matched_once_for_claims(spark):
+    det, gt = _boxes(spark)
+    box = "named_struct('xmin', xmin, 'ymin', ymin, 'xmax', xmax, 'ymax', ymax)"
+    tuples = lambda df, *k: df.selectExpr(*k, "image_id", "0L AS subject_label", "1L AS object_label", "class_id AS relation", f"{box} AS subject", f"{box} AS object")
+    out = ev.score_relations(tuples(det.distinct(), "det_id", "score"), tuples(gt, "gt_id"))
+    assert "Generate" not in plan(out)
+    assert sorted(r.rank_id for r in out.where("tp > 0").collect()) == [3, 4, 6, 7, 8]
