@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.boxes import BOX
 from .graph import components
+from .masks import SIDE
 from .raster import region_props
 
 SHIFT = 2**32  # pixel id = y * 2^32 + x, in row-major order
@@ -91,29 +92,66 @@ def smooth(mask: DataFrame, size: int = 11, share: float = 0.5, on=()) -> DataFr
     return both.where(F.col("n") > share * size * size).select(*on, "y", "x")
 
 
+def _spread(bits: Column, radius: int) -> Column:
+    """A block of 8 x 8 pixels dilated by a disc of up to 8: ``(dy, dx, bits)`` for the block itself and its eight neighbours."""
+    disc = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-isqrt(radius * radius - dy * dy), isqrt(radius * radius - dy * dy) + 1)]
+
+    def moved(by, bx):
+        found = F.lit(0).cast("long")
+        for dy, dx in disc:
+            inside = [y * SIDE + x for y in range(SIDE) for x in range(SIDE) if 0 <= y + dy - by * SIDE < SIDE and 0 <= x + dx - bx * SIDE < SIDE]
+            if inside:
+                mask, by_bits = sum(1 << i for i in inside), (dy - by * SIDE) * SIDE + dx - bx * SIDE
+                some = bits.bitwiseAND(F.lit(mask - (mask >> 63 << 64)).cast("long"))
+                found = found.bitwiseOR(F.call_function("shiftleft" if by_bits >= 0 else "shiftrightunsigned", some, F.lit(abs(by_bits))))
+        return found
+
+    return F.array(*(F.struct(F.lit(by).alias("dy"), F.lit(bx).alias("dx"), moved(by, bx).alias("bits")) for by in (-1, 0, 1) for bx in (-1, 0, 1)))
+
+
+def _grown(found: DataFrame, cell: str, source: str, radius: int, name: str) -> DataFrame:
+    """Blocks ``(cell, _by, _bx, ...)`` with the dilated bits of ``source`` as ``name``; the other columns stay where they are."""
+    place, kept = [cell, "_by", "_bx"], [c for c in found.columns if c not in (cell, "_by", "_bx")]
+    bits, here = F.col("_s.bits"), (F.col("_s.dy") == 0) & (F.col("_s.dx") == 0)
+    # pixels of no x are not dilated, and those of no y only along x: they are held in the first row
+    bits = F.when(F.col("_bx").isNull(), 0).when(F.col("_by").isNotNull(), bits).when(F.col("_s.dy") == 0, bits.bitwiseAND(F.lit(255).cast("long"))).otherwise(0)
+    rows = found.withColumn("_s", F.explode(_spread(F.col(source), radius))).select(
+        cell, (F.col("_by") + F.col("_s.dy")).alias("_by"), (F.col("_bx") + F.col("_s.dx")).alias("_bx"),
+        *(F.when(here, F.col(c)).otherwise(0).alias(c) for c in kept), bits.alias(name), here.alias("_here"),
+    )
+    # places of no bit at all would only be carried along
+    rows = rows.where(F.col("_here") | (F.col(name) != 0))
+    return rows.groupBy(*place).agg(*(F.bit_or(c).alias(c) for c in (*kept, name)))
+
+
 def compartments(nucleus: DataFrame, cell: str = "cell", processes: DataFrame | None = None) -> DataFrame:
     """Soma, membrane, whole cell and cytoplasm of each cell as ``(cell, part, y, x)``.
 
     soma = dilated nucleus (2) without the nucleus; body = dilated nucleus and
     processes; membrane = dilated body (1) without the body; whole = body and
     membrane; cytoplasm = whole without nucleus and membrane.
+
+    Masks are held as blocks of 8 x 8 pixels, which are dilated by shifts of their bits; pixels are listed at the end only.
     """
-    keys, levels = [cell, "y", "x"], ["nucleus", "grown", "body"]
+    keys, place = [cell, "y", "x"], [cell, "_by", "_bx"]
+    bit = F.coalesce(F.pmod("y", F.lit(SIDE)), F.lit(0)) * SIDE + F.coalesce(F.pmod("x", F.lit(SIDE)), F.lit(0))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
+    named = lambda df, *own: df.select(*keys, *(F.lit(int(n in own)).alias(f"_{n}") for n in ("n", "p")))
+    pixels = named(nucleus, "n") if processes is None else named(nucleus, "n").unionByName(named(processes, "p"))
     # pixels are dealt by cell once; all that follows is grouped within cells, so nothing larger is shuffled
-    nucleus = nucleus.select(*keys).repartition(cell)
-    grown = dilate(nucleus, 2, on=[cell])
-    body = grown if processes is None else grown.unionByName(processes.select(*keys).repartition(cell)).distinct()
-    whole = dilate(body, 1, on=[cell])
-    tag = lambda df, *names: df.select(*keys, *(F.lit(int(n in names)).alias(n) for n in levels))
-    every = tag(nucleus, "nucleus").unionByName(tag(grown, "grown", *(["body"] if processes is None else []))).unionByName(tag(whole))
-    if processes is not None:
-        every = every.unionByName(tag(body, "body"))
-    seen = every.groupBy(*keys).agg(*(F.max(n).alias(n) for n in levels))
-    n, g, b = (F.col(c) == 1 for c in levels)
+    pixels = pixels.repartition(cell).withColumns({"_by": F.floor(F.col("y") / SIDE), "_bx": F.floor(F.col("x") / SIDE)})
+    found = pixels.groupBy(*place).agg(*(F.bit_or(one * F.col(f"_{n}")).alias(n) for n in ("n", "p")))
+    found = _grown(found, cell, "n", 2, "g").withColumn("b", F.col("g").bitwiseOR(F.col("p"))).drop("p")
+    found = _grown(found, cell, "b", 1, "w")
+    at = lambda c: F.call_function("shiftrightunsigned", c, F.col("_i")).bitwiseAND(F.lit(1).cast("long")) == 1
+    every = F.col("n").bitwiseOR(F.col("b")).bitwiseOR(F.col("w"))
+    seen = found.withColumn("_i", F.explode(F.array(*(F.lit(i) for i in range(SIDE * SIDE))))).where(at(every))
+    n, g, b = (at(F.col(c)) for c in "ngb")
     parts = F.array(
         F.when(g & ~n, F.lit("soma")), F.when(~b, F.lit("membrane")), F.lit("whole_cell"), F.when(b & ~n, F.lit("cytoplasm"))
     )
-    return seen.select(cell, F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("part"), "y", "x")
+    y, x = F.col("_by") * SIDE + F.floor(F.col("_i") / SIDE), F.col("_bx") * SIDE + F.col("_i") % SIDE
+    return seen.select(cell, F.explode(parts).alias("part"), y.alias("y"), x.alias("x")).where("part IS NOT NULL")
 
 
 def _label_block(diagonal: bool):

@@ -87,6 +87,31 @@ def test_compartments_are_dealt_by_cell(spark):
     assert {r.part: r["count"] for r in out.groupBy("part").count().collect()}["cytoplasm"] == mo.dilate(px, 2).count() - 9
 
 
+def test_compartments_hold_blocks_not_pixels(spark):
+    r = random.Random(5)
+    at = lambda n: {(r.randint(-9, 9), r.randint(-9, 9)) for _ in range(n)}
+    n, p = {1: at(9), 2: at(30)}, {1: at(7), 3: at(5)}
+    table = lambda m: spark.createDataFrame([(c, y, x) for c in m for y, x in m[c]] * 2, "cell long, y long, x long")
+    out = mo.compartments(table(n), processes=table(p))
+    # no step sorts or ranks the pixels of a cell
+    assert not {"Window", "Sort"} & set(re.findall(r"\w+", plan(out)))
+    disc = lambda m, k: {(y + a, x + b) for y, x in m for a in range(-k, k + 1) for b in range(-k, k + 1) if a * a + b * b <= k * k}
+    want = set()
+    for c in {*n, *p}:
+        own = n.get(c, set())
+        grown = disc(own, 2)
+        body = grown | p.get(c, set())
+        whole = disc(body, 1)
+        parts = {"soma": grown - own, "membrane": whole - body, "whole_cell": whole, "cytoplasm": body - own}
+        want |= {(c, part, y, x) for part, m in parts.items() for y, x in m}
+    got = [tuple(x) for x in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # a pixel of no row is widened along its row, one of no column stays as it is
+    odd = mo.compartments(spark.createDataFrame([(1, None, 4), (2, 4, None)], "cell long, y long, x long")).where("part = 'whole_cell'")
+    assert sorted((x.cell, x.y, x.x) for x in odd.collect() if x.cell == 1) == [(1, None, x) for x in range(1, 8)]
+    assert [(x.y, x.x) for x in odd.collect() if x.cell == 2] == [(4, None)]
+
+
 def test_pixels_are_dealt_by_place(spark):
     px = spark.createDataFrame([(c, 0, x, 10 * k + x) for k, c in enumerate("ab") for x in range(3)], "channel string, y long, x long, value long")
     weights = spark.createDataFrame([("a", "b", 0.5)], "target string, channel string, weight double")
