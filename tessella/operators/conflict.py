@@ -14,7 +14,7 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import stage
+from ..runtime import many, stage
 from .graph import components
 
 #: Local rounds before components are formed (doubled each time), and edges of a component that a task solves whole.
@@ -75,11 +75,19 @@ def _losers(edges: list[tuple]) -> list[tuple]:
     return out
 
 
-def greedy_losers(edges: DataFrame) -> DataFrame:
+def greedy_losers(edges: DataFrame, on=()) -> DataFrame:
     """Rows ``(loser)`` dropped by greedy suppression over ``edges (winner, loser)``.
 
-    Edges must point from better to worse rows of one strict order.
+    Edges must point from better to worse rows of one strict order. With ``on`` they have these keys too, are distinct
+    and lie in staged tables: the edges of a key are solved whole in a task, and only keys of over ``LIMIT`` edges go through rounds.
     """
+    if on:
+        names = ["winner", "loser"]
+        large = stage(edges.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > LIMIT).select(*on), "large")
+        none = large.isEmpty()
+        small = edges if none else edges.join(many(large), list(on), "left_anti")
+        dropped = stage(solved(small.withColumn("label", F.lit("")), _losers, names, on).select("loser"), "dead")
+        return dropped if none else dropped.unionByName(greedy_losers(edges.join(many(large), list(on), "left_semi")))
     edges = stage(edges.select("winner", "loser").distinct(), "edges")
     none, dropped, rounds, most = edges.select("loser"), [], 0, ROUNDS
     while not edges.isEmpty():

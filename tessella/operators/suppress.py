@@ -14,7 +14,9 @@ dropped, before the other pairs are formed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.boxes import BOX, Box, intersection, iou, window
 from ..runtime import many, stage
@@ -110,20 +112,54 @@ def nms_multiclass(
     return _best(kept, [image], id_col, "score", max_total)
 
 
-def nms_masks(df: DataFrame, pixels: DataFrame, threshold: float, keys=("image_id",), id_col: str = "det_id", max_output: int | None = None) -> DataFrame:
-    """Suppression on mask IoU; ``pixels`` is ``(image_id, id_col, y, x)``."""
-    from .masks import block_overlap, blocks
+def dealt(df: DataFrame, keys, most: int = 20_000) -> list[DataFrame]:
+    """Rows of the keys with up to ``most`` rows, dealt by key, and if there are crowded keys, their rows as they are.
+
+    What is made of a dealt table and grouped or joined within its keys is not shuffled again, and a task holds whole keys.
+    """
+    crowded = stage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys), "crowded")
+    if crowded.isEmpty():
+        return [df.repartition(*keys)]
+    return [df.join(many(crowded), list(keys), "left_anti").repartition(*keys), df.join(many(crowded), list(keys), "left_semi")]
+
+
+def _mask_edges(df: DataFrame, pixels: DataFrame, threshold: float, keys, id_col: str) -> DataFrame:
+    """Edges ``(keys, winner, loser)`` of masks whose IoU is above the threshold; each pair meets once, better mask first."""
+    from .masks import blocks
+
+    known = [c for c in pixels.columns if c in (*keys, id_col, "score")]
+    masks, place = [*keys, id_col, "score"], [*keys, "_by", "_bx"]
+    tagged, listed = blocks(pixels, known), set(known) == set(masks)
+    if not listed:
+        known = [c for c in known if c != "score"]
+        tagged = stage(tagged.join(df.select(*masks).distinct(), known), "blocks")
+    tagged = tagged.withColumn("_area", F.sum(F.bit_count("_bits")).over(Window.partitionBy(*masks)))
+    named = {"{}": id_col, "_{}": "score", "{}_area": "_area", "{}_bits": "_bits"}
+    side = lambda s, at="": [F.col(f"{at}{c}").alias(k.format(s)) for k, c in named.items()]
+    if listed:  # a join on the block would deal them again
+        each = [*(k.format("winner") for k in named)]
+        pairs = tagged.where(" AND ".join(f"`{k}` IS NOT NULL" for k in (*place, "score"))).groupBy(*place).agg(F.collect_list(F.struct(id_col, "score", "_area", "_bits")).alias("_all"))
+        pairs = pairs.withColumn("_m", F.explode("_all")).select(*keys, "_all", *side("winner", "_m."))
+        pairs = pairs.withColumn("_m", F.explode("_all")).select(*keys, *each, *side("loser", "_m."))
+    else:
+        pairs = many(tagged.select(*place, *side("winner"))).join(tagged.select(*place, *side("loser")), place)
+    pairs = pairs.where("winner <> loser AND (_winner > _loser OR (_winner = _loser AND winner < loser)) AND winner_bits & loser_bits <> 0")
+    common = F.bit_count(F.col("winner_bits").bitwiseAND(F.col("loser_bits"))).cast("long")
+    shared = pairs.groupBy(*keys, "winner", "loser", "_winner", "_loser", "winner_area", "loser_area").agg(F.sum(common).alias("_n"))
+    return shared.where(F.col("_n") / (F.col("winner_area") + F.col("loser_area") - F.col("_n")) > threshold).select(*keys, "winner", "loser")
+
+
+def nms_masks(
+    df: DataFrame, pixels: DataFrame | list[DataFrame], threshold: float, keys=("image_id",), id_col: str = "det_id", max_output: int | None = None
+) -> DataFrame:
+    """Suppression on mask IoU; ``pixels`` is ``(image_id, id_col, y, x)``.
 
+    With a column ``score`` the pixels are taken for those of rows of ``df``, whose score it is, and the masks of a block meet
+    in a list: made of ``dealt`` rows, they meet where they are. Several tables may be given, each key in one of them.
+    """
     keys = list(keys)
-    known = [c for c in pixels.columns if c in (*keys, id_col)]
-    tagged = stage(blocks(pixels, known).join(df.select(*keys, id_col).distinct(), known), "blocks")
-    named = lambda s: tagged.withColumnRenamed(id_col, s)
-    pairs = block_overlap(named("winner"), named("loser"), "winner", "loser", keys).where(F.col("iou") > threshold)
-    score = lambda s: df.select(F.col(id_col).alias(s), F.col("score").alias(f"_{s}"))
-    edges = pairs.where("winner <> loser").join(score("winner"), "winner").join(score("loser"), "loser").where(
-        "_winner > _loser OR (_winner = _loser AND winner < loser)"
-    )
-    losers = greedy_losers(edges).select(F.col("loser").alias(id_col))
+    edges = [stage(_mask_edges(df, p, threshold, keys, id_col).distinct(), "edges") for p in (pixels if isinstance(pixels, list) else [pixels])]
+    losers = greedy_losers(reduce(DataFrame.unionByName, edges), keys).select(F.col("loser").alias(id_col))
     return _best(df.join(losers, id_col, "left_anti"), keys, id_col, "score", max_output)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.boxes import window
+from ..functions.boxes import BOX, window
 from ..operators import assign, boxes as ob, coco, evaluation as ev, masks, nearest as nn, suppress as sp
+from ..runtime import stage
 from .evaluation import AP_SELECT, FLAGGED, GT_DET, MASK_PAIRS, SMALL, _pixels, sql_area, sql_curve, sql_inter, sql_iou
 from .registry import query
 
@@ -75,7 +76,9 @@ _COARSE = "STRUCT_PACK(xmin := FLOOR({0}.xmin / 4), ymin := FLOOR({0}.ymin / 4),
     GT_DET,
 )
 def _(t):
-    return sp.nms_masks(t.det, _pixels(t.det, "det_id"), 0.5).select("det_id")
+    det = stage(t.det.select("det_id", "image_id", "score", *BOX), "det")
+    few, *crowded = sp.dealt(det, ["image_id"])
+    return sp.nms_masks(det, [_pixels(few, "det_id", "score"), *(_pixels(d, "det_id") for d in crowded)], 0.5).select("det_id")
 
 
 _VOTED = f"""voted AS (SELECT k.det_id, CASE WHEN SUM(p.score) > 0 THEN SUM(p.xmin * p.score) / SUM(p.score) ELSE ANY_VALUE(k.xmin) END AS xmin, CASE WHEN SUM(p.score) > 0 THEN SUM(p.ymax * p.score) / SUM(p.score) ELSE ANY_VALUE(k.ymax) END AS ymax, AVG(p.score) AS score

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessella.operators import (
-    datasets as ds, evaluation as ev, masks, morphology as mo, nearest as nn, ordering as od, overlap as ov, phenotype as ph, raster as ra,
+    conflict, datasets as ds, evaluation as ev, masks, morphology as mo, nearest as nn, ordering as od, overlap as ov, phenotype as ph, raster as ra,
     suppress as sp, unmix as um,
 )
 from tessella.sources import annotations as an, tables as tb
@@ -69,6 +69,34 @@ def test_masks_meet_in_blocks(spark):
     assert {(x.det_id, x.gt_id, x.iou) for x in best.collect()} == {(i, i, 1.0) for i in masks_of}
 
 
+def test_masks_of_an_image_meet_where_they_are_dealt(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i % 3, i, float(r.randint(0, 4)), float(a), float(b), float(a + 9), float(b + 8)) for i in range(60) for a, b in [(r.randint(0, 20), r.randint(0, 20))]]
+    det = spark.createDataFrame(rows, "image_id long, det_id long, score double, ymin double, xmin double, ymax double, xmax double")
+    span = lambda lo, hi: F.explode(F.sequence(F.col(lo).cast("long"), F.col(hi).cast("long")))
+    px = lambda d: d.select("image_id", "det_id", "score", span("ymin", "ymax").alias("y"), "xmin", "xmax").select("image_id", "det_id", "score", "y", span("xmin", "xmax").alias("x"))
+    image = lambda d: {(y, x) for y in range(int(d[3]), int(d[5]) + 1) for x in range(int(d[4]), int(d[6]) + 1)}
+    want = set()
+    for k in range(3):
+        live = []
+        for d in sorted((d for d in rows if d[0] == k), key=lambda d: (-d[2], d[1])):
+            if all(len(image(d) & image(e)) / len(image(d) | image(e)) <= 0.3 for e in live):
+                live.append(d)
+        want |= {d[1] for d in live}
+    kept = lambda pixels: sorted(x.det_id for x in sp.nms_masks(det, pixels, 0.3).collect())
+    one = sp.dealt(det, ["image_id"])
+    # masks of the dealt images are not shuffled again on the way to their edges
+    assert len(one) == 1 and dealt(sp._mask_edges(det, px(one[0]), 0.3, ["image_id"], "det_id")) == ["image_id"]
+    assert kept([px(d) for d in one]) == kept(px(det)) == kept(px(det).drop("score")) == sorted(want)
+    # crowded images are left spread, and keys of many edges go through rounds
+    two = sp.dealt(det.where("image_id > 0 OR det_id < 30"), ["image_id"], 15)
+    assert [sorted({x.image_id for x in d.collect()}) for d in two] == [[0], [1, 2]]
+    two = sp.dealt(det, ["image_id"], 5)
+    assert kept([px(d) for d in two]) == kept([px(two[0]), px(two[1]).drop("score")]) == sorted(want)
+    monkeypatch.setattr(conflict, "LIMIT", 40)
+    assert kept(px(det)) == sorted(want)
+
+
 def test_equal_windows_meet_once(spark, monkeypatch):
     rows = [(0, i, 0, 0, 40, 40) for i in range(5, 30)] + [(0, i, 0, 40, 40, 80) for i in range(50, 70)] + [(0, 99, 200, 200, 240, 240)]
     rows += [(None, 7, 0, 0, 40, 40), (None, 8, 0, 0, 40, 40)]
