@@ -259,7 +259,8 @@ def point_in_region(points: DataFrame, pixels: DataFrame, x: str = "centroid_x",
         .agg(F.max(F.struct("list_order", "region")).alias("_w"))
         .select(*on, "y", "x", F.col("_w.region").alias("region"))
     )
-    p = points.withColumns({"y": F.col(y), "x": F.col(x)})
+    # the planner takes these pixels for as few as the regions, and would broadcast them
+    p = many(points.withColumns({"y": F.col(y), "x": F.col(x)}))
     return p.join(named, [*on, "y", "x"], "left").drop("y", "x")
 
 

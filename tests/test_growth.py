@@ -47,6 +47,20 @@ def test_exploded_tables_are_not_broadcast(spark):
         assert df.count() > 0
 
 
+def test_points_and_cells_are_not_broadcast(spark, monkeypatch):
+    points = spark.sql("SELECT * FROM VALUES (1L, 7L, 1L, 1L), (1L, 8L, 40L, 2L), (2L, 9L, 5L, 5L) AS t(slide, ID, x, y)")
+    targets = spark.sql("SELECT * FROM VALUES (1L, 3L, 90L, 1L), (1L, 4L, 0L, 0L), (3L, 5L, 5L, 5L) AS t(slide, near_id, x, y)")
+    regions = spark.sql("SELECT * FROM VALUES ('a', 1L, 0L, 9L, 0L, 9L), ('b', 2L, 5L, 9L, 5L, 9L) AS t(region, list_order, x0, x1, y0, y1)")
+    found, real = [], nn.stage
+    monkeypatch.setattr(nn, "stage", lambda df, *a: found.append(plan(df)) or real(df, *a))
+    # tables that were staged have a size, so the planner would broadcast them
+    out = nn.nearest(real(points), targets, "ID", "near_id", on=["slide"])
+    at = ph.point_in_region(points, ph.region_pixels(regions), "x", "y")
+    assert len(found) > 3 and not [x for x in [*found, plan(out), plan(at)] if "Broadcast" in x]
+    assert sorted((r.ID, r.near_id, round(r.distance, 6)) for r in out.collect()) == [(7, 4, 1.414214), (8, 4, 40.049969)]
+    assert sorted((r.ID, r.region) for r in at.collect()) == [(7, "a"), (8, None), (9, "b")]
+
+
 def test_masks_meet_in_blocks(spark):
     r = random.Random(3)
     masks_of = {i: {(y, x) for y in range(a, a + 6) for x in range(b, b + 7) if r.random() < 0.9} for i in range(12) for a, b in [(r.randint(-9, 9), r.randint(-9, 9))]}
